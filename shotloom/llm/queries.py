@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import decontaminate, host_quality, packing, simhash, substrings
+from shotloom.llm import conversations, decontaminate, host_quality, packing, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return warc.resolve(warc.read_chunks(archives, with_data=False)).withColumnRenamed("record_id", "page_id")
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,6 +45,14 @@ def op8_prefix_free_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))
+    formatted = conversations.format_conversations(conversations.linear_messages(turns))
+    return conversations.read_back(formatted).withColumnRenamed("tree", "conv_id")
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,12 +60,35 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_host_quality": op2_host_quality,
+    "op3_chunked_warc": op3_chunked_warc,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_prefix_free_substrings": op8_prefix_free_substrings,
+    "op9_reply_trees": op9_reply_trees,
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
+_OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN octet_length(b) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(b) >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+_OP9_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') AS body,
+  replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), chr(10), '\n') AS head FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(head) + 2 + length(body) + 9)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_host_quality": host_quality.ORACLE_SQL,
+    "op3_chunked_warc": _OP3_SQL,
+    "op9_reply_trees": _OP9_SQL,
     "op10_benchmark_leaks": decontaminate.ORACLE_SQL,
 }
