@@ -53,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once and go on from a compressed table in the shared folder."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcasting only if it has at most ``max_rows`` rows.
 
