@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import conversations, decontaminate, host_quality, packing, simhash, substrings, warc
+from shotloom.llm import conversations, decontaminate, host_quality, html_text, packing, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op3_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.read_chunks(archives, with_data=False)).withColumnRenamed("record_id", "page_id")
 
 
+def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_marked")
+
+
+def op6_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_host_quality": op2_host_quality,
     "op3_chunked_warc": op3_chunked_warc,
+    "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
+    "op6_layout_text": op6_layout_text,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_prefix_free_substrings": op8_prefix_free_substrings,
     "op9_reply_trees": op9_reply_trees,
