@@ -1,7 +1,84 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
 
+A stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with
+the columns that came in; the last returns the packed pieces. Other columns pass
+through. Rows of one doc_id are one document to the stages that join by it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shotloom.llm import decontaminate, packing, simhash, substrings, toxicity
+from shotloom.llm.queries import tokenizer_file
+from shotloom.session import broadcast_if_small, fresh_dir, written
+
+#: SQL can express none of the stages' models and groupings as a whole.
 ORACLE_SQL = None
+#: Ids that are broadcast at most; more are joined by a shuffle.
+IDS_AT_ONCE = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not in ``ids`` (doc_id); null ids stay."""
+    gone = written(ids.where("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "ids")
+    return docs.join(broadcast_if_small(gone, IDS_AT_ONCE), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-or model calls toxic go; it learns from ``labels`` of the documents at hand."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays: the one of the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    kept = _without(docs, groups.where("doc_id <> component_id"))
+    return kept.withColumn("__text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__text"]).drop("__text")
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings are cut out of the texts; a text of which nothing is left goes.
+
+    A cut inside a character leaves the rest of it out, so that texts stay valid.
+    """
+    spans = substrings.remove_repeats(docs, with_kept=True).where("n_removed > 0")
+    changed = written(spans.select(F.col("doc_id").alias("cut_id"), F.try_validate_utf8(F.col("kept").cast("string")).alias("valid"), "kept"), "cuts")
+    text = F.coalesce("valid", F.make_valid_utf8(F.col("kept").cast("string")))
+    text = F.when(F.col("valid").isNull(), F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
+    changed = changed.select("cut_id", text.alias("cut_text")).dropDuplicates(["cut_id"])
+    out = docs.join(changed, F.col("doc_id") == F.col("cut_id"), "left").where("cut_text is null or cut_text <> ''")
+    now = F.coalesce("cut_text", "text")
+    columns = {"text": now} | ({"n_chars": F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.char_length("cut_text").cast("long"))} if "n_chars" in docs.columns else {})
+    return out.withColumns(columns).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left."""
+    return packing.pack(docs, tokenizer_file(), with_ids=False)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; every stage reads what the one before has written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = fresh_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import conversations, decontaminate, host_quality, html_text, packing, simhash, substrings, toxicity, warc
+from shotloom.llm import conversations, decontaminate, host_quality, html_text, interpolation, packing, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.read_chunks(archives, with_data=False)).withColumnRenamed("record_id", "page_id")
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_host_quality": op2_host_quality,
     "op3_chunked_warc": op3_chunked_warc,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
     "op6_layout_text": op6_layout_text,
     "op7_simhash_groups": op7_simhash_groups,
