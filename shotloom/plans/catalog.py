@@ -1,6 +1,8 @@
-"""Registered queries over the driver's tables."""
+"""All registered queries over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from shotloom.plans import timelines
+
+QUERIES = {**timelines.QUERIES}
+ORACLE_SQL = {**timelines.ORACLE_SQL}
