@@ -7,16 +7,17 @@ phrase suffix before its first trigger and the parse that follows the trigger.
 Strings are equal exactly if both parts are, so the order's runs of equal
 strings are found per trigger:
 
-1. Every trigger gives a dictionary key, the bytes around it that all of its
-   strings share, and a parse key, all bytes that its strings cover.
+1. The strings of a trigger are taken in bands of their distance to it. A band
+   gives a dictionary key, the bytes that all of its strings share, and a parse
+   key, all bytes that its strings cover.
 2. Dictionary keys that occur once end there; nearly all of a corpus does.
-3. A parse key that occurs again repeats all strings of its trigger at once.
-4. Only what is left, where a repeated passage begins or ends, is taken string
-   by string: the suffix-order keys of its single strings are counted, with those
-   of one document for each parse key of step 3 that shares the dictionary key.
+3. A parse key that occurs again repeats all strings of its band at once.
+4. What is left, where a repeated passage begins or ends, is taken in narrower
+   bands, down to single strings. One document for each parse key of step 3 that
+   shares its dictionary key with one of these goes with them for comparison.
 
 The order itself is never stored: what is asked of it is which neighbours share
-``min_bytes``, and keys of 64 or 128 bits give its classes. All counts are
+``min_bytes``, and keys of 96 or 128 bits give its classes. All counts are
 partial aggregates and all joins plain shuffles, so a passage that a third of the
 corpus shares is summed before it is sent.
 """
@@ -24,21 +25,23 @@ corpus shares is summed before it is sent.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.session import cut
+from shotloom.session import broadcast_if_small, written
 
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 19
-#: What is known of a candidate trigger: its strings must be looked at one by one, all are repeated,
-#: or all are repeated and this document gives them for comparison with the first kind.
-SINGLE, WHOLE, LEADS = 0, 1, 2
+#: Size of the filter of repeated dictionary keys: 2**20 longs, 8 MB.
+SIEVE_WORDS = 1 << 20
+#: Document ids that are broadcast at most, to pick texts before they are shuffled.
+IDS_AT_ONCE = 1_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -47,6 +50,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a * _MIX[0] ^ _mix(b)
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... of each given length, one after the other."""
     ends = np.cumsum(lengths)
@@ -78,7 +85,7 @@ class Rolling:
 
 @dataclass
 class Found:
-    """Triggers (and strings without one) of a block: piece, place, first and last distance, keys."""
+    """Bands of a block: piece, place of the trigger, first and last distance, keys."""
 
     piece: np.ndarray
     at: np.ndarray
@@ -87,19 +94,26 @@ class Found:
     core: np.ndarray
     ctx: np.ndarray
 
+    def begin(self) -> np.ndarray:
+        return self.at - self.high
+
+    def take(self, rows: np.ndarray) -> Found:
+        return Found(self.piece[rows], self.at[rows], self.low[rows], self.high[rows], self.core[rows], self.ctx[rows])
+
 
 class Parser:
     """Prefix-free parsing of blocks of bytes.
 
     A string of n bytes belongs to its first trigger t, at distance d before it.
-    Distances are taken in bands of a quarter of n; inside a band all strings
-    share the same three quarters of n around t: the core.
+    Strings without a trigger stand for themselves. ``widths`` are the widths of
+    the bands of distances, from half of n down to single strings.
     """
 
     def __init__(self, min_bytes: int = 400, trigger: int = 16, modulus_bits: int = 6) -> None:
         if min_bytes < 4 * trigger:
             raise ValueError("min_bytes must be at least four times the trigger's width")
         self.n, self.w, self.bits = min_bytes, trigger, modulus_bits
+        self.widths = (min_bytes // 2, max(2, min_bytes // 16), 1)
         self.rolling = Rolling(BLOCK + 4 * min_bytes)
 
     def blocks(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,16 +151,9 @@ class Parser:
         last = np.maximum(last, begin[of] - 1)  # the trigger before, or just before the piece
         own = (t >= own_low[of]) & (t < own_high[of])
         nearest, farthest = np.maximum(0, t + n - end[of]), np.minimum(t - last - 1, n - w)
-        band = n // 4
-        parts = []
-        for k in range(4):
-            low = np.maximum(nearest, k * band + (k > 0))
-            high = np.minimum(farthest, (k + 1) * band if k < 3 else n)
-            keep = own & (low <= high)
-            at, p, low, high = t[keep], of[keep], low[keep], high[keep]
-            core = roll.of(first, 0, at - k * band, at - k * band + 3 * band) + np.uint64(k)
-            ctx = roll.of(second, 1, at - high, at - low + n) + high.astype(np.uint64) * _MIX[1]
-            parts.append((p, at, low, high, core, ctx))
+        keep = own & (nearest <= farthest)
+        none = np.empty(0, dtype=np.uint64)
+        bands = self.bands(Found(of[keep], t[keep], nearest[keep], farthest[keep], none, none), 0, first, second)
         # Strings without any trigger: between two triggers (or the ends of a piece) more than n - w apart.
         edges = np.concatenate([t, begin - 1, end])
         kind = np.concatenate([np.ones(len(t), np.int8), np.zeros(len(begin), np.int8), np.full(len(end), 2, np.int8)])
@@ -160,16 +167,27 @@ class Parser:
         i = _ranges(low[gap], (high - low + 1)[gap])
         zero = np.zeros(len(i), dtype=np.int64)
         p = np.repeat(p[gap], (high - low + 1)[gap])
-        parts.append((p, i, zero, zero, roll.of(first, 0, i, i + n) + np.uint64(4), roll.of(second, 1, i, i + n)))
-        return Found(*(np.concatenate(x) for x in zip(*parts, strict=True))), first, second
+        core = roll.of(first, 0, i, i + n) + np.uint64(1 << 20)
+        alone = Found(p, i, zero, zero, core, _pair(core, roll.of(second, 1, i, i + n)))
+        return _joined(bands, alone), first, second
+
+    def bands(self, found: Found, level: int, first: np.ndarray, second: np.ndarray) -> Found:
+        """The bands of the given ranges of distances at a level, with their keys."""
+        n, width = self.n, self.widths[level]
+        low, high = found.low // width, found.high // width
+        rows = np.repeat(np.arange(len(low)), high - low + 1)
+        k = _ranges(low, high - low + 1)
+        at, near, far = found.at[rows], np.maximum(found.low[rows], k * width), np.minimum(found.high[rows], (k + 1) * width - 1)
+        shared = at - k * width  # all strings of the band cover the bytes from here to the end of the farthest
+        core = self.rolling.of(first, 0, shared, shared - width + 1 + n) + k.astype(np.uint64) * np.uint64(width > 1)
+        ctx = self.rolling.of(second, 1, at - far, at - near + n)
+        if width > 1:
+            ctx = ctx + far.astype(np.uint64) * _MIX[1]
+        return Found(found.piece[rows], at, near, far, core, _pair(core, ctx))
+
 
-    def strings(self, found: Found, pick: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers, begins and keys of the single strings of the picked triggers: ..., begin, key (n, 2)."""
-        rows = np.flatnonzero(pick)
-        lengths = found.high[rows] - found.low[rows] + 1
-        begin = _ranges(found.at[rows] - found.high[rows], lengths)
-        keys = np.stack([self.rolling.of(first, 0, begin, begin + self.n), self.rolling.of(second, 1, begin, begin + self.n)], axis=1)
-        return np.repeat(rows, lengths), begin, keys
+def _joined(a: Found, b: Found) -> Found:
+    return Found(*(np.concatenate([getattr(a, f.name), getattr(b, f.name)]) for f in fields(Found)))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -187,8 +205,26 @@ def _unique(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], np.diff(np.r_[starts, len(order)])
 
 
-def _trigger_rows(docs: DataFrame, parser_of: tuple) -> DataFrame:
-    """(doc_id, core, ctx, n) of every trigger; equal rows of a document are one with their number."""
+def _sieve(cores: DataFrame) -> np.ndarray:
+    """Bits of a filter of fixed size (SIEVE_WORDS longs) that all given keys pass.
+
+    It spares the shuffle of keys that occur once; the more keys there are, the
+    more of the others pass, and the join that follows is exact in any case.
+    """
+    bit = F.expr(f"shiftleft(1L, CAST(shiftright(core, {SIEVE_WORDS.bit_length() - 1}) & 63 AS INT))")
+    rows = cores.groupBy(F.col("core").bitwiseAND(SIEVE_WORDS - 1).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(SIEVE_WORDS, dtype=np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, core: np.ndarray) -> np.ndarray:
+    shift = np.uint64(SIEVE_WORDS.bit_length() - 1)
+    return (sieve[core & np.uint64(SIEVE_WORDS - 1)] >> ((core >> shift) & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _trigger_rows(docs: DataFrame, parser_of: tuple, sieve: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, core, ctx, n) of every trigger that passes; equal rows of a document are one with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(*parser_of)
@@ -200,53 +236,58 @@ def _trigger_rows(docs: DataFrame, parser_of: tuple) -> DataFrame:
                     found, _, _ = parser.parse(data, pieces)
                     text = pieces[found.piece, 0]
                     rows, n = _unique(found.ctx, found.core, text)
+                    if sieve is not None:
+                        passed = _passes(sieve, found.core[rows])
+                        rows, n = rows[passed], n[passed]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[rows] + low)), pa.array(found.core[rows].view(np.int64)), pa.array(found.ctx[rows].view(np.int64)), pa.array(n)], ["doc_id", "core", "ctx", "n"])
 
     return docs.mapInArrow(run, "doc_id long, core long, ctx long, n long")
 
 
-def _string_rows(flagged: DataFrame, parser_of: tuple) -> DataFrame:
-    """(doc_id, a, b, n): keys of the single strings of triggers in the states that need it."""
+def _levels(parser: Parser, text: bytes, going: list[np.ndarray]) -> Iterator[tuple[int, Found, int]]:
+    """Bands of one text, level by level, and where the block stands in the text.
+
+    ``going`` has for each level the keys of the bands that go on to the next.
+    """
+    for data, pieces in parser.blocks([text]):
+        found, first, second = parser.parse(data, pieces)
+        shift = int(pieces[0, 1] - pieces[0, 2])
+        for level in range(len(going) + 1):
+            if level:
+                found = parser.bands(found.take(np.isin(found.ctx, going[level - 1])), level, first, second)
+            yield level, found, shift
+
+
+def _finer_rows(marked: DataFrame, parser_of: tuple, level: int) -> DataFrame:
+    """(doc_id, core, ctx, n) of the bands of a level, for what the levels before left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(*parser_of)
         for batch in batches:
-            for doc_id, text, keys in zip(*(batch.column(k) for k in range(3)), strict=True):
-                marked = _marks(keys, SINGLE, LEADS)
-                for data, pieces in parser.blocks([_bytes(text.as_py())] if len(marked) else []):
-                    found, first, second = parser.parse(data, pieces)
-                    _, _, got = parser.strings(found, np.isin(_pair(found.core, found.ctx), marked), first, second)
-                    rows, n = _unique(got[:, 0], got[:, 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(rows), pa.int64()), pa.array(got[rows, 0].view(np.int64)), pa.array(got[rows, 1].view(np.int64)), pa.array(n)], ["doc_id", "a", "b", "n"])
+            for doc_id, packed, *marks in zip(*(batch.column(k) for k in range(2 + level)), strict=True):
+                going = [_keys(m) for m in marks]
+                if not len(going[-1]):
+                    continue
+                for at, found, _ in _levels(parser, zstandard.decompress(packed.as_py()), going):
+                    if at == level:
+                        rows, n = _unique(found.ctx, found.core)
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(rows), pa.int64()), pa.array(found.core[rows].view(np.int64)), pa.array(found.ctx[rows].view(np.int64)), pa.array(n)], ["doc_id", "core", "ctx", "n"])
 
-    return flagged.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, a long, b long, n long")
+    return marked.select("doc_id", "packed", *(f"open{k}" for k in range(level))).mapInArrow(run, "doc_id long, core long, ctx long, n long")
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.view(np.uint64) * _MIX[0] ^ _mix(b.view(np.uint64))
-
-
-def _marks(keys: pa.Scalar, *states: int) -> np.ndarray:
-    """Pair keys of a document's candidate triggers that are in one of the states."""
-    if keys.values is None or not len(keys.values):
+def _keys(values: pa.Scalar) -> np.ndarray:
+    if values.values is None:
         return np.empty(0, dtype=np.uint64)
-    core, ctx, state = (keys.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    return _pair(core, ctx)[np.isin(state, states)]
+    return values.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _spans(parser: Parser, data: bytes, whole: np.ndarray, single: np.ndarray) -> list[tuple[int, int]]:
+def _spans(parser: Parser, data: bytes, open_keys: list[np.ndarray], whole: list[np.ndarray]) -> list[tuple[int, int]]:
     """Maximal covered runs of one text."""
     cover: list[np.ndarray] = []
-    for block, pieces in parser.blocks([data]):
-        found, first, second = parser.parse(block, pieces)
-        shift = pieces[0, 1] - pieces[0, 2]
-        keys = _pair(found.core, found.ctx)
-        full = np.isin(keys, whole)
-        cover.append(np.stack([found.at[full] - found.high[full], found.at[full] - found.low[full] + parser.n], axis=1) + shift)
-        if len(single):
-            _, begin, got = parser.strings(found, ~full, first, second)
-            begin = begin[np.isin(_pair(got[:, 0].copy(), got[:, 1].copy()), single)]
-            cover.append(np.stack([begin, begin + parser.n], axis=1) + shift)
+    for level, found, shift in _levels(parser, data, open_keys):
+        full = np.isin(found.ctx, whole[level])
+        cover.append(np.stack([found.begin()[full], found.at[full] - found.low[full] + parser.n], axis=1) + shift)
     runs: list[tuple[int, int]] = []
     for low, high in sorted(map(tuple, np.concatenate(cover).tolist())) if cover else []:
         if runs and low <= runs[-1][1]:
@@ -256,6 +297,32 @@ def _spans(parser: Parser, data: bytes, whole: np.ndarray, single: np.ndarray) -
     return runs
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The same rows with compressed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([squeeze.compress(_bytes(x.as_py())) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), batch.column(3)], ["doc_id", "packed", "open0", "whole0"])
+
+    return rows.select("doc_id", "text", "open0", "whole0").mapInArrow(run, "doc_id long, packed binary, open0 array<long>, whole0 array<long>")
+
+
+def _judge(rows_of: Callable[[np.ndarray | None], DataFrame], level: int) -> DataFrame:
+    """(key, open, whole): of each document's bands with a repeated dictionary key, the parse keys to look into and those that are repeated."""
+    counts = rows_of(None).groupBy("core").agg(F.sum("n").alias("m"))
+    repeated = written(counts.where("m > 1").select("core"), "keys")
+    candidates = written(rows_of(_sieve(repeated) if level == 0 else None).join(repeated, "core", "left_semi"), "bands")
+    contexts = written(candidates.groupBy("core", "ctx").agg(F.sum("n").alias("m"), F.min("doc_id").alias("first")), "parses")
+    unsure = contexts.where("m = 1").select("core", F.lit(True).alias("unsure")).distinct()
+    contexts = written(contexts.where("m > 1").join(unsure, "core", "left"), "parses")
+    flagged = candidates.join(contexts, ["core", "ctx"], "left")
+    whole, leads = F.col("m").isNotNull(), F.col("unsure") & F.col("doc_id").eqNullSafe(F.col("first"))
+    open_keys = F.collect_set(F.when(~whole | leads, F.col("ctx"))).alias(f"open{level}")
+    return written(flagged.groupBy(F.col("doc_id").alias("key")).agg(open_keys, F.collect_set(F.when(whole, F.col("ctx"))).alias(f"whole{level}")), "marks")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, trigger: int = 16, modulus_bits: int = 6, with_kept: bool = True) -> DataFrame:
     """Take out every byte that a repeated string of ``min_bytes`` covers.
 
@@ -269,23 +336,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     parser_of = (min_bytes, trigger, modulus_bits)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    triggers = _trigger_rows(rows, parser_of)
-    repeated = cut(triggers.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core"))
-    candidates = cut(triggers.join(repeated, "core", "left_semi"))
-    contexts = cut(candidates.groupBy("core", "ctx").agg(F.sum("n").alias("m"), F.min("doc_id").alias("first")))
-    unsure = contexts.groupBy("core").agg(F.bool_or(F.col("m") == 1).alias("unsure"))
-    contexts = cut(contexts.join(unsure, "core"))
-    state = F.when(F.col("m") == 1, SINGLE).when(F.col("unsure") & F.col("doc_id").eqNullSafe(F.col("first")), LEADS).otherwise(WHOLE)
-    flagged = candidates.join(contexts, ["core", "ctx"]).select("doc_id", "core", "ctx", state.cast("int").alias("state"))
-    marks = cut(flagged.groupBy("doc_id").agg(F.collect_set(F.struct("core", "ctx", "state")).alias("marks")))
-    marks = marks.withColumnRenamed("doc_id", "key")
-    marked = cut(rows.join(marks, F.col("doc_id").eqNullSafe(F.col("key"))).drop("key"))
-
-    strings = _string_rows(marked, parser_of)
-    twice = cut(strings.groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").select("a", "b"))
-    hits = strings.join(twice, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
-    hits = hits.withColumnRenamed("doc_id", "key")
-    judged = marked.join(hits, F.col("doc_id").eqNullSafe(F.col("key")), "left").drop("key")
+    same_id = F.col("doc_id").eqNullSafe(F.col("key"))
+    marks = _judge(lambda sieve: _trigger_rows(rows, parser_of, sieve), 0)
+    picked = rows.join(broadcast_if_small(marks.select("key"), IDS_AT_ONCE), same_id, "left_semi")
+    marked = written(_packed(picked.join(marks, same_id).drop("key")), "texts")
+    levels = [marks]
+    for level in (1, 2):
+        levels.append(_judge(lambda _, level=level: _finer_rows(marked, parser_of, level), level))  # noqa: B023
+        marked = marked.join(levels[-1], same_id, "left").drop("key")
+        marked = written(marked, "texts") if level == 1 else marked
+    judged = marked.where(" or ".join(f"coalesce(size(whole{k}), 0) > 0" for k in range(3)))
+    changed_ids = levels[0].where("size(whole0) > 0").select("key")
+    for k in (1, 2):
+        changed_ids = changed_ids.unionByName(levels[k].where(f"size(whole{k}) > 0").select("key"))
+    changed_ids = changed_ids.distinct()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"][: 6 + with_kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,18 +357,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64()] * 4 + [span, pa.string(), pa.binary()]
         for batch in batches:
-            for doc_id, text, keys, found in zip(*(batch.column(k) for k in range(4)), strict=True):
-                data, single = _bytes(text.as_py()), np.empty(0, dtype=np.uint64)
-                if found.values is not None:
-                    single = _pair(*(found.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)))
-                runs = _spans(parser, data, _marks(keys, WHOLE, LEADS), single)
+            for doc_id, packed, *marks in zip(*(batch.column(k) for k in range(7)), strict=True):
+                data = zstandard.decompress(packed.as_py())
+                runs = _spans(parser, data, [_keys(m) for m in marks[:2]], [_keys(m) for m in marks[2:]])
                 ends = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 row = (doc_id.as_py(), len(data), len(data) - len(kept), len(runs), [{"begin": a, "end": b} for a, b in runs], hashlib.sha256(kept).hexdigest(), kept)
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row[: len(names)], kinds, strict=False)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_kept
-    changed = judged.select("doc_id", "text", "marks", "hits").mapInArrow(run, schema)
+    changed = judged.select("doc_id", "packed", "open0", "open1", "whole0", "whole1", "whole2").mapInArrow(run, schema)
     zero, kept = F.lit(0).cast("long"), F.encode("text", "utf-8")
     same = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<struct<begin: long, end: long>>").alias("spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept")] if with_kept else []))
-    return changed.unionByName(same.join(marks, F.col("doc_id").eqNullSafe(F.col("key")), "left_anti"))
+    return changed.unionByName(same.join(broadcast_if_small(written(changed_ids, "ids"), IDS_AT_ONCE), same_id, "left_anti"))
