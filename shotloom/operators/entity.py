@@ -7,12 +7,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from shotloom.functions.scalars import aligned_similarity
 from shotloom.operators.graph import connected_components
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two titles; the order of the two matters."""
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])

@@ -19,8 +19,8 @@ def filter_shots(shots: DataFrame, viewpoints: tuple[str, ...] = (), scales: tup
     """Shots that meet every given value. Motion and speed may be met by different camera movements."""
     tests = [F.array_contains("viewpoints", v) for v in viewpoints]
     tests += [(F.col("shot_scale.start") == v) | (F.col("shot_scale.end") == v) for v in scales]
-    tests += [F.exists("camera_motions", lambda m, v=v: m["type"] == v) for v in motions]
-    tests += [F.exists("camera_motions", lambda m, v=v: m["speed"] == v) for v in speeds]
+    some = lambda field, v: F.exists("camera_motions", lambda m: m[field] == v)
+    tests += [some("type", v) for v in motions] + [some("speed", v) for v in speeds]
     tests += [F.array_contains("cinematography_keywords", v) for v in keywords]
     for test in tests:
         shots = shots.where(test)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shotloom.plans import timelines
+from shotloom.plans import catalogs, timelines
 
-QUERIES = {**timelines.QUERIES}
-ORACLE_SQL = {**timelines.ORACLE_SQL}
+QUERIES = {**timelines.QUERIES, **catalogs.QUERIES}
+ORACLE_SQL = {**timelines.ORACLE_SQL, **catalogs.ORACLE_SQL}
