@@ -78,8 +78,10 @@ def _doubled(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if len(jumps) > 40:
             raise ValueError("a reply cycle: no root above some message")
         up = links.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("parent").alias("next"), F.col("steps").alias("more"), F.col("sum").alias("above"))
-        joined = links.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
-        links = cut(joined.select("tree", "node", F.col("next").alias("parent"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("above", F.lit(0.0))).alias("sum")))
+        # Messages that have reached their root are not joined again.
+        going = links.where("parent is not null").join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")))
+        going = going.select("tree", "node", F.col("next").alias("parent"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("sum") + F.col("above")).alias("sum"))
+        links = cut(links.where("parent is null").unionByName(going))
     return links, jumps
 
 
