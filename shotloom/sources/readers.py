@@ -54,7 +54,7 @@ def parse_subtitles(files: DataFrame, key: str, content: str, source: str = "sub
     text = F.regexp_replace(F.regexp_replace(F.col(content), "^﻿", ""), r"\r\n?", "\n")
     blocks = files.select(key, F.posexplode(F.split(text, r"\n[ \t]*\n+")).alias("pos", "block"))
     timing = r"(\d+:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d+:\d{2}:\d{2}[,.]\d{3})"
-    body = collapse_spaces(F.regexp_replace(F.regexp_extract("block", rf"(?s){timing}[^\n]*\n?(.*)$", 3), r"<[^>]*>|\{{[^}}]*\}}", ""))
+    body = collapse_spaces(F.regexp_replace(F.regexp_extract("block", rf"(?s){timing}[^\n]*\n?(.*)$", 3), r"<[^>]*>|\{[^}]*\}", ""))
     start, end = subtitle_ms(F.regexp_extract("block", timing, 1)), subtitle_ms(F.regexp_extract("block", timing, 2))
     spans = blocks.select(key, "pos", start.alias("start_ms"), end.alias("end_ms"), body.alias("text")).where("start_ms is not null and text <> ''")
     return _dense(spans, key, "pos", "span_no").select(key, "span_no", "start_ms", "end_ms", "text", F.lit(source).alias("source"))
