@@ -23,7 +23,15 @@ IDS_AT_ONCE = 1_000_000
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not in ``ids`` (doc_id); null ids stay."""
     gone = written(ids.where("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "ids")
-    return docs.join(broadcast_if_small(gone, IDS_AT_ONCE), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = broadcast_if_small(gone, IDS_AT_ONCE)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,22 +44,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of linked fingerprints stays: the one of the smallest id."""
     groups = simhash.near_duplicates(docs)
     kept = _without(docs, groups.where("doc_id <> component_id"))
-    return kept.withColumn("__text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    name = _free(docs, "same_text")
+    return kept.withColumn(name, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings are cut out of the texts; a text of which nothing is left goes.
 
     A cut inside a character leaves the rest of it out, so that texts stay valid.
+    Rows without an id stay as they are.
     """
-    spans = substrings.remove_repeats(docs, with_kept=True).where("n_removed > 0")
-    changed = written(spans.select(F.col("doc_id").alias("cut_id"), F.try_validate_utf8(F.col("kept").cast("string")).alias("valid"), "kept"), "cuts")
-    text = F.coalesce("valid", F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.when(F.col("valid").isNull(), F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
-    changed = changed.select("cut_id", text.alias("cut_text")).dropDuplicates(["cut_id"])
-    out = docs.join(changed, F.col("doc_id") == F.col("cut_id"), "left").where("cut_text is null or cut_text <> ''")
-    now = F.coalesce("cut_text", "text")
-    columns = {"text": now} | ({"n_chars": F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.char_length("cut_text").cast("long"))} if "n_chars" in docs.columns else {})
+    cuts = substrings.remove_repeats(docs, with_kept=True).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").cast("string").alias("kept"))
+    whole = F.try_validate_utf8("kept")
+    text = F.coalesce(whole, F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    cut_id, cut_text = _free(docs, "cut_id"), _free(docs, "cut_text")
+    cuts = written(cuts.select(F.col("doc_id").alias(cut_id), text.alias(cut_text)).dropDuplicates([cut_id]), "cuts")
+    out = docs.join(cuts, docs["doc_id"] == cuts[cut_id], "left").where(f"{cut_text} is null or {cut_text} <> ''")
+    columns = {"text": F.coalesce(cut_text, "text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(cut_text).isNull(), F.col("n_chars")).otherwise(F.char_length(cut_text).cast("long"))
     return out.withColumns(columns).select(*docs.columns)
 
 
