@@ -211,7 +211,8 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data:
             yield pa.RecordBatch.from_pylist(held, schema=kinds)
 
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[k]) for n, k in (x.split() for x in _CHUNKS.split(", "))])
-    return archives.select("archive").repartition("archive").mapInArrow(run, _CHUNKS)
+    # A number of partitions keeps Spark from joining these few small rows, each a whole archive, into one task.
+    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(run, _CHUNKS)
 
 
 def resolve(records: DataFrame) -> DataFrame:
