@@ -72,10 +72,10 @@ def linear_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
 def _doubled(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Each node's depth and path score, and the tables of ancestors 1, 2, 4, ... steps up."""
     links = cut(nodes.select("tree", "node", "parent", F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")))
-    jumps = []
+    jumps, most = [], links.count().bit_length() + 1  # no path is longer than all messages
     while links.where("parent is not null").limit(1).count():
         jumps.append(links.where("parent is not null").select("tree", "node", "parent"))
-        if len(jumps) > 40:
+        if len(jumps) > most:
             raise ValueError("a reply cycle: no root above some message")
         up = links.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("parent").alias("next"), F.col("steps").alias("more"), F.col("sum").alias("above"))
         # Messages that have reached their root are not joined again.
