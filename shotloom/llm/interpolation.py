@@ -201,7 +201,7 @@ def learn(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray
     for _ in range(rounds):
         share = weights[bucket].T * parts
         share *= counts / share.sum(axis=0)
-        new = np.stack([np.bincount(bucket, s, CONTEXTS) for s in share], axis=1)
+        new = np.stack([np.bincount(bucket, s, CONTEXTS) for s in share], axis=1).astype(float)
         overall = new.sum(axis=0) + 1e-3
         new += overall / overall.sum()  # a bucket that was not seen mixes as all do
         weights = new / new.sum(axis=1, keepdims=True)
