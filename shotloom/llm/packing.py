@@ -96,11 +96,10 @@ class Packer:
 
     def _place(self, piece: tuple, size: int) -> None:
         n, room = self.count, self.window - size
-        # Change of the sum of squares, halved: 1 - N(h) + N(h + size); a full window counts nothing.
-        after = n[size : self.window + 1].copy()
-        after[-1] = -1
-        change = after - n[: room + 1] + 1
-        change[0] = n[size] + 1 if room else 0
+        # Change of the sum of squares: one less at the level, one more above it; a full window counts nothing.
+        change = 2 * n[size : self.window + 1] + 1
+        change[-1] = 0
+        change[1:] += 1 - 2 * n[1 : room + 1]
         change[1:][n[1 : room + 1] == 0] = np.iinfo(np.int64).max
         level = room - int(np.argmin(change[::-1]))  # of equals the fullest
         held = self.open[level].pop() if level else []
