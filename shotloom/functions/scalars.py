@@ -163,3 +163,16 @@ def display_ratio(width: Column, height: Column, pixel_ratio: Column | float = 1
 def geometry_disposition(shown: Column, target: float = 16 / 9, tolerance: float = 0.01) -> Column:
     """accepted, rejected or unknown, by the relative deviation from the target."""
     return F.when(shown.isNull(), "unknown").when(F.abs(shown - target) / target <= tolerance, "accepted").otherwise("rejected")
+
+
+def work_id(platform: str, x: Column) -> Column:
+    """The platform's own id in an address or text; null if there is none."""
+    patterns = {"bilibili": r"(BV[0-9A-Za-z]{10})", "douyin": r"/(?:video|note)/(\d{6,})", "xiaohongshu": r"(?i)/(?:explore|discovery/item)/([0-9a-f]{24})"}
+    found = F.nullif(F.regexp_extract(x, patterns[platform], 1), F.lit(""))
+    return F.lower(found) if platform == "xiaohongshu" else found
+
+
+def allowed_entries(x: Column, keys: tuple[str, ...]) -> Column:
+    """JSON of the allowed keys of a map, in the order of their names."""
+    kept = F.map_from_entries(F.sort_array(F.map_entries(F.map_filter(x, lambda k, v: k.isin(*keys)))))
+    return F.to_json(kept)

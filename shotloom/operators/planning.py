@@ -78,3 +78,11 @@ def content_groups(rows: DataFrame, content: Column, row_id: str, *same: str) ->
     agree = [(F.min(c).eqNullSafe(F.max(c))).alias(f"same_{c}") for c in same]
     out = own.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.sort_array(F.collect_set(row_id)).alias("ids"), *agree)
     return out.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
+
+
+def set_audit(rows: DataFrame, key: str, value: str, expected: tuple[str, ...]) -> DataFrame:
+    """Per key the expected values that it lacks and the values it has beyond them, sorted and joined by commas."""
+    known = F.array(*(F.lit(e) for e in expected))
+    held = rows.groupBy(key).agg(F.collect_set(value).alias("held"))
+    listed = lambda a: F.array_join(F.sort_array(a), ",")
+    return held.select(key, listed(F.array_except(known, F.col("held"))).alias("missing"), listed(F.array_except(F.col("held"), known)).alias("unexpected"))

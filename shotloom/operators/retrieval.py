@@ -68,3 +68,19 @@ def best_by(rows: DataFrame, keys: list[str], order: list[Column], name: str = "
     """The first rows of each key in an order, numbered; all of them if ``most`` is None."""
     ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked if most is None else ranked.where(F.col(name) <= most)
+
+
+def choose_by_preference(rows: DataFrame, key: str, label: str, preferences: tuple[str, ...], tie: str) -> DataFrame:
+    """Per key the row whose label comes first in the preferences; other labels come last, ties by the smaller ``tie``."""
+    place = F.coalesce(*(F.when(F.col(label) == p, F.lit(k)) for k, p in enumerate(preferences)), F.lit(len(preferences)))
+    least = F.min(F.struct(place.alias("place"), F.col(tie), F.col(label))).alias("m")
+    return rows.groupBy(key).agg(least).select(key, f"m.{tie}", f"m.{label}")
+
+
+def agreeing_join(left: DataFrame, right: DataFrame, key: str, same: dict[str, str]) -> DataFrame:
+    """Inner join whose rows say whether the given pairs of columns agree; nulls agree with nulls."""
+    joined = left.join(right, key)
+    agrees = F.lit(True)
+    for a, b in same.items():
+        agrees &= F.col(a).eqNullSafe(F.col(b))
+    return joined.withColumn("agrees", agrees)

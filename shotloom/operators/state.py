@@ -52,3 +52,8 @@ def recover_interrupted(attempts: DataFrame, live: DataFrame, owner: str = "owne
     joined = attempts.join(held, F.col(owner) == F.col("__owner"), "left")
     status = F.when((F.col("status") == "running") & F.col("__owner").isNull(), "interrupted").otherwise(F.col("status"))
     return joined.withColumn("status", status).drop("__owner")
+
+
+def next_pending(stages: DataFrame, key: str, order: str, done: Column) -> DataFrame:
+    """Per key the first stage in order that is not done; null if all are."""
+    return stages.groupBy(key).agg(F.min(F.when(~done, F.col(order))).alias("next_stage"), F.count_if(done).alias("n_done"))

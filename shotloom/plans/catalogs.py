@@ -251,7 +251,32 @@ def timeline_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("user_id", "event_id", problem.alias("problem")).where("problem is not null")
 
 
-_NAMES = (list_page, array_filters, point_lookup, json_props_scan, manifest_upsert, sticky_status, manifest_nested, eligible_flag, geometry_gate, content_group, crosspost_pairs, crosspost_blocked, work_groups, round_robin_admission, query_history_diff, plan_completeness, ordered_distinct_text, conversation_chain, role_islands, url_canonical, html_clean, clock_parse, stable_keys, tier_bucket, benchmark_report, usage_totals, status_rollup, budget_rounds, best_variant, admission_snapshot, idempotent_ledger, latest_state_fenced, change_detection, lease_expiry, segment_summary, decision_audit, selection_topk, grid_rows, timeline_tolerance)
+def subtitle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the document of the language most preferred, then of the smallest id."""
+    return retrieval.choose_by_preference(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), "source", "lang", ("es", "de"), "doc_id")
+
+
+def next_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.next_pending(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F")
+
+
+def role_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.set_audit(table(spark, sf_dir, "conversations"), "conv_id", "role", ("assistant", "system", "user"))
+
+
+def job_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines joined to their orders, with whether the two statuses agree."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), "l_linenumber", "l_linestatus")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("item_id"), "o_orderstatus")
+    return retrieval.agreeing_join(lines, orders, "item_id", {"l_linestatus": "o_orderstatus"}).select("item_id", "l_linenumber", "agrees")
+
+
+def stable_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("raw"), F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.allowed_entries(entries, ("user", "type")).alias("metadata"))
+
+
+_NAMES = (subtitle_choice, next_stage, role_audit, job_map, stable_metadata, list_page, array_filters, point_lookup, json_props_scan, manifest_upsert, sticky_status, manifest_nested, eligible_flag, geometry_gate, content_group, crosspost_pairs, crosspost_blocked, work_groups, round_robin_admission, query_history_diff, plan_completeness, ordered_distinct_text, conversation_chain, role_islands, url_canonical, html_clean, clock_parse, stable_keys, tier_bucket, benchmark_report, usage_totals, status_rollup, budget_rounds, best_variant, admission_snapshot, idempotent_ledger, latest_state_fenced, change_detection, lease_expiry, segment_summary, decision_audit, selection_topk, grid_rows, timeline_tolerance)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) // 1000 - 1704067200000 AS ms FROM events)"
@@ -340,4 +365,12 @@ FROM c FULL JOIN d ON c.doc_id = d.doc_id WHERE d.doc_id IS NULL OR n IS NULL OR
 SELECT user_id, sheet, string_agg(event_id::VARCHAR, ',' ORDER BY ms, event_id) AS cells, min(ms) AS first_ms, max(ms) AS last_ms FROM n GROUP BY user_id, sheet""",
     "timeline_tolerance": f"""WITH {_E}, k AS (SELECT p.user_id, p.event_id, min(abs(v.ms - p.ms)) AS gap FROM e p LEFT JOIN e v ON v.user_id = p.user_id AND v.event_type = 'view' WHERE p.event_type = 'click' GROUP BY p.user_id, p.event_id)
 SELECT user_id, event_id, CASE WHEN gap IS NULL THEN 'no_anchor' ELSE 'off_anchor' END AS problem FROM k WHERE gap IS NULL OR gap > 120000""",
+    "subtitle_choice": """WITH r AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS n FROM documents)
+SELECT source, doc_id, lang FROM r WHERE n = 1""",
+    "next_stage": "SELECT o_custkey, min(o_orderkey) FILTER (o_orderstatus <> 'F') AS next_stage, count(*) FILTER (o_orderstatus = 'F') AS n_done FROM orders GROUP BY o_custkey",
+    "role_audit": """WITH h AS (SELECT DISTINCT conv_id, role FROM conversations), x AS (SELECT DISTINCT conv_id, unnest(['assistant', 'system', 'user']) AS role FROM conversations)
+SELECT conv_id, coalesce(string_agg(x.role, ',' ORDER BY x.role) FILTER (h.role IS NULL), '') AS missing, coalesce(string_agg(h.role, ',' ORDER BY h.role) FILTER (x.role IS NULL), '') AS unexpected
+FROM x FULL JOIN h USING (conv_id, role) GROUP BY conv_id""",
+    "job_map": "SELECT l_orderkey AS item_id, l_linenumber, l_linestatus = o_orderstatus AS agrees FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'",
+    "stable_metadata": """SELECT event_id, '{"type":"' || event_type || '","user":"' || user_id || '"}' AS metadata FROM events""",
 }

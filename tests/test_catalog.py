@@ -242,3 +242,15 @@ def test_stream_of_states_equals_batch(spark, tmp_path):
     key = lambda r: (r.job_id, r.attempt, r.event_id, r.state)
     assert sorted(map(key, spark.read.parquet(str(tmp_path / "out" / last)).collect())) == sorted(map(key, batch.collect()))
     assert jobs.state_changes(spark.read.schema(schemas.EVENT).json(str(tmp_path / "in"))).count() > 0
+
+
+def test_work_ids_and_metadata(spark):
+    r = one(
+        spark,
+        a=scalars.work_id("bilibili", F.lit("https://x/video/BV1ab2cd3EFg?p=1")),
+        b=scalars.work_id("douyin", F.lit("https://x/video/7123456789")),
+        c=scalars.work_id("xiaohongshu", F.lit("https://x/explore/ABCDEF0123456789abcdef01")),
+        d=scalars.work_id("douyin", F.lit("none")),
+        e=scalars.allowed_entries(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"), F.lit("x"), F.lit("3")), ("a", "b")),
+    )
+    assert tuple(r) == ("BV1ab2cd3EFg", "7123456789", "abcdef0123456789abcdef01", None, '{"a":"1","b":"2"}')
