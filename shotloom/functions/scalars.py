@@ -176,3 +176,48 @@ def allowed_entries(x: Column, keys: tuple[str, ...]) -> Column:
     """JSON of the allowed keys of a map, in the order of their names."""
     kept = F.map_from_entries(F.sort_array(F.map_entries(F.map_filter(x, lambda k, v: k.isin(*keys)))))
     return F.to_json(kept)
+
+
+def escape_html(x: Column) -> Column:
+    """Text with &, <, > and both quotes as entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(plain), F.lit(entity))
+    return x
+
+
+def default_identity(platform: Column, source_id: Column, unit_id: Column, known: Column) -> Column:
+    """The known identity map, or the one that the platform's ids give where it is null or empty."""
+    video = F.create_map(F.lit("bvid"), source_id, F.lit("cid"), F.element_at(F.split(unit_id, ":"), -1))
+    default = F.when(platform == "bilibili", video).when(platform == "douyin", F.create_map(F.lit("aweme_id"), source_id)).otherwise(F.create_map(F.lit("note_id"), source_id))
+    return F.when(F.size(known) > 0, known).otherwise(default)
+
+
+def one_signature(*columns: str) -> Column:
+    """Aggregate: whether all rows of a group agree in all the columns; nulls agree with nulls."""
+    whole = F.struct(*columns)
+    return F.min(whole).eqNullSafe(F.max(whole))
+
+
+def cache_key(*columns: str, length: int = 16) -> Column:
+    """The first hex digits of the canonical hash of the columns."""
+    return F.substring(canonical_hash(*columns), len("sha256:") + 1, length)
+
+
+def stream_edge(width: Column, height: Column, name: Column) -> Column:
+    """The shorter side; without sides the least number of three or four digits in the name."""
+    told = F.array_min(F.transform(F.regexp_extract_all(name, F.lit(r"(?<!\d)(\d{3,4})(?!\d)"), F.lit(1)), lambda v: v.cast("int")))
+    return F.when((width > 0) & (height > 0), F.least(width, height)).otherwise(told)
+
+
+def matches_profile(profile: dict[str, object]) -> Column:
+    """Whether every column has the value of the profile; a null never matches."""
+    test = F.lit(True)
+    for name, value in profile.items():
+        test &= F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    return test
+
+
+def proxy_required(width: Column, height: Column, rotation: Column, max_width: int = 1280, max_height: int = 720) -> Column:
+    """Whether the picture as shown, after a quarter turn, is larger than a policy allows."""
+    turned = F.pmod(F.abs(rotation), F.lit(180)) == 90
+    return F.when(turned, (height > max_width) | (width > max_height)).otherwise((width > max_width) | (height > max_height))

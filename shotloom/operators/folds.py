@@ -57,3 +57,52 @@ def near_duplicates(rows: DataFrame, key: str, row_id: str, hash_col: str, thres
 
     kinds = dict(rows.dtypes)
     return rows.select(key, row_id, hash_col).groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, {row_id} long, kept boolean, near_id long, distance int")
+
+
+def merge_near(points: DataFrame, key: str, at: str, reason: str, within_ms: int = 600, strong: str = "scene_change", fixed: tuple[str, ...] = ("source_end", "source_start")) -> DataFrame:
+    """Anchors of a key: a point near the last anchor joins it, and a strong one moves it to its own time.
+
+    Fixed points stand alone: nothing joins them and they join nothing. Order:
+    time, then reason. Returns key, anchor_no from 0, at_ms and reasons (sorted,
+    joined by +).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(at, "ascending"), (reason, "ascending")])
+        anchors: list[tuple[int, set[str]]] = []
+        for t, why in zip(table[at].to_pylist(), table[reason].to_pylist(), strict=True):
+            last, reasons = anchors[-1] if anchors else (None, set())
+            if last is not None and why not in fixed and not reasons & set(fixed) and abs(t - last) <= within_ms:
+                anchors[-1] = (t if why == strong else last, reasons | {why})
+            else:
+                anchors.append((t, {why}))
+        n = len(anchors)
+        return pa.table({key: table[key].slice(0, n), "anchor_no": pa.array(range(n), pa.int64()), "at_ms": pa.array([t for t, _ in anchors], pa.int64()), "reasons": ["+".join(sorted(r)) for _, r in anchors]})
+
+    return points.select(key, at, reason).groupBy(key).applyInArrow(run, f"{key} {dict(points.dtypes)[key]}, anchor_no long, at_ms long, reasons string")
+
+
+def pick_frames(frames: DataFrame, keys: list[str], row_id: str, count: int) -> DataFrame:
+    """Of the frames inside each segment the nearest to ``count`` even targets, each frame taken once.
+
+    ``frames``: keys, row_id, frame_ms, start_ms, end_ms. Up to ``count`` frames all
+    stay. Ties go to the earlier frame, then the smaller id. Returns keys, row_id,
+    frame_ms.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("frame_ms", "ascending"), (row_id, "ascending")])
+        times = table["frame_ms"].to_numpy()
+        if table.num_rows > count:
+            start, end = table["start_ms"][0].as_py(), table["end_ms"][0].as_py()
+            free = np.ones(len(times), dtype=bool)
+            for k in range(count):
+                target = start + round((k + 1) * (end - start) / (count + 1))
+                free[np.argmin(np.where(free, np.abs(times - target), np.iinfo(np.int64).max))] = False
+            table = table.take(pa.array(np.flatnonzero(~free)))
+        return table.select([*keys, row_id, "frame_ms"])
+
+    kinds = dict(frames.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, row_id, "frame_ms"))
+    inside = frames.where("frame_ms >= start_ms and frame_ms < end_ms")
+    return inside.select(*keys, row_id, "frame_ms", "start_ms", "end_ms").groupBy(*keys).applyInArrow(run, schema)

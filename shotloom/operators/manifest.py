@@ -75,3 +75,28 @@ def reviews(nested_rows: DataFrame) -> DataFrame:
     """Units of a nested manifest that wait for a review or a duration."""
     flat = nested_rows.select("candidate_id", F.explode("media_units").alias("u"))
     return flat.where(F.col("u.status").isin("manual_review_required", "duration_unknown")).select("candidate_id", "u.*")
+
+
+def merge_artifacts(artifacts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of several artifacts as one table; equal rows of a key are one, rows that differ are a conflict.
+
+    Returns the columns, of the least row of a key, with n_copies and conflict.
+    """
+    rows = artifacts[0]
+    for other in artifacts[1:]:
+        rows = rows.unionByName(other)
+    whole = F.struct(*(c for c in rows.columns if c != key))
+    out = rows.groupBy(key).agg(F.min(whole).alias("m"), F.count(F.lit(1)).alias("n_copies"), (~F.min(whole).eqNullSafe(F.max(whole))).alias("conflict"))
+    return out.select(key, "m.*", "n_copies", "conflict")
+
+
+def replace_groups(units: DataFrame, candidates: DataFrame, groups: DataFrame, candidate: str = "candidate_id", unit: str = "media_unit_id") -> DataFrame:
+    """Units of known candidates with the groups of a new snapshot: those that it does not name have none any more.
+
+    ``groups``: unit, work_group_id, role. A unit in two groups is an error.
+    """
+    counted = groups.groupBy(unit).agg(F.min(F.struct("work_group_id", "role")).alias("g"), F.count(F.lit(1)).alias("__n"))
+    error = F.raise_error(F.concat(F.lit("more than one work group for "), F.col(unit).cast("string"))).cast("boolean")
+    own = units.drop("work_group_id", "role").join(candidates.select(candidate), candidate)
+    joined = own.join(counted, unit, "left").where(F.when(F.col("__n") > 1, error).otherwise(F.lit(True)))
+    return joined.select(*own.columns, F.col("g.work_group_id").alias("work_group_id"), F.col("g.role").alias("role"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shotloom.plans import catalogs, timelines
+from shotloom.plans import catalogs, timelines, workflows
 
-QUERIES = {**timelines.QUERIES, **catalogs.QUERIES}
-ORACLE_SQL = {**timelines.ORACLE_SQL, **catalogs.ORACLE_SQL}
+QUERIES = {**timelines.QUERIES, **catalogs.QUERIES, **workflows.QUERIES}
+ORACLE_SQL = {**timelines.ORACLE_SQL, **catalogs.ORACLE_SQL, **workflows.ORACLE_SQL}

@@ -163,3 +163,58 @@ def page_units(payloads: DataFrame, key: str, content: str) -> DataFrame:
     rows = payloads.select(key, F.from_json(content, schema)["data"].alias("d")).select(key, F.col("d.bvid").alias("source_id"), F.explode("d.pages").alias("p"))
     unit = F.concat(F.col("source_id"), F.lit(":p"), F.col("p.page"), F.lit(":cid"), F.col("p.cid"))
     return rows.select(key, unit.alias("media_unit_id"), F.col("p.page").alias("part_index"), F.col("p.part").alias("title"), F.col("p.duration").alias("duration_seconds"))
+
+
+def torn_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of line files whose last line has no newline: its lines, each with a newline, are longer than the file."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
+    return lines.groupBy("file").agg(F.sum(F.col("n") + 1).alias("told"), F.max("size").alias("size")).where("told > size").select("file")
+
+
+def read_event_log(spark: SparkSession, path: str, schema: str, versions: tuple[int, ...] | None = None) -> DataFrame:
+    """Append-only JSON lines; a torn last line is an error, as is a line that does not fit the schema."""
+    torn = torn_files(spark, path).limit(1).collect()
+    if torn:
+        raise ValueError(f"incomplete event line in {torn[0].file}")
+    return read_json_lines(spark, path, schema, versions)
+
+
+def list_sessions(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Sessions of all folders ``root``/ses_*/session.json with a valid name, the latest first."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{root.rstrip('/')}/ses_*/session.json")
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.where(folder.rlike("^ses_[A-Za-z0-9_-]{1,80}$")).orderBy(F.desc("created_at"), F.desc("session_id"))
+
+
+def session_views(sessions: DataFrame, segments: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Sessions with their segments and warnings as arrays in order, and whether the frozen plan has its SHA-256.
+
+    ``sessions``: session_id, plan (binary), plan_sha256; ``segments`` and
+    ``warnings``: session_id, position, and columns of their own.
+    """
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        own = F.struct("position", *(c for c in rows.columns if c not in ("session_id", "position")))
+        return rows.groupBy("session_id").agg(F.sort_array(F.collect_list(own)).alias(name))
+
+    out = sessions.withColumn("plan_valid", F.sha2("plan", 256).eqNullSafe(F.lower("plan_sha256")))
+    for rows, name in ((segments, "segments"), (warnings, "warnings")):
+        got = listed(rows, name)
+        out = out.join(got, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
+    return out
+
+
+def load_contracts(spark: SparkSession, collection: str, plans: str, segment_schema: str, plan_schema: str) -> tuple[DataFrame, DataFrame]:
+    """The segments of a collection input and their query plans; each segment must have one plan and each plan one segment.
+
+    Both files hold one object; what does not fit the schemas is an error, as is
+    a broken reference.
+    """
+    segments = read_json(spark, collection, f"segments array<struct<{segment_schema}>>").selectExpr("inline(segments)")
+    planned = read_json(spark, plans, f"plans array<struct<{plan_schema}>>").selectExpr("inline(plans)")
+    count = lambda rows, name: rows.groupBy("segment_id").agg(F.count(F.lit(1)).alias(name))
+    both = count(segments, "a").join(count(planned, "b"), "segment_id", "full_outer")
+    broken = both.where("a is distinct from 1 or b is distinct from 1").limit(1).collect()
+    if broken:
+        raise ValueError(f"segment {broken[0].segment_id!r} does not stand once in both documents")
+    return segments, planned
