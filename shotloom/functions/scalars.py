@@ -1,4 +1,4 @@
-"""Scalar functions on columns; all of them stay in the JVM.
+"""Scalar functions on columns; all but the file names, which need Unicode tables, stay in the JVM.
 
 Python's rules are kept where Spark's differ: half-even rounding, Unicode white
 space, first-occurrence order of distinct lists.
@@ -6,6 +6,10 @@ space, first-occurrence order of distinct lists.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -221,3 +225,56 @@ def proxy_required(width: Column, height: Column, rotation: Column, max_width: i
     """Whether the picture as shown, after a quarter turn, is larger than a policy allows."""
     turned = F.pmod(F.abs(rotation), F.lit(180)) == 90
     return F.when(turned, (height > max_width) | (width > max_height)).otherwise((width > max_width) | (height > max_height))
+
+
+def unpack_words(x: Column) -> Column:
+    """The little-endian unsigned 32-bit numbers of a binary value; a length that 4 does not divide is an error."""
+    error = F.raise_error(F.lit("malformed raw fingerprint")).cast("array<bigint>")
+    text = F.hex(x)
+    byte = lambda k, b: F.substr(text, k * 8 + 1 + b * 2, F.lit(2))
+    word = lambda k: F.conv(F.concat(*(byte(k, b) for b in (3, 2, 1, 0))), 16, 10).cast("long")
+    n = (F.octet_length(x) / 4).cast("int")
+    words = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), word)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(x) % 4 != 0, error).otherwise(words)
+
+
+def difference_hash(pixels: Column) -> Column:
+    """64 bits of 8 rows of 9 grey values, first bit highest, as a signed number: whether a value is above its right neighbour."""
+    bit = lambda k: (F.element_at(pixels, (F.floor(k / 8) * 9 + k % 8 + 1).cast("int")) > F.element_at(pixels, (F.floor(k / 8) * 9 + k % 8 + 2).cast("int"))).cast("long")
+    hashed = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, k: F.shiftleft(h, 1).bitwiseOR(bit(k)))
+    return F.when(F.size(pixels) == 72, hashed)
+
+
+# Characters and names that file systems refuse.
+FORBIDDEN_CHARACTERS = '<>:"/\\|?*'
+RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"{name}{k}" for name in ("COM", "LPT") for k in range(1, 10)))
+
+
+def safe_title(x: Column, max_length: int = 80) -> Column:
+    """A text as a file name; one that had to be changed or cut ends with ``--`` and 8 digits of its SHA-256."""
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        # Compatibility forms and categories of characters are not to be had in SQL.
+        named = values.map(lambda v: None if v is None else "".join("_" if unicodedata.category(c)[0] == "C" else c for c in unicodedata.normalize("NFKC", v)))
+        return named.str.replace(f"[{re.escape(FORBIDDEN_CHARACTERS)}]", "_", regex=True).str.replace(r"\s+", " ", regex=True).str.strip(" .")
+
+    name = plain(x)
+    name = F.when(name == "", "untitled").otherwise(name)
+    name = F.when(F.upper(F.substring_index(name, ".", 1)).isin(*RESERVED_NAMES), F.concat(F.lit("_"), name)).otherwise(name)
+    short = F.concat(F.rtrim(F.substring(name, 1, max_length - 10), F.lit(" .")), F.lit("--"), F.substring(F.sha2(x, 256), 1, 8))
+    return F.when((name != x) | (F.char_length(name) > max_length), short).otherwise(name)
+
+
+def safe_identity(x: Column, readable: int = 10) -> Column:
+    """The first letters and digits of an id, ``--`` and 8 digits of its SHA-256; only the digits if ``readable`` is zero."""
+    digest = F.substring(F.sha2(x, 256), 1, 8)
+    if readable <= 0:
+        return digest
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else "".join(c if c.isalnum() or c in "-_." else "_" for c in unicodedata.normalize("NFKC", v)).strip(" ._")[:readable].rstrip(" ._"))
+
+    name = plain(x)
+    return F.concat(F.when(name == "", "id").otherwise(name), F.lit("--"), digest)
