@@ -230,19 +230,23 @@ def proxy_required(width: Column, height: Column, rotation: Column, max_width: i
 def unpack_words(x: Column) -> Column:
     """The little-endian unsigned 32-bit numbers of a binary value; a length that 4 does not divide is an error."""
     error = F.raise_error(F.lit("malformed raw fingerprint")).cast("array<bigint>")
-    text = F.hex(x)
-    byte = lambda k, b: F.substr(text, k * 8 + 1 + b * 2, F.lit(2))
-    word = lambda k: F.conv(F.concat(*(byte(k, b) for b in (3, 2, 1, 0))), 16, 10).cast("long")
-    n = (F.octet_length(x) / 4).cast("int")
-    words = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), word)).otherwise(F.array().cast("array<bigint>"))
+    byte = lambda w, b: F.substring(w, b * 2 + 1, 2)
+    number = lambda w: F.conv(F.concat(*(byte(w, b) for b in (3, 2, 1, 0))), 16, 10).cast("long")
+    # The value is named once, so that one that is itself computed is not computed for each word.
+    words = F.transform(F.regexp_extract_all(F.hex(x), F.lit("(.{8})"), F.lit(1)), number)
     return F.when(F.octet_length(x) % 4 != 0, error).otherwise(words)
 
 
 def difference_hash(pixels: Column) -> Column:
     """64 bits of 8 rows of 9 grey values, first bit highest, as a signed number: whether a value is above its right neighbour."""
-    bit = lambda k: (F.element_at(pixels, (F.floor(k / 8) * 9 + k % 8 + 1).cast("int")) > F.element_at(pixels, (F.floor(k / 8) * 9 + k % 8 + 2).cast("int"))).cast("long")
-    hashed = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, k: F.shiftleft(h, 1).bitwiseOR(bit(k)))
-    return F.when(F.size(pixels) == 72, hashed)
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("h"), none.alias("left"), none.alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        above = F.shiftleft(s["h"], 1).bitwiseOR((s["left"] > x).cast("long"))
+        return F.struct(F.when(s["n"] % 9 == 0, s["h"]).otherwise(above).alias("h"), x.cast("long").alias("left"), (s["n"] + 1).alias("n"))
+
+    return F.aggregate(pixels, start, step, lambda s: F.when(s["n"] == 72, s["h"]))
 
 
 # Characters and names that file systems refuse.
