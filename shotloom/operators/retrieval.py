@@ -84,3 +84,12 @@ def agreeing_join(left: DataFrame, right: DataFrame, key: str, same: dict[str, s
     for a, b in same.items():
         agrees &= F.col(a).eqNullSafe(F.col(b))
     return joined.withColumn("agrees", agrees)
+
+
+def annotation_references(annotations: DataFrame, shots: DataFrame, key: str, line: str = "line_no") -> DataFrame:
+    """Annotations named by the line they stand on, with the seconds of their shot; an unknown shot is an error."""
+    known = shots.select(key, "start_ms", "end_ms", F.lit(True).alias("__known"))
+    joined = annotations.select(key, line).join(known, key, "left")
+    error = F.raise_error(F.concat(F.lit("annotation of unknown shot "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")
+    name = F.when(F.col("__known").isNull(), error).otherwise(F.format_string("cinematography_%04d", F.col(line).cast("long")))
+    return joined.select(name.alias("annotation_id"), key, (F.col("start_ms") / 1000).alias("start_seconds"), (F.col("end_ms") / 1000).alias("end_seconds"))

@@ -169,3 +169,14 @@ def named_boundaries(segments: DataFrame, key: str) -> DataFrame:
         F.when(F.col("ordinal") > 0, name(F.col("ordinal"))).alias("left_boundary_id"),
         F.when(~F.col("__last"), name(F.col("ordinal") + 1)).alias("right_boundary_id"),
     )
+
+
+def lineage_records(manifests: DataFrame, candidates: DataFrame, units: DataFrame, unit: str, name: str = "lineage") -> DataFrame:
+    """Per unit one struct of where it comes from: the columns of its manifest, its candidate and its own.
+
+    ``candidates`` hold session_id, ``units`` candidate_id. Units of an unknown
+    candidate or session are left out.
+    """
+    joined = units.join(candidates, "candidate_id").join(manifests, "session_id")
+    fields = [*manifests.columns, *(c for c in candidates.columns if c != "session_id"), *(c for c in units.columns if c not in ("candidate_id", unit))]
+    return joined.select(unit, F.struct(*fields).alias(name))

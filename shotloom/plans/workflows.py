@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions import scalars
-from shotloom.operators import folds, intervals, manifest, merge, semantics, workflow
+from shotloom.operators import folds, intervals, manifest, merge, retrieval, semantics, workflow
 from shotloom.plans.timelines import DAY, HOUR, events, table
 
 
@@ -213,7 +213,22 @@ def picked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pick_frames(frames, ["user_id", "week"], "event_id", 3)
 
 
+def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("session_id"), "n_name")
+    candidates = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("session_id"), F.col("c_custkey").alias("candidate_id"), "c_mktsegment")
+    units = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("candidate_id"), "o_orderstatus")
+    return semantics.lineage_records(sessions, candidates, units, "o_orderkey").select("o_orderkey", F.to_json("lineage").alias("lineage"))
+
+
+def annotation_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines annotate their orders, whose customers' numbers stand for times."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line_no"))
+    shots = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("start_ms"), (F.col("o_custkey") + 500).alias("end_ms"))
+    return retrieval.annotation_references(lines.join(shots.select("o_orderkey"), "o_orderkey", "left_semi"), shots, "o_orderkey")
+
+
 _NAMES = (
+    lineage_records, annotation_references,
     jobs_in_state, job_by_key, next_actions, first_issue, frozen_configs, catalog_coverage, paging_audit, request_estimate, selection_requests,
     scope_audit, recorded_states, committed_results, stage_order, compact_events, proposed_segments, annotation_audit, candidate_rows,
     lenient_merge_plan, guarded_decisions, anchored_segments, capped_timeline, shot_timeline, artifact_merge, group_snapshot, escaped_turns,
@@ -229,6 +244,9 @@ _P = """p0 AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 p AS (SELECT * FROM p0 WHERE end_anchor IS NOT NULL)"""
 
 ORACLE_SQL = {
+    "lineage_records": """SELECT o_orderkey, '{"session_id":' || n_nationkey || ',"n_name":"' || n_name || '","candidate_id":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","o_orderstatus":"' || o_orderstatus || '"}' AS lineage
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "annotation_references": "SELECT printf('cinematography_%04d', l_linenumber) AS annotation_id, o_orderkey, o_custkey / 1000 AS start_seconds, (o_custkey + 500) / 1000 AS end_seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "jobs_in_state": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "job_by_key": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 33",
     "next_actions": """WITH u AS (SELECT *, o_totalprice > 200000 AS ready, o_orderpriority = '1-URGENT' AS waits FROM orders)

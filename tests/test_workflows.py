@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotloom.functions import scalars
-from shotloom.operators import folds, manifest, semantics, workflow
+from shotloom.operators import folds, manifest, retrieval, semantics, workflow
 from shotloom.plans import workflows
 from shotloom.sources import readers
 
@@ -23,7 +23,7 @@ def norm(rows):
 @pytest.mark.parametrize("name", sorted(workflows.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "customer", "part", "events", "conversations"):
+    for t in ("nation", "orders", "lineitem", "customer", "part", "events", "conversations"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got = workflows.QUERIES[name](spark, FOLDER)
     columns = sorted(got.columns)
@@ -177,3 +177,12 @@ def test_contracts(spark, tmp_path):
     assert segments.count() == plans.count() == 2
     with pytest.raises(ValueError, match="'a'"):
         readers.load_contracts(spark, str(one), str(three), "segment_id: string", "segment_id: string, plan: string")
+
+
+def test_references_of_unknown_shots(spark):
+    shots = spark.createDataFrame([("a", 0, 1500)], "shot_id string, start_ms long, end_ms long")
+    lines = spark.createDataFrame([(1, "a"), (3, "a"), (4, "b")], "line_no int, shot_id string")
+    good = retrieval.annotation_references(lines.where("shot_id = 'a'"), shots, "shot_id")
+    assert sorted(map(tuple, good.collect())) == [("cinematography_0001", "a", 0.0, 1.5), ("cinematography_0003", "a", 0.0, 1.5)]
+    with pytest.raises(Exception, match="unknown shot b"):
+        retrieval.annotation_references(lines, shots, "shot_id").collect()
