@@ -218,3 +218,29 @@ def load_contracts(spark: SparkSession, collection: str, plans: str, segment_sch
     if broken:
         raise ValueError(f"segment {broken[0].segment_id!r} does not stand once in both documents")
     return segments, planned
+
+
+#: What is read of an external evidence package.
+EVIDENCE = "frames array<struct<frame_id: string, timestamp_ms: long, path: string>>, transcript array<struct<start_ms: long, end_ms: long, text: string>>"
+
+
+def evidence_packages(files: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """Frames and transcript spans of evidence packages (JSON text), numbered in order, with the SHA-256 of their package.
+
+    A missing list or field, and a span without a positive length, is an error.
+    """
+    rows = files.select(key, F.sha2(content, 256).alias("package_sha256"), F.from_json(content, EVIDENCE, {"mode": "FAILFAST"}).alias("p"))
+
+    def listed(name: str, bad: Column) -> DataFrame:
+        error = F.raise_error(F.concat(F.lit(f"incomplete {name} in package "), F.col(key).cast("string")))
+        whole = F.when(F.col(f"p.{name}").isNull(), error.cast(dict(rows.select(f"p.{name}").dtypes)[name])).otherwise(F.col(f"p.{name}"))
+        out = rows.select(key, "package_sha256", F.posexplode(whole).alias("position", "x")).select(key, "package_sha256", "position", "x.*")
+        return out.withColumn("position", F.when(F.coalesce(bad, F.lit(True)), error.cast("int")).otherwise(F.col("position")))
+
+    frames = listed("frames", F.col("frame_id").isNull() | (F.col("timestamp_ms") < 0) | F.col("path").isNull())
+    return frames, listed("transcript", F.col("text").isNull() | (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")))
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The rows of one version of a table, which no later version changes."""
+    return spark.read.parquet(f"{root.rstrip('/')}/version={version}")

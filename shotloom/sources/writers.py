@@ -59,3 +59,8 @@ def cached_stage(spark: SparkSession, root: str, name: str, config: str, inputs:
             raise
     build(**inputs).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_snapshot(rows: DataFrame, root: str, version: int) -> None:
+    """Write one version of a table; a version that is there is never written again, but is an error."""
+    rows.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={version}")

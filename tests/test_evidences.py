@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shotloom.functions import scalars
 from shotloom.operators import evidence
 from shotloom.plans import evidences
+from shotloom.sources import readers, writers
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -90,3 +91,22 @@ def test_retries_and_ranges(spark):
     assert got == {("a", "probe"): True, ("a", "plan"): False, ("a", "render"): False, ("b", "probe"): True, ("b", "plan"): True, ("b", "render"): True}
     ranges = spark.createDataFrame([("x", 0.0, 1.0), ("y", -1.0, -1.0), ("z", None, 1.0)], "clip string, a double, b double")
     assert sorted(map(tuple, evidence.range_audit(ranges, "clip", "a", "b").collect())) == [("y", "negative_start"), ("y", "not_half_open"), ("z", "missing_bound")]
+
+
+def test_evidence_packages(spark):
+    good = json.dumps({"frames": [{"frame_id": "f2", "timestamp_ms": 5, "path": "b"}, {"frame_id": "f1", "timestamp_ms": 1, "path": "a"}], "transcript": [{"start_ms": 0, "end_ms": 5, "text": ""}]})
+    frames, spans = readers.evidence_packages(spark.createDataFrame([(1, good)], "id int, content string"), "id", "content")
+    assert [(r.position, r.frame_id, r.package_sha256) for r in frames.orderBy("position").collect()] == [(k, f, hashlib.sha256(good.encode()).hexdigest()) for k, f in enumerate(("f2", "f1"))]
+    assert spans.first().end_ms == 5
+    for bad in ({"transcript": []}, {"frames": [{"frame_id": "f", "path": "a"}], "transcript": []}):
+        with pytest.raises(Exception, match="incomplete frames in package 7"):
+            readers.evidence_packages(spark.createDataFrame([(7, json.dumps(bad))], "id int, content string"), "id", "content")[0].collect()
+
+
+def test_snapshots(spark, tmp_path):
+    root = str(tmp_path / "t")
+    writers.write_snapshot(spark.range(3), root, 1)
+    writers.write_snapshot(spark.range(5), root, 2)
+    assert readers.read_snapshot(spark, root, 1).count() == 3 and readers.read_snapshot(spark, root, 2).count() == 5
+    with pytest.raises(Exception, match="(?i)exists"):
+        writers.write_snapshot(spark.range(1), root, 2)
