@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotloom.session import written
+
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+").findall
 #: Labelled documents that the fit reads at most; the ones of the smallest id hashes.
@@ -28,6 +29,7 @@ MAX_TRAIN = 8_000
 MAX_WORDS = 2_000
 #: Lengths of the beginnings that count, in words longer than them.
 PREFIXES = (4, 5, 6, 7, 8)
+Counts = dict[str, list[int]]
 
 
 def features(word: str) -> list[str]:
@@ -73,54 +75,48 @@ class NoisyOr:
         return min(1.0, max(0.0, -math.expm1(clean))), marked
 
 
-def _select(texts: list[str], toxic: np.ndarray, max_words: int, least: int = 5, z_least: float = 4.0) -> set[int]:
-    """Hashes of the features whose share of toxic documents differs most from the rest, by z score."""
-    own: dict[str, list[int]] = {}
-    kept = []
-    for text in texts:
-        bag: set[int] = set()
-        for word in set(_WORD(text)):
+def count_features(texts: Iterable[str], labels: Iterable[int], most: int = 200_000) -> Iterator[Counts]:
+    """Documents with each feature and toxic documents with it; several counters if there are more than ``most`` features."""
+    counts: Counts = {}
+    for text, label in zip(texts, labels, strict=True):
+        for f in {f for word in set(_WORD(text.lower())) for f in features(word)}:
+            pair = counts.setdefault(f, [0, 0])
+            pair[0] += 1
+            pair[1] += label
+        if len(counts) > most:
+            yield counts
+            counts = {}
+    yield counts
+
+
+def shrink(text: str, chosen: dict[str, int], own: dict[str, list[int]]) -> tuple[int, list[int], list[int]]:
+    """Sentences without a chosen feature, and (sentence, feature) of the others. ``own`` remembers words."""
+    plain, sent, feat, n_sent = 0, [], [], 0
+    for m in _SENTENCE.finditer(text.lower()):
+        found: list[int] = []
+        for word in _WORD(m[0]):
             if word not in own:
-                own[word] = [crc32(f.encode()) for f in features(word)]
-            bag.update(own[word])
-        kept.append(np.fromiter(bag, dtype=np.uint32, count=len(bag)))
-    weight = np.repeat(toxic, [len(x) for x in kept])
-    hashes, place = np.unique(np.concatenate(kept), return_inverse=True)
-    seen, ones = np.bincount(place), np.bincount(place, weight)
-    n, rate = len(texts), toxic.mean()
-    z = np.abs(ones - seen * rate) / np.sqrt(seen * rate * (1 - rate) * np.maximum(1e-9, 1 - seen / n) + 1e-9)
-    z[(seen < least) | (z < z_least)] = 0
-    best = np.argsort(-z, kind="stable")[:max_words]
-    return set(hashes[best[z[best] > 0]].tolist())
-
-
-def fit(texts: list[str], labels: list[int], max_words: int = MAX_WORDS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> NoisyOr:
-    """Maximum likelihood of the noisy-or model by Adam; one kind of label alone gives a model without words."""
-    toxic = np.array(labels, dtype=float)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return NoisyOr(leak=float(toxic.mean()) * 0.98 + 0.01 if len(toxic) else 0.0)
-    lowered = [t.lower() for t in texts]
-    chosen = _select(lowered, toxic, max_words)
-    number: dict[str, int] = {}
-    own: dict[str, list[int]] = {}
-    doc, sent, feat, plain = [], [], [], np.zeros(len(texts))
-    n_sent = 0
-    for k, text in enumerate(lowered):
-        for m in _SENTENCE.finditer(text):
-            found = []
-            for word in _WORD(m[0]):
-                if word not in own:
-                    own[word] = [number.setdefault(f, len(number)) for f in features(word) if crc32(f.encode()) in chosen]
-                found += own[word]
-            if found:
-                doc.append(k)
-                sent += [n_sent] * len(found)
-                feat += found
-                n_sent += 1
-            else:
-                plain[k] += not m[0].isspace()
-    doc, sent, feat = (np.array(x, dtype=np.int64) for x in (doc, sent, feat))
-    k = len(number)
+                if len(own) > 200_000:
+                    own.clear()
+                own[word] = [chosen[f] for f in features(word) if f in chosen]
+            found += own[word]
+        if found:
+            sent += [n_sent] * len(found)
+            feat += found
+            n_sent += 1
+        else:
+            plain += not m[0].isspace()
+    return plain, sent, feat
+
+
+def fit(names: list[str], toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sent: np.ndarray, feat: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> NoisyOr:
+    """Maximum likelihood of the noisy-or model by Adam.
+
+    ``toxic`` and ``plain`` (sentences without a feature) by document; ``doc``: the
+    document of each other sentence; ``sent`` and ``feat``: the sentence and the
+    place in ``names`` of each feature in it.
+    """
+    n_sent, k = len(doc), len(names)
     theta = np.concatenate([np.zeros(k), [-8.0, math.log(0.02)]])  # weights, bias, logit of the leak
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -135,7 +131,7 @@ def fit(texts: list[str], labels: list[int], max_words: int = MAX_WORDS, rounds:
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)
         theta[k] = min(theta[k], -4.0)
-    return NoisyOr({f: float(theta[i]) for f, i in number.items()}, float(theta[k]), float(1 / (1 + math.exp(-theta[k + 1]))))
+    return NoisyOr({f: float(theta[i]) for i, f in enumerate(names)}, float(theta[k]), float(1 / (1 + math.exp(-theta[k + 1]))))
 
 
 def held_out(id_col: str, parts: int = 5) -> Column:
@@ -143,137 +139,70 @@ def held_out(id_col: str, parts: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> NoisyOr:
-    """Fit to at most ``max_train`` labelled documents outside the held-out part.
-
-    Several labels of one document count as their majority (toxic on a tie);
-    null labels count nothing. The fit is one task over the bounded sample.
-    """
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("key")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("key"), "key").limit(max_train))
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).join(sample, "key")
-    # Repeated rows of a document would count it twice; the bound holds for rows as well.
-    sample_rows = rows.orderBy(F.xxhash64("key"), "key").limit(max_train).select("text", "label")
+def _choose(sample: DataFrame, n: int, rate: float, max_words: int, least: int = 5, z_least: float = 4.0) -> list[str]:
+    """The features whose share of toxic documents differs most from the rest, by z score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            marks += batch.column(1).to_pylist()
-        model = fit(texts, marks)
-        names = [*model.weights, None, None]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(model.weights)), -1, -2], pa.int32()), pa.array(names, pa.string()), pa.array([*model.weights.values(), model.bias, model.leak], pa.float64())], ["n", "feature", "value"])
-
-    # The bounded sample is one partition after the limit; only weights go to the driver.
-    found = {r.n: (r.feature, r.value) for r in sample_rows.coalesce(1).mapInArrow(run, "n int, feature string, value double").collect()}
-    if not found:
-        return NoisyOr()
-    return NoisyOr({f: v for n, (f, v) in found.items() if n >= 0}, found[-1][1], found[-2][1])
-
-
-def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Probability that a text is toxic, and (begin, end, probability) of the sentences with a weighted word."""
-        text, marked, plain = text or "", [], 0
-        get, weight, missing = self.known.get, self.weight, object()
-        for m in _SENTENCE.finditer(text):
-            found = []
-            for word in _WORD(m[0].lower()):
-                w = get(word, missing)
-                if w is missing:
-                    w = weight(word)
-                if w is not None:
-                    found.append(w)
-            if found:
-                marked.append((m.start(), m.end(), 1 / (1 + math.exp(min(60.0, -self.bias - sum(found))))))
-            else:
-                plain += not m[0].isspace()
-        clean = math.log1p(-self.leak) - plain * math.log1p(math.exp(self.bias))
-        clean += sum(math.log(max(1e-300, 1 - s)) for _, _, s in marked)
-        return min(1.0, max(0.0, -math.expm1(clean))), marked
-
-
-def _select(texts: list[str], toxic: np.ndarray, max_words: int, least: int = 5, z_least: float = 4.0) -> set[int]:
-    """Hashes of the features whose share of toxic documents differs most from the rest, by z score."""
-    own: dict[str, list[int]] = {}
-    kept = []
-    for text in texts:
-        bag: set[int] = set()
-        for word in set(_WORD(text)):
-            if word not in own:
-                own[word] = [crc32(f.encode()) for f in features(word)]
-            bag.update(own[word])
-        kept.append(np.fromiter(bag, dtype=np.uint32, count=len(bag)))
-    weight = np.repeat(toxic, [len(x) for x in kept])
-    hashes, place = np.unique(np.concatenate(kept), return_inverse=True)
-    seen, ones = np.bincount(place), np.bincount(place, weight)
-    n, rate = len(texts), toxic.mean()
-    z = np.abs(ones - seen * rate) / np.sqrt(seen * rate * (1 - rate) * np.maximum(1e-9, 1 - seen / n) + 1e-9)
-    z[(seen < least) | (z < z_least)] = 0
-    best = np.argsort(-z, kind="stable")[:max_words]
-    return set(hashes[best[z[best] > 0]].tolist())
-
-
-def fit(texts: list[str], labels: list[int], max_words: int = MAX_WORDS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> NoisyOr:
-    """Maximum likelihood of the noisy-or model by Adam; one kind of label alone gives a model without words."""
-    toxic = np.array(labels, dtype=float)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return NoisyOr(leak=float(toxic.mean()) * 0.98 + 0.01 if len(toxic) else 0.0)
-    lowered = [t.lower() for t in texts]
-    chosen = _select(lowered, toxic, max_words)
-    number: dict[str, int] = {}
-    own: dict[str, list[int]] = {}
-    doc, sent, feat, plain = [], [], [], np.zeros(len(texts))
-    n_sent = 0
-    for k, text in enumerate(lowered):
-        for m in _SENTENCE.finditer(text):
-            found = []
-            for word in _WORD(m[0]):
-                if word not in own:
-                    own[word] = [number.setdefault(f, len(number)) for f in features(word) if crc32(f.encode()) in chosen]
-                found += own[word]
-            if found:
-                doc.append(k)
-                sent += [n_sent] * len(found)
-                feat += found
-                n_sent += 1
-            else:
-                plain[k] += not m[0].isspace()
-    doc, sent, feat = (np.array(x, dtype=np.int64) for x in (doc, sent, feat))
-    k = len(number)
-    theta = np.concatenate([np.zeros(k), [-8.0, math.log(0.02)]])  # weights, bias, logit of the leak
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        z = np.bincount(sent, theta[feat], n_sent) + theta[k]
-        s, s0, leak = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[k])), 1 / (1 + np.exp(-theta[k + 1]))
-        clean = np.log1p(-leak) - np.bincount(doc, np.logaddexp(0, z), len(toxic)) - plain * np.logaddexp(0, theta[k])
-        p = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-12)
-        pull = np.where(toxic > 0, (1 - p) / p, -1.0)  # derivative of the likelihood by -log(1 - p)
-        by_z = pull[doc] * s
-        grad = np.concatenate([np.bincount(feat, by_z[sent], k), [by_z.sum() + (pull * plain).sum() * s0, pull.sum() * leak]]) / len(toxic)
-        grad[:k] -= decay * theta[:k] / len(toxic) ** 0.5
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)
-        theta[k] = min(theta[k], -4.0)
-    return NoisyOr({f: float(theta[i]) for f, i in number.items()}, float(theta[k]), float(1 / (1 + math.exp(-theta[k + 1]))))
+            for counts in count_features(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen, ones = zip(*counts.values(), strict=True) if counts else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(seen, pa.int64()), pa.array(ones, pa.int64())], ["feature", "seen", "ones"])
 
-
-def held_out(id_col: str, parts: int = 5) -> Column:
-    """Whether a document is kept from training: crc32 of its id as text, modulo ``parts``, is zero. A null id is."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == 0, F.lit(True))
+    counts = sample.select("text", "label").mapInArrow(run, "feature string, seen long, ones long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones"))
+    spread = F.sqrt(F.col("seen") * rate * (1 - rate) * F.greatest(F.lit(1e-9), 1 - F.col("seen") / n) + 1e-9)
+    z = (F.abs(F.col("ones") - F.col("seen") * rate) / spread).alias("z")
+    best = counts.where(F.col("seen") >= least).select("feature", z).where(F.col("z") >= z_least)
+    return [r.feature for r in best.orderBy(F.desc("z"), "feature").limit(max_words).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> NoisyOr:
     """Fit to at most ``max_train`` labelled documents outside the held-out part.
 
     Several labels of one document count as their majority (toxic on a tie);
-    null labels count nothing. The fit is one task over the bounded sample.
+    null labels count nothing. Rows that repeat a document's text count once, and
+    the bound holds for rows. Texts stay in the tasks that read them: only their
+    numbered features meet in the one task of the fit, and only weights go to the
+    driver. One kind of label alone gives a model without words.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("key")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("key"), "key").limit(max_train))
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).join(sample, "key")
-    # Repeated rows of a document would count it twice; the bound holds for rows as well.
-    pairs = rows.orderBy(F.xxhash64("key"), "key").limit(max_train).select("text", "label").toArrow()
-    return fit(pairs.column(0).to_pylist(), pairs.column(1).to_pylist())
+    marked = F.broadcast(written(known.orderBy(F.xxhash64("key"), "key").limit(max_train), "labels"))
+    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).join(marked, "key").withColumn("hash", F.xxhash64("text"))
+    picked = rows.select("key", "hash").distinct().orderBy(F.xxhash64("key"), "key", "hash").limit(max_train)
+    sample = written(rows.join(F.broadcast(written(picked, "sample")), ["key", "hash"]).dropDuplicates(["key", "hash"]), "sample")
+    n, rate = sample.agg(F.count(F.lit(1)), F.avg("label")).first()
+    if not n or rate in (0.0, 1.0):
+        return NoisyOr(leak=rate * 0.98 + 0.01 if n else 0.0)
+    names = _choose(sample, n, rate, max_words)
+    chosen = {f: k for k, f in enumerate(names)}
+
+    def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list[int]] = {}
+        for batch in batches:
+            plain, sent, feat = zip(*(shrink(x.as_py(), chosen, own) for x in batch.column(0)), strict=True) if batch.num_rows else ((), (), ())
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(plain, pa.int64()), pa.array(sent, ints), pa.array(feat, ints)], ["place", "hash", "label", "plain", "sent", "feat"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, plain, doc, sent, feat = [], [], [], [], []
+        n_doc = n_sent = 0
+        for batch in batches:
+            toxic.append(batch.column(2).to_numpy())
+            plain.append(batch.column(3).to_numpy())
+            for own_sent, own_feat in zip(batch.column(4), batch.column(5), strict=True):
+                s = own_sent.values.to_numpy().astype(np.int64)
+                sent.append(s + n_sent)
+                feat.append(own_feat.values.to_numpy().astype(np.int64))
+                count = int(s[-1]) + 1 if len(s) else 0
+                doc.append(np.full(count, n_doc, dtype=np.int64))
+                n_doc, n_sent = n_doc + 1, n_sent + count
+        model = fit(names, *(np.concatenate(x) for x in ([x.astype(float) for x in toxic], plain, doc, sent, feat)))
+        values = [*(model.weights[f] for f in names), model.bias, model.leak]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values, pa.float64())], ["n", "value"])
+
+    small = sample.select("text", F.xxhash64("key").alias("place"), "hash", "label").mapInArrow(shrunk, "place long, hash long, label int, plain long, sent array<int>, feat array<int>")
+    found = small.repartition(1).sortWithinPartitions("place", "hash").mapInArrow(fitted, "n int, value double").collect()
+    *weights, bias, leak = (r.value for r in sorted(found))
+    return NoisyOr(dict(zip(names, weights, strict=True)), bias, leak)
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -241,6 +241,29 @@ def test_toxicity_on_held_out_documents(spark, awkward, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_texts_stay_in_tasks(spark, monkeypatch):
+    import ast
+    import inspect
+    import os
+
+    names = [n.name for n in ast.parse(inspect.getsource(toxicity)).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+    assert len(names) == len(set(names))  # a second definition would replace the first
+    driver, fit = os.getpid(), toxicity.fit
+
+    def guarded(*args):
+        assert os.getpid() != driver, "the fit runs on the driver"
+        return fit(*args)
+
+    docs, labels = toxic_rows(300)
+    docs += [docs[1]] * 3 + [(5, docs[5][1] + " More.")]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(type(marks), "toArrow", lambda self: pytest.fail("texts go to the driver"))
+    monkeypatch.setattr(toxicity, "fit", guarded)
+    model = toxicity.train(rows_of(spark, docs), marks)
+    assert model.weights and all(isinstance(w, float) for w in model.weights.values())
+    assert toxicity.train(rows_of(spark, docs), marks.where("toxic = 1")).leak == pytest.approx(0.99)
+
+
 # pages
 
 
