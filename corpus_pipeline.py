@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import decontaminate, packing, simhash, substrings, toxicity
+from shotloom.llm import decontaminate, packing, similar, substrings, toxicity
 from shotloom.llm.queries import tokenizer_file
 from shotloom.session import broadcast_if_small, fresh_dir, written
 
@@ -41,8 +41,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one of the smallest id."""
-    groups = simhash.near_duplicates(docs)
+    """One document of each group of similar texts (five-word Jaccard of 0.8 or more) stays: the one of the smallest id."""
+    groups = similar.similar_groups(docs)
     kept = _without(docs, groups.where("doc_id <> component_id"))
     name = _free(docs, "same_text")
     return kept.withColumn(name, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", name]).drop(name)

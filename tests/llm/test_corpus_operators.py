@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shotloom.llm import conversations, decontaminate, host_quality, html_text, interpolation, packing, simhash, substrings, toxicity, warc
+from shotloom.llm import conversations, decontaminate, host_quality, html_text, interpolation, packing, simhash, similar, substrings, toxicity, warc
 from shotloom.llm.queries import tokenizer_file
 
 #: Columns whose names the operators use themselves.
@@ -438,6 +438,52 @@ def test_leaks_survive_substitutions(spark, awkward, nothing):
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(awkward, items.where("false")).count() == 0
 
 
+# similar texts
+
+
+def edited(text: str, every: int) -> str:
+    words = text.split()
+    return " ".join(f"new{k}" if k % every == every // 2 else w for k, w in enumerate(words))
+
+
+def test_similar_texts_by_brute_force(spark, nothing):
+    rng = random.Random(5)
+    texts = [prose(k, rng.randint(3, 400)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rows += [(100 + 40 * j + k, edited(t, every)) for j, every in enumerate((35, 47, 60, 120)) for k, t in enumerate(texts)]
+    rows += [(900, None), (901, ""), (902, " "), (903, "a b"), (904, "A  b"), (None, texts[3]), (905, texts[4]), (4, prose(77, 50))]
+    sets = [set(similar.shingles(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    spread = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+                spread += rows[a][1] != rows[b][1] and (simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])).bit_count() > 3
+    assert spread > 20
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), []).append(rows[k][0])
+    want = Counter((rows[k][0], min(x for x in groups[find(k)] if x is not None)) for k in range(len(rows)))
+    got = Counter((r.doc_id, r.component_id) for r in similar.similar_groups(rows_of(spark, rows)).collect())
+    assert got == want
+    assert similar.similar_groups(nothing).count() == 0
+
+
+def test_stage_drops_copies_with_spread_edits(spark):
+    text = prose(501, 300)
+    other = edited(text, 60)
+    assert (simhash.fingerprint(text) ^ simhash.fingerprint(other)).bit_count() > 3
+    out = corpus_pipeline.near_duplicate_stage(spark, rows_of(spark, [(1, text), (2, other), (3, edited(text, 20))]), "")
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [1, 3]
+
+
 # pipeline
 
 
