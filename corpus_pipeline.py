@@ -49,17 +49,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings are cut out of the texts; a text of which nothing is left goes.
+    """Repeats of 400 bytes or of over 50 words are cut out of the texts; a text of which no word is left goes.
 
     A cut inside a character leaves the rest of it out, so that texts stay valid.
     Rows without an id stay as they are.
     """
-    cuts = substrings.remove_repeats(docs, with_kept=True).where("n_removed > 0 and doc_id is not null").select("doc_id", F.col("kept").cast("string").alias("kept"))
-    whole = F.try_validate_utf8("kept")
-    text = F.coalesce(whole, F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
-    cut_id, cut_text = _free(docs, "cut_id"), _free(docs, "cut_text")
-    cuts = written(cuts.select(F.col("doc_id").alias(cut_id), text.alias(cut_text)).dropDuplicates([cut_id]), "cuts")
-    out = docs.join(cuts, docs["doc_id"] == cuts[cut_id], "left").where(f"{cut_text} is null or {cut_text} <> ''")
+    cut_id, cut_text, by_bytes, by_words = (_free(docs, name) for name in ("cut_id", "cut_text", "by_bytes", "by_words"))
+    cuts = substrings.passages(docs).withColumnsRenamed({"doc_id": cut_id, "by_bytes": by_bytes, "by_words": by_words})
+    out = docs.join(written(cuts, "cuts"), docs["doc_id"] == F.col(cut_id), "left")
+    cut = F.udf(substrings.cut_text, "string", useArrow=True).asNondeterministic()
+    out = out.withColumn(cut_text, cut(F.when(F.col(cut_id).isNotNull(), F.col("text")), by_bytes, by_words)).where(f"{cut_text} is null or {cut_text} <> ''")
     columns = {"text": F.coalesce(cut_text, "text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col(cut_text).isNull(), F.col("n_chars")).otherwise(F.char_length(cut_text).cast("long"))

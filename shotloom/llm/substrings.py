@@ -25,6 +25,7 @@ corpus shares is summed before it is sent.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
@@ -33,6 +34,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+from xxhash import xxh32_intdigest
 
 from shotloom.session import broadcast_if_small, written
 
@@ -42,6 +45,8 @@ BLOCK = 1 << 19
 SIEVE_WORDS = 1 << 20
 #: Document ids that are broadcast at most, to pick texts before they are shuffled.
 IDS_AT_ONCE = 1_000_000
+#: Bytes of the number that stands for a word.
+CODE = 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -190,8 +195,8 @@ def _joined(a: Found, b: Found) -> Found:
     return Found(*(np.concatenate([getattr(a, f.name), getattr(b, f.name)]) for f in fields(Found)))
 
 
-def _bytes(text: str | None) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if text else b""
+def _bytes(text: str | bytes | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
 
 
 def _unique(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,11 +336,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if asked, kept (binary, the other bytes in order). A string counts as repeated
     if it starts at two places of the corpus, in one text or in two, also where
     they overlap; all of its places are taken out, judged on the input. Strings
-    never cross texts. A null text is empty; texts shorter than ``min_bytes`` stay
+    never cross texts. A null text is empty, a binary one is taken as it is; texts shorter than ``min_bytes`` stay
     whole. Rows that repeat a document repeat its strings. Null ids are kept.
     """
     parser_of = (min_bytes, trigger, modulus_bits)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[text_col].dataType
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("").cast(kind)).alias("text"))
     same_id = F.col("doc_id").eqNullSafe(F.col("key"))
     marks = _judge(lambda sieve: _trigger_rows(rows, parser_of, sieve), 0)
     picked = rows.join(broadcast_if_small(marks.select("key"), IDS_AT_ONCE), same_id, "left_semi")
@@ -367,6 +373,80 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_kept
     changed = judged.select("doc_id", "packed", "open0", "open1", "whole0", "whole1", "whole2").mapInArrow(run, schema)
-    zero, kept = F.lit(0).cast("long"), F.encode("text", "utf-8")
+    zero, kept = F.lit(0).cast("long"), F.col("text") if kind == BinaryType() else F.encode("text", "utf-8")
     same = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<struct<begin: long, end: long>>").alias("spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept")] if with_kept else []))
     return changed.unionByName(same.join(broadcast_if_small(written(changed_ids, "ids"), IDS_AT_ONCE), same_id, "left_anti"))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_codes(text: str | None) -> bytes:
+    """A hash of CODE bytes for each word of a text; equal runs of words are equal runs of bytes."""
+    words = _bytes(text).split()
+    return np.fromiter(map(xxh32_intdigest, words), dtype="<u4", count=len(words)).tobytes()
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_codes(x.as_py()) for x in batch.column(1)], pa.binary())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, min_words: int = 51) -> DataFrame:
+    """What of each document is repeated, as strings of ``min_bytes`` or as runs of ``min_words`` words, however short.
+
+    Returns doc_id and, for ``cut_text``, by_bytes and by_words: spans in the text
+    and in its word codes, one struct for each text of the id. Documents without
+    an id or a repeat are left out.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # At 2**5 a run of words has a trigger as surely as 400 bytes have at 2**6.
+    kinds = {"by_bytes": remove_repeats(rows, min_bytes=min_bytes, with_kept=False), "by_words": remove_repeats(_coded(rows), min_bytes=min_words * CODE, modulus_bits=5, with_kept=False)}
+    found = None
+    for name, out in kinds.items():
+        out = out.where("n_removed > 0 and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("spans", "kept_sha256")).alias(name))
+        out = written(out, name)
+        found = out if found is None else found.join(out, "doc_id", "full")
+    return found
+
+
+def _without(data: bytes, spans: list) -> list[bytes]:
+    ends = [0, *(x for s in spans for x in (s["begin"], s["end"])), len(data)]
+    return [data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+
+
+def _own(data: bytes, told: list | None) -> list:
+    """The spans of this text among those of its id."""
+    for x in told or []:
+        if hashlib.sha256(b"".join(_without(data, x["spans"]))).hexdigest() == x["kept_sha256"]:
+            return x["spans"]
+    return []
+
+
+def cut_text(text: str | None, by_bytes: list | None, by_words: list | None, min_words: int = 51) -> str | None:
+    """The text without its repeats, empty if no word is left; None if nothing is cut.
+
+    A cut inside a character leaves the rest of it out.
+    """
+    data = _bytes(text)
+    gone = [(s["begin"], s["end"]) for s in _own(data, by_bytes)]
+    spans = _own(word_codes(text), by_words) if by_words else []
+    if spans:
+        places = [m.span() for m in _WORD.finditer(data)]
+        for s in spans:
+            first, end = -(-s["begin"] // CODE), s["end"] // CODE  # codes of unlike words may share bytes at the edges
+            if end - first >= min_words:
+                gone.append((places[first][0], places[end - 1][1]))
+    if not gone:
+        return None
+    runs: list[dict[str, int]] = []
+    for a, b in sorted(gone):
+        if runs and a <= runs[-1]["end"]:
+            runs[-1]["end"] = max(b, runs[-1]["end"])
+        else:
+            runs.append({"begin": a, "end": b})
+    kept = _without(data, runs)
+    return "".join(x.decode("utf-8", "ignore") for x in kept) if b"".join(kept).strip() else ""

@@ -438,6 +438,25 @@ def test_leaks_survive_substitutions(spark, awkward, nothing):
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(awkward, items.where("false")).count() == 0
 
 
+def test_stage_cuts_passages_of_short_words(spark):
+    short = random.Random(3)
+    passage, fifty = (" ".join("".join(short.choice("abcdefghi") for _ in range(short.randint(1, 3))) for _ in range(n)) for n in (51, 50))
+    assert len(passage) < 200
+    blob = "".join(chr(0x4E00 + short.randrange(2000)) for _ in range(150))  # one word of 450 bytes
+    rows = [(1, f"{prose(81, 40)} {passage} {prose(82, 40)}"), (2, f"{prose(83, 60)}\n{passage}  {prose(84, 9)}"), (3, f"{prose(85, 30)} {fifty} {prose(86, 30)}"), (4, f"{prose(87, 30)} {fifty} {prose(88, 30)}")]
+    rows += [(5, f"{prose(89, 20)} {blob} {prose(90, 20)}"), (6, f"{prose(91, 20)} {blob} {prose(92, 20)}"), (7, passage), (2, prose(93, 30)), (None, passage), (8, None)]
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.substring_stage(spark, rows_of(spark, rows), "").collect())
+    want = []
+    for k, text in rows:
+        if k is not None and text:
+            text = text.replace(passage, "").replace(blob, "")
+        if text != "":
+            want.append((k, text, len(text or "")))
+    squeezed = lambda rows: Counter((k, x and "".join(x.split())) for k, x, _ in rows)
+    assert all(n == len(x or "") for _, x, n in got.elements())
+    assert squeezed(got.elements()) == squeezed(want)
+
+
 # similar texts
 
 
