@@ -1,6 +1,7 @@
 """Scalars, manifest, entity, planning, state, readers, sinks and streams."""
 
 import json
+import math
 import os
 import random
 
@@ -171,6 +172,26 @@ def test_selection_is_bounded_and_ordered(spark):
     assert [(r.facet_id, r.candidate_id) for r in got] == [(1, k) for k in (1, 3, 5, 7, 9)]
 
 
+def test_selection_keeps_common_words(spark):
+    facets = spark.createDataFrame([(1, "common harbor"), (2, "common"), (3, "harbor lantern")], "facet_id int, facet_text string")
+    rows = [(k, "common" + " harbor" * (k % 7 == 0) + " lantern" * (k % 11 == 0)) for k in range(10_100)] + [(10_200, "harbor"), (10_200, "harbor lantern"), (None, "lantern")]
+    c = spark.createDataFrame(rows, "candidate_id int, search_text string")
+    got = [(r.facet_id, r.candidate_id, r.n_shared, r.score) for r in selection.rank_candidates(facets, c, most=5).orderBy("facet_id", "rank").collect()]
+    held = {w: sum(w in text.split() for _, text in rows) for w in ("common", "harbor", "lantern")}
+    want = []
+    for facet, asked in ((1, "common harbor"), (2, "common"), (3, "harbor lantern")):
+        found = {}
+        for k, text in rows:
+            for w in set(asked.split()) & set(text.split()):
+                n, score = found.get(k, (0, 0.0))
+                found[k] = (n + 1, score + math.log(1 + len(rows) / held[w]))
+        best = sorted((-round(s, 4), -n, -1 if k is None else k, k) for k, (n, s) in found.items())[:5]
+        want += [(facet, k, -n, -s) for s, n, _, k in best]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-4 for g, w in zip(got, want, strict=True))
+    slow = [tuple(r)[:3] for r in selection.rank_candidates(facets, c, most=5, facet_words=1).orderBy("facet_id", "rank").collect()]
+    assert slow == [w[:3] for w in want]
+
+
 def test_subtitles(spark):
     srt = "﻿1\r\n00:00:01,000 --> 00:00:02,500\r\n<i>Hello</i>\r\nthere\r\n\r\n2\r\n00:00:03,000 --> 00:00:04,000\r\n\r\n\r\n3\r\n00:00:05,000 --> 00:00:06,000\r\nend"
     got = [tuple(r)[1:5] for r in readers.parse_subtitles(spark.createDataFrame([("f", srt)], "f string, t string"), "f", "t").orderBy("span_no").collect()]
