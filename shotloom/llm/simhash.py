@@ -28,6 +28,15 @@ from shotloom.session import cut
 BUCKET_LIMIT = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the unsigned 64-bit hashes, as a signed integer; zero for none."""
+    votes = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), 65536):
+        block = hashes[low : low + 65536].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """SimHash of one text as a signed 64-bit integer; zero for a text without words."""
     words = words_lower(text)
@@ -39,11 +48,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     total = max(1, len(words) - shingle + 1)
     hashes = np.fromiter(map(xxh64_intdigest, parts, repeat(seed)), dtype="<u8", count=total)
-    votes = np.zeros(64, dtype=np.int64)
-    for low in range(0, total, 65536):
-        block = hashes[low : low + 65536].view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > total, bitorder="little").view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -1,14 +1,19 @@
-"""Groups of similar texts: sets of word shingles whose Jaccard similarity reaches a bound.
-
-Candidates share a band of MinHash values; texts of one set of shingles are one
-node. A pair of similarity s is missed by all bands with probability
-(1 - s**BAND_ROWS)**BANDS, which is 4e-7 at s = 0.8 and less above. Every
-candidate is verified on the sets themselves before it links.
+"""Groups of similar texts: SimHash neighbours, verified, and the similar texts that lie further apart.
+
+Texts of one set of word shingles are one node. Nodes whose SimHashes differ in
+at most RADIUS bits meet under the covering masks of ``simhash``; a pair links if
+the Jaccard similarity of its sets reaches the bound. That finds the close copies
+and settles large groups early, but a similarity of 0.8 leaves two SimHashes 9.7
+of 64 bits apart on average (a bit differs with probability acos(2s / (1 + s)) / pi
+= 0.15), so that under one pair in a hundred at the bound lies within three bits.
+What the masks leave apart therefore meets in bands of MinHash values too: a pair
+of similarity s is missed by all bands with probability (1 - s**BAND_ROWS)**BANDS,
+which is 4e-7 at s = 0.8 and less above. Every candidate is verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -17,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from shotloom.llm.simhash import fingerprint_links, majority
 from shotloom.llm.text import words_lower
 from shotloom.operators.graph import connected_components
-from shotloom.session import broadcast_if_small, written
+from shotloom.session import broadcast_if_small, cut, written
 
+#: Bits in which the SimHashes of first candidates may differ.
+RADIUS = 3
 BANDS = 28
 BAND_ROWS = 4
 #: Ids that are broadcast at most, to pick texts before they are shuffled.
@@ -62,7 +70,7 @@ def _signed(x: int) -> int:
 
 
 def _sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """(doc_id, node, n and bands) of every row, or with ``whole`` (doc_id, node, shingles)."""
+    """(doc_id, node, n, fp and bands) of every row, or with ``whole`` (doc_id, node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
@@ -73,9 +81,9 @@ def _sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
                 if whole:
                     yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([x.view(np.int64) for x in found], longs)], ["doc_id", "node", "shingles"])
                 else:
-                    yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([len(x) for x in found], pa.int64()), pa.array([bands(x).view(np.int64) for x in found], longs)], ["doc_id", "node", "n", "bands"])
+                    yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([len(x) for x in found], pa.int64()), pa.array([majority(x) for x in found], pa.int64()), pa.array([bands(x).view(np.int64) for x in found], longs)], ["doc_id", "node", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, shingles array<long>" if whole else "doc_id long, node long, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, node long, shingles array<long>" if whole else "doc_id long, node long, n long, fp long, bands array<long>")
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -96,6 +104,24 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return written(nodes.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "nodes")
 
 
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their root, of the bands in which several groups are left."""
+    rooted = written(members.join(roots.select("node", "root"), "node"), "members")
+    split = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+    return rooted.join(split, "band", "left_semi")
+
+
+def _neighbours(nodes: DataFrame, ends: Callable, near: Callable) -> DataFrame:
+    """Pairs (src, dst) that join the nodes whose SimHashes lie within RADIUS bits, as far as sizes allow."""
+    leads = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("lead")))
+    same = nodes.join(leads, "fp").where(F.col("node") != F.col("lead.node"))
+    same = same.where(near(F.col("n"), F.col("lead.n"))).select(*ends(F.col("node"), F.col("lead.node")))
+    side = lambda name: leads.select(F.col("fp").alias(name), F.col("lead").alias(f"{name}_lead"))
+    close = fingerprint_links(leads.select("fp"), RADIUS).join(side("src"), "src").join(side("dst"), "dst")
+    close = close.where(near(F.col("src_lead.n"), F.col("dst_lead.n"))).select(*ends(F.col("src_lead.node"), F.col("dst_lead.node")))
+    return same.unionByName(close).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, node and component_id (the smallest doc_id reachable over links).
 
@@ -103,29 +129,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles is at least ``least``. Texts without words are one group. A null id is
     kept and never names a component while another id is there.
 
-    Each bucket's members are first held against its smallest member, which joins
-    large groups by few comparisons; then all pairs of a bucket that are not yet
-    in one group are.
+    Neighbours by SimHash link first. Then each band's members are held against its
+    smallest member, which joins large groups by few comparisons, and at last all
+    pairs of a band that are not yet in one group are. Repeated rows keep their
+    rows; an empty table gives none; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = written(_sets(texts, width, whole=False), "marked")
-    plain = nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("band"))
-    full = written(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("lead")).where("m > 1"), "buckets")
-    members = written(keyed.join(full.select("band", "lead"), "band"), "members")
+    plain = nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "bands"))), "nodes")
     near = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
     ends = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    tried = written(_neighbours(nodes.select("node", "n", "fp"), ends, near), "pairs")
+    links = written(_verified(texts, plain, tried, width, least), "links")
+    roots = _components(nodes.select("node", "least"), links)
+    keyed = nodes.select("node", "n", F.explode("bands").alias("band"))
+    full = written(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("lead")).where("m > 1"), "buckets")
+    members = written(_apart(keyed.join(full.select("band", "lead"), "band"), roots), "members")
     first = members.where((F.col("node") != F.col("lead.node")) & near(F.col("n"), F.col("lead.n"))).select(*ends(F.col("node"), F.col("lead.node"))).distinct()
-    first = written(first, "pairs")
-    links = written(_verified(texts, plain, first, width, least), "links")
+    first = written(first.join(tried, ["src", "dst"], "left_anti"), "pairs")
+    links = links.unionByName(written(_verified(texts, plain, first, width, least), "links"))
     roots = _components(nodes.select("node", "least"), links)
-    # Buckets in which several groups are left.
-    members = written(members.select("band", "node", "n").join(roots.select("node", "root"), "node"), "members")
-    split = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    members = written(members.join(split, "band", "left_semi"), "members")
+    members = written(_apart(members.drop("root"), roots), "members")
     other = members.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "root")))
     met = members.join(other, "band").where((F.col("root") < F.col("other_root")) & near(F.col("n"), F.col("other_n")))
-    second = met.select(*ends(F.col("node"), F.col("other_node"))).distinct().join(first, ["src", "dst"], "left_anti")
+    second = met.select(*ends(F.col("node"), F.col("other_node"))).distinct().join(first.unionByName(tried), ["src", "dst"], "left_anti")
     links = links.unionByName(written(_verified(texts, plain, written(second, "pairs"), width, least), "links"))
     roots = _components(nodes.select("node", "least"), links)
     names = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "names")

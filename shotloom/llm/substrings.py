@@ -32,9 +32,8 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 from xxhash import xxh32_intdigest
 
 from shotloom.session import broadcast_if_small, written
@@ -47,6 +46,7 @@ SIEVE_WORDS = 1 << 20
 IDS_AT_ONCE = 1_000_000
 #: Bytes of the number that stands for a word.
 CODE = 4
+Encode = Callable[[str | None], bytes]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -195,8 +195,8 @@ def _joined(a: Found, b: Found) -> Found:
     return Found(*(np.concatenate([getattr(a, f.name), getattr(b, f.name)]) for f in fields(Found)))
 
 
-def _bytes(text: str | bytes | None) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def _unique(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,25 +228,30 @@ def _passes(sieve: np.ndarray, core: np.ndarray) -> np.ndarray:
     return (sieve[core & np.uint64(SIEVE_WORDS - 1)] >> ((core >> shift) & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _trigger_rows(docs: DataFrame, parser_of: tuple, sieve: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, core, ctx, n) of every trigger that passes; equal rows of a document are one with their number."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """A number for a row's id and text; rows that repeat both share it."""
+    return F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _trigger_rows(rows: DataFrame, parser_of: tuple, encode: Encode, sieve: np.ndarray | None = None) -> DataFrame:
+    """(key, core, ctx, n) of every trigger that passes; equal rows of a text are one with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(*parser_of)
         for batch in batches:
-            ids = batch.column(0)
+            keys = batch.column(0)
             for low in range(0, batch.num_rows, 128):
-                texts = [_bytes(x) for x in batch.column(1).slice(low, 128).to_pylist()]
+                texts = [encode(x) for x in batch.column(1).slice(low, 128).to_pylist()]
                 for data, pieces in parser.blocks(texts):
                     found, _, _ = parser.parse(data, pieces)
                     text = pieces[found.piece, 0]
-                    rows, n = _unique(found.ctx, found.core, text)
+                    own, n = _unique(found.ctx, found.core, text)
                     if sieve is not None:
-                        passed = _passes(sieve, found.core[rows])
-                        rows, n = rows[passed], n[passed]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[rows] + low)), pa.array(found.core[rows].view(np.int64)), pa.array(found.ctx[rows].view(np.int64)), pa.array(n)], ["doc_id", "core", "ctx", "n"])
+                        passed = _passes(sieve, found.core[own])
+                        own, n = own[passed], n[passed]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(text[own] + low)), pa.array(found.core[own].view(np.int64)), pa.array(found.ctx[own].view(np.int64)), pa.array(n)], ["key", "core", "ctx", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, core long, ctx long, n long")
+    return rows.select("key", "text").mapInArrow(run, "key long, core long, ctx long, n long")
 
 
 def _levels(parser: Parser, text: bytes, going: list[np.ndarray]) -> Iterator[tuple[int, Found, int]]:
@@ -264,21 +269,21 @@ def _levels(parser: Parser, text: bytes, going: list[np.ndarray]) -> Iterator[tu
 
 
 def _finer_rows(marked: DataFrame, parser_of: tuple, level: int) -> DataFrame:
-    """(doc_id, core, ctx, n) of the bands of a level, for what the levels before left open."""
+    """(key, core, ctx, n) of the bands of a level, for what the levels before left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(*parser_of)
         for batch in batches:
-            for doc_id, packed, *marks in zip(*(batch.column(k) for k in range(2 + level)), strict=True):
+            for key, packed, *marks in zip(*(batch.column(k) for k in range(2 + level)), strict=True):
                 going = [_keys(m) for m in marks]
                 if not len(going[-1]):
                     continue
                 for at, found, _ in _levels(parser, zstandard.decompress(packed.as_py()), going):
                     if at == level:
                         rows, n = _unique(found.ctx, found.core)
-                        yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(rows), pa.int64()), pa.array(found.core[rows].view(np.int64)), pa.array(found.ctx[rows].view(np.int64)), pa.array(n)], ["doc_id", "core", "ctx", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), pa.int64()), pa.array(found.core[rows].view(np.int64)), pa.array(found.ctx[rows].view(np.int64)), pa.array(n)], ["key", "core", "ctx", "n"])
 
-    return marked.select("doc_id", "packed", *(f"open{k}" for k in range(level))).mapInArrow(run, "doc_id long, core long, ctx long, n long")
+    return marked.select("key", "packed", *(f"open{k}" for k in range(level))).mapInArrow(run, "key long, core long, ctx long, n long")
 
 
 def _keys(values: pa.Scalar) -> np.ndarray:
@@ -302,80 +307,94 @@ def _spans(parser: Parser, data: bytes, open_keys: list[np.ndarray], whole: list
     return runs
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """The same rows with compressed texts."""
+def _packed(rows: DataFrame, encode: Encode) -> DataFrame:
+    """The same rows with compressed bytes of what is parsed of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = pa.array([squeeze.compress(_bytes(x.as_py())) for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), batch.column(3)], ["doc_id", "packed", "open0", "whole0"])
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                packed = pa.array([squeeze.compress(encode(x.as_py())) for x in part.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, part.column(3), part.column(4)], ["key", "doc_id", "packed", "open0", "whole0"])
 
-    return rows.select("doc_id", "text", "open0", "whole0").mapInArrow(run, "doc_id long, packed binary, open0 array<long>, whole0 array<long>")
+    return rows.select("key", "doc_id", "text", "open0", "whole0").mapInArrow(run, "key long, doc_id long, packed binary, open0 array<long>, whole0 array<long>")
 
 
 def _judge(rows_of: Callable[[np.ndarray | None], DataFrame], level: int) -> DataFrame:
-    """(key, open, whole): of each document's bands with a repeated dictionary key, the parse keys to look into and those that are repeated."""
+    """(key, open, whole): of each text's bands with a repeated dictionary key, the parse keys to look into and those that are repeated."""
     counts = rows_of(None).groupBy("core").agg(F.sum("n").alias("m"))
     repeated = written(counts.where("m > 1").select("core"), "keys")
     candidates = written(rows_of(_sieve(repeated) if level == 0 else None).join(repeated, "core", "left_semi"), "bands")
-    contexts = written(candidates.groupBy("core", "ctx").agg(F.sum("n").alias("m"), F.min("doc_id").alias("first")), "parses")
+    contexts = written(candidates.groupBy("core", "ctx").agg(F.sum("n").alias("m"), F.min("key").alias("first")), "parses")
     unsure = contexts.where("m = 1").select("core", F.lit(True).alias("unsure")).distinct()
     contexts = written(contexts.where("m > 1").join(unsure, "core", "left"), "parses")
     flagged = candidates.join(contexts, ["core", "ctx"], "left")
-    whole, leads = F.col("m").isNotNull(), F.col("unsure") & F.col("doc_id").eqNullSafe(F.col("first"))
+    whole, leads = F.col("m").isNotNull(), F.col("unsure") & (F.col("key") == F.col("first"))
     open_keys = F.collect_set(F.when(~whole | leads, F.col("ctx"))).alias(f"open{level}")
-    return written(flagged.groupBy(F.col("doc_id").alias("key")).agg(open_keys, F.collect_set(F.when(whole, F.col("ctx"))).alias(f"whole{level}")), "marks")
+    return written(flagged.groupBy("key").agg(open_keys, F.collect_set(F.when(whole, F.col("ctx"))).alias(f"whole{level}")), "marks")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, trigger: int = 16, modulus_bits: int = 6, with_kept: bool = True) -> DataFrame:
-    """Take out every byte that a repeated string of ``min_bytes`` covers.
+_NAMES = ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept")
 
-    One row per input row: doc_id, n_bytes, n_removed, n_spans, spans (begin and
-    end of the maximal removed runs, in bytes of the UTF-8 text), kept_sha256 and,
-    if asked, kept (binary, the other bytes in order). A string counts as repeated
-    if it starts at two places of the corpus, in one text or in two, also where
-    they overlap; all of its places are taken out, judged on the input. Strings
-    never cross texts. A null text is empty, a binary one is taken as it is; texts shorter than ``min_bytes`` stay
-    whole. Rows that repeat a document repeat its strings. Null ids are kept.
-    """
-    parser_of = (min_bytes, trigger, modulus_bits)
-    kind = docs.schema[text_col].dataType
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("").cast(kind)).alias("text"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("key"))
-    marks = _judge(lambda sieve: _trigger_rows(rows, parser_of, sieve), 0)
-    picked = rows.join(broadcast_if_small(marks.select("key"), IDS_AT_ONCE), same_id, "left_semi")
-    marked = written(_packed(picked.join(marks, same_id).drop("key")), "texts")
+
+def _changed(rows: DataFrame, parser_of: tuple, encode: Encode, with_kept: bool) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (key, doc_id, text) the ones with a repeat, with what is taken out of them, and their keys."""
+    marks = _judge(lambda sieve: _trigger_rows(rows, parser_of, encode, sieve), 0)
+    own = F.col("key") == F.col("own")
+    picked = rows.join(broadcast_if_small(marks.select(F.col("key").alias("own")), IDS_AT_ONCE), own, "left_semi")
+    marked = written(_packed(picked.join(marks, "key"), encode), "texts")
     levels = [marks]
     for level in (1, 2):
         levels.append(_judge(lambda _, level=level: _finer_rows(marked, parser_of, level), level))  # noqa: B023
-        marked = marked.join(levels[-1], same_id, "left").drop("key")
+        marked = marked.join(levels[-1], "key", "left")
         marked = written(marked, "texts") if level == 1 else marked
     judged = marked.where(" or ".join(f"coalesce(size(whole{k}), 0) > 0" for k in range(3)))
-    changed_ids = levels[0].where("size(whole0) > 0").select("key")
+    keys = levels[0].where("size(whole0) > 0").select("key")
     for k in (1, 2):
-        changed_ids = changed_ids.unionByName(levels[k].where(f"size(whole{k}) > 0").select("key"))
-    changed_ids = changed_ids.distinct()
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"][: 6 + with_kept]
+        keys = keys.unionByName(levels[k].where(f"size(whole{k}) > 0").select("key"))
+    names = ["key", *_NAMES[: 6 + with_kept]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(*parser_of)
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        kinds = [pa.int64()] * 4 + [span, pa.string(), pa.binary()]
+        kinds = [pa.int64()] * 5 + [span, pa.string(), pa.binary()]
         for batch in batches:
-            for doc_id, packed, *marks in zip(*(batch.column(k) for k in range(7)), strict=True):
+            for key, doc_id, packed, *marks in zip(*(batch.column(k) for k in range(8)), strict=True):
                 data = zstandard.decompress(packed.as_py())
                 runs = _spans(parser, data, [_keys(m) for m in marks[:2]], [_keys(m) for m in marks[2:]])
                 ends = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                row = (doc_id.as_py(), len(data), len(data) - len(kept), len(runs), [{"begin": a, "end": b} for a, b in runs], hashlib.sha256(kept).hexdigest(), kept)
+                row = (key.as_py(), doc_id.as_py(), len(data), len(data) - len(kept), len(runs), [{"begin": a, "end": b} for a, b in runs], hashlib.sha256(kept).hexdigest(), kept)
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row[: len(names)], kinds, strict=False)], names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_kept
-    changed = judged.select("doc_id", "packed", "open0", "open1", "whole0", "whole1", "whole2").mapInArrow(run, schema)
-    zero, kept = F.lit(0).cast("long"), F.col("text") if kind == BinaryType() else F.encode("text", "utf-8")
-    same = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<struct<begin: long, end: long>>").alias("spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept")] if with_kept else []))
-    return changed.unionByName(same.join(broadcast_if_small(written(changed_ids, "ids"), IDS_AT_ONCE), same_id, "left_anti"))
+    schema = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_kept
+    return judged.select("key", "doc_id", "packed", "open0", "open1", "whole0", "whole1", "whole2").mapInArrow(run, schema), keys.distinct()
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, trigger: int = 16, modulus_bits: int = 6, with_kept: bool = True) -> DataFrame:
+    """Take out every byte that a repeated string of ``min_bytes`` covers.
+
+    One row per input row: doc_id, n_bytes, n_removed, n_spans, spans (begin and
+    end of the maximal removed runs, in bytes of the UTF-8 text), kept_sha256 and,
+    if asked, kept (binary, the other bytes in order). A string counts as repeated
+    if it starts at two places of the corpus, in one text or in two, also where
+    they overlap; all of its places are taken out, judged on the input. Strings
+    never cross texts. A null text is empty; texts shorter than ``min_bytes`` stay
+    whole. Rows that repeat a document repeat its strings. Null ids are kept; an
+    empty table gives none; other columns are ignored.
+    """
+    rows = _keyed(docs, id_col, text_col)
+    changed, keys = _changed(rows, (min_bytes, trigger, modulus_bits), _bytes, with_kept)
+    zero, kept = F.lit(0).cast("long"), F.encode("text", "utf-8")
+    same = rows.join(broadcast_if_small(written(keys.withColumnRenamed("key", "own"), "ids"), IDS_AT_ONCE), F.col("key") == F.col("own"), "left_anti")
+    same = same.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<struct<begin: long, end: long>>").alias("spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept")] if with_kept else []))
+    return changed.drop("key").unionByName(same)
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -387,29 +406,21 @@ def word_codes(text: str | None) -> bytes:
     return np.fromiter(map(xxh32_intdigest, words), dtype="<u4", count=len(words)).tobytes()
 
 
-def _coded(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_codes(x.as_py()) for x in batch.column(1)], pa.binary())], ["doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
-
-
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, min_words: int = 51) -> DataFrame:
     """What of each document is repeated, as strings of ``min_bytes`` or as runs of ``min_words`` words, however short.
 
-    Returns doc_id and, for ``cut_text``, by_bytes and by_words: spans in the text
-    and in its word codes, one struct for each text of the id. Documents without
-    an id or a repeat are left out.
+    Returns key (see ``row_key``) and, for ``cut_text``, by_bytes and by_words:
+    spans in the text and in its word codes with the digest of the rest. Rows
+    without a repeat are left out; rows that repeat id and text are one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _keyed(docs, id_col, text_col)
     # At 2**5 a run of words has a trigger as surely as 400 bytes have at 2**6.
-    kinds = {"by_bytes": remove_repeats(rows, min_bytes=min_bytes, with_kept=False), "by_words": remove_repeats(_coded(rows), min_bytes=min_words * CODE, modulus_bits=5, with_kept=False)}
+    kinds = {"by_bytes": (_bytes, (min_bytes, 16, 6)), "by_words": (word_codes, (min_words * CODE, 16, 5))}
     found = None
-    for name, out in kinds.items():
-        out = out.where("n_removed > 0 and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("spans", "kept_sha256")).alias(name))
-        out = written(out, name)
-        found = out if found is None else found.join(out, "doc_id", "full")
+    for name, (encode, parser_of) in kinds.items():
+        out, _ = _changed(rows, parser_of, encode, with_kept=False)
+        out = written(out.groupBy("key").agg(F.collect_set(F.struct("spans", "kept_sha256")).alias(name)), name)
+        found = out if found is None else found.join(out, "key", "full")
     return found
 
 
@@ -419,7 +430,7 @@ def _without(data: bytes, spans: list) -> list[bytes]:
 
 
 def _own(data: bytes, told: list | None) -> list:
-    """The spans of this text among those of its id."""
+    """The spans of this text among those of its key."""
     for x in told or []:
         if hashlib.sha256(b"".join(_without(data, x["spans"]))).hexdigest() == x["kept_sha256"]:
             return x["spans"]
