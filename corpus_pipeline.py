@@ -52,13 +52,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Repeats of 400 bytes or of over 50 words are cut out of the texts; a text of which no word is left goes.
 
     A cut inside a character leaves the rest of it out, so that texts stay valid.
-    Rows without an id stay as they are.
+    Null texts and rows without an id stay as they are; rows that repeat a
+    document are cut as it is. An empty table gives an empty one.
     """
-    cut_id, cut_text, by_bytes, by_words = (_free(docs, name) for name in ("cut_id", "cut_text", "by_bytes", "by_words"))
-    cuts = substrings.passages(docs).withColumnsRenamed({"doc_id": cut_id, "by_bytes": by_bytes, "by_words": by_words})
-    out = docs.join(written(cuts, "cuts"), docs["doc_id"] == F.col(cut_id), "left")
+    cut_key, cut_text, by_bytes, by_words = (_free(docs, name) for name in ("cut_key", "cut_text", "by_bytes", "by_words"))
+    cuts = substrings.passages(docs).withColumnsRenamed({"key": cut_key, "by_bytes": by_bytes, "by_words": by_words})
+    out = docs.join(written(cuts, "cuts"), (substrings.row_key("doc_id", "text") == F.col(cut_key)) & docs["doc_id"].isNotNull(), "left")
     cut = F.udf(substrings.cut_text, "string", useArrow=True).asNondeterministic()
-    out = out.withColumn(cut_text, cut(F.when(F.col(cut_id).isNotNull(), F.col("text")), by_bytes, by_words)).where(f"{cut_text} is null or {cut_text} <> ''")
+    out = out.withColumn(cut_text, cut(F.when(F.col(cut_key).isNotNull(), F.col("text")), by_bytes, by_words)).where(f"{cut_text} is null or {cut_text} <> ''")
     columns = {"text": F.coalesce(cut_text, "text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col(cut_text).isNull(), F.col("n_chars")).otherwise(F.char_length(cut_text).cast("long"))
