@@ -2,8 +2,8 @@
 
 A mask selects some tokens of a window and ignores the others, so that a passage
 with substituted words still shares hashes with the benchmark item it was taken
-from. Hits give alignments (document, item, offset); each alignment is then
-compared token by token over the whole item.
+from. Hits give alignments (document, item, offset), which are made distinct as
+plain numbers; each alignment is then compared token by token over the whole item.
 """
 
 from __future__ import annotations
@@ -13,12 +13,18 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.session import cut
+from shotloom.session import broadcast_if_small, cut
 
-#: Selected positions of each mask; the positions between them are ignored.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 8), (0, 2, 4, 5, 8, 9))
+#: Selected positions of each mask; the positions between them are ignored. Of a run
+#: of 7 to 9 tokens with one substituted and of 10 to 13 with two, wherever they are,
+#: some mask always finds a place that avoids the substitutions.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 3, 6, 7))
+#: Tokens that an item has at least; a shorter one is no evidence.
+LEAST_TOKENS = 7
 #: Seeds that are broadcast at once; more items are taken in blocks of this many.
 SEEDS_AT_ONCE = 500_000
+#: Alignments that are broadcast at most; more meet their documents by a shuffle.
+ALIGNMENTS_AT_ONCE = 500_000
 
 
 def _tokens(text: str) -> Column:
@@ -35,55 +41,55 @@ def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     return at.select("*", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, overlap: int = 13, share: float = 0.8, seeds_at_once: int = SEEDS_AT_ONCE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, overlap: int = 13, share: float = 0.8, least_tokens: int = LEAST_TOKENS, seeds_at_once: int = SEEDS_AT_ONCE) -> DataFrame:
     """Pairs (doc_id, item_id) whose texts overlap, with the best alignment of each.
 
     An overlap is a run of ``overlap`` tokens (all of a shorter item) of which at
     least ``share`` are equal at the same places. Returns doc_id, item_id,
     matched (equal tokens of the alignment), item_tokens, best_run (equal tokens
     of the best run) and start (first token of the item in the document, below
-    zero if the item begins before it). An item of fewer tokens than the
-    shortest mask spans is no evidence and matches nothing. Null and empty texts
-    match nothing; repeated rows give one row; empty tables give none. The items'
-    seeds are broadcast in blocks of bounded size, whatever their number.
+    zero if the item begins before it); ties go to more matched tokens, then to the
+    smaller start. An item of fewer than ``least_tokens`` tokens is no evidence and
+    matches nothing. With the standard masks every overlap has a hit. Null ids, null
+    and empty texts match nothing; repeated rows give one row, and several texts of
+    one id are all held against the item; empty tables give none; other columns
+    are ignored. The items' seeds are broadcast in blocks of bounded size, whatever
+    their number.
     """
-    tests = items.select(F.col(item_col).alias("item_id"), _tokens(item_text_col).alias("tokens")).where("item_id is not null")
-    tests = cut(tests.withColumn("tokens", F.filter("tokens", lambda x: x != "")).distinct())
-    seeds = cut(_seeds(tests, masks).select("seed", "item_id", F.col("pos").alias("item_pos"), F.size("tokens").alias("item_tokens")))
+    tests = items.select(F.col(item_col).alias("item_id"), F.filter(_tokens(item_text_col), lambda x: x != "").alias("item")).where("item_id is not null")
+    tests = cut(tests.where(F.size("item") >= least_tokens).distinct())
+    seeds = cut(_seeds(tests.withColumnRenamed("item", "tokens"), masks).select("seed", "item_id", F.col("pos").alias("item_pos")))
     blocks = max(1, ceil(seeds.count() / seeds_at_once))
-    rows = docs.select(F.col(id_col).alias("doc_id"), _tokens(text_col).alias("tokens")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = texts.select("doc_id", _tokens("text").alias("tokens"))
     found = None
     for k in range(blocks):
         block = F.broadcast(seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
-        hit = _seeds(rows, masks).join(block, "seed").withColumn("start", F.col("pos") - F.col("item_pos"))
-        aligned = F.transform(F.sequence(F.lit(0), F.col("item_tokens") - 1), lambda j: F.get("tokens", F.col("start") + j))
-        hit = hit.select("doc_id", "item_id", "start", aligned.alias("aligned"))
+        hit = _seeds(rows, masks).join(block, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start"))
         found = hit if found is None else found.unionByName(hit)
-    found = found.groupBy("doc_id", "item_id", "start", "aligned").count().drop("count")
-    both = found.join(tests, "item_id").where(F.size("tokens") == F.size("aligned"))
-    equal = F.zip_with("aligned", "tokens", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    both = both.withColumn("equal", equal).withColumn("run", F.least(F.lit(overlap), F.size("tokens")))
+    found = cut(found.distinct())
+    near = broadcast_if_small(found, ALIGNMENTS_AT_ONCE).withColumnRenamed("doc_id", "own")
+    both = texts.join(near, F.col("doc_id") == F.col("own")).join(broadcast_if_small(tests), "item_id")
+    equal = F.transform("item", lambda x, j: F.coalesce((F.get("tokens", F.col("start") + j) == x).cast("int"), F.lit(0)))
+    both = both.select("doc_id", "item_id", "start", "item", _tokens("text").alias("tokens"))
+    both = both.select("doc_id", "item_id", "start", F.size("item").alias("item_tokens"), F.least(F.lit(overlap), F.size("item")).alias("run"), equal.alias("equal"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     runs = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("run")), lambda j: total(F.slice("equal", j + 1, F.col("run"))))
-    both = both.select("doc_id", "item_id", "start", F.size("tokens").alias("item_tokens"), "run", total("equal").alias("matched"), F.array_max(runs).alias("best_run"))
+    both = both.select("doc_id", "item_id", "start", "item_tokens", "run", total("equal").alias("matched"), F.array_max(runs).alias("best_run"))
     both = both.where(F.col("best_run") >= F.ceil(F.col("run") * F.lit(share)))
     best = F.max(F.struct("best_run", "matched", (-F.col("start")).alias("before"), "item_tokens")).alias("b")
     return both.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.matched", "b.item_tokens", "b.best_run", (-F.col("b.before")).alias("start"))
 
 
+# Every alignment with an equal token is tried: no seeds here.
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS tk FROM documents),
+WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS tk FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS tk FROM benchmark),
-dp AS (SELECT doc_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM d),
-bp AS (SELECT item_id, tk, unnest(range(1, len(tk) + 1)) AS p FROM b),
-ds AS (SELECT doc_id, p, 0 AS m, concat_ws(' ', tk[p], tk[p+1], tk[p+2], tk[p+3], tk[p+5], tk[p+6]) AS k FROM dp WHERE p + 6 <= len(tk)
-  UNION ALL SELECT doc_id, p, 1, concat_ws(' ', tk[p], tk[p+1], tk[p+3], tk[p+4], tk[p+6], tk[p+8]) FROM dp WHERE p + 8 <= len(tk)
-  UNION ALL SELECT doc_id, p, 2, concat_ws(' ', tk[p], tk[p+2], tk[p+4], tk[p+5], tk[p+8], tk[p+9]) FROM dp WHERE p + 9 <= len(tk)),
-bs AS (SELECT item_id, p, 0 AS m, concat_ws(' ', tk[p], tk[p+1], tk[p+2], tk[p+3], tk[p+5], tk[p+6]) AS k FROM bp WHERE p + 6 <= len(tk)
-  UNION ALL SELECT item_id, p, 1, concat_ws(' ', tk[p], tk[p+1], tk[p+3], tk[p+4], tk[p+6], tk[p+8]) FROM bp WHERE p + 8 <= len(tk)
-  UNION ALL SELECT item_id, p, 2, concat_ws(' ', tk[p], tk[p+2], tk[p+4], tk[p+5], tk[p+8], tk[p+9]) FROM bp WHERE p + 9 <= len(tk)),
-a AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS st FROM ds JOIN bs USING (m, k)),
-e AS (SELECT doc_id, item_id, st, len(b.tk) AS n, unnest(range(1, len(b.tk) + 1)) AS j, d.tk AS dt, b.tk AS bt FROM a JOIN d USING (doc_id) JOIN b USING (item_id)),
+b7 AS (SELECT item_id, tk, len(tk) AS n FROM b WHERE len(tk) >= 7),
+bp AS (SELECT item_id, n, unnest(tk) AS w, unnest(range(1, len(tk) + 1)) AS p FROM b7),
+dp AS (SELECT doc_id, unnest(tk) AS w, unnest(range(1, len(tk) + 1)) AS p FROM d),
+a AS (SELECT doc_id, item_id, n, dp.p - bp.p AS st FROM dp JOIN bp USING (w) GROUP BY ALL HAVING count(*) >= ceil(least(13, n) * 0.8)),
+e AS (SELECT doc_id, item_id, st, n, unnest(range(1, n + 1)) AS j, d.tk AS dt, b7.tk AS bt FROM a JOIN d USING (doc_id) JOIN b7 USING (item_id, n)),
 x AS (SELECT doc_id, item_id, st, n, j, CASE WHEN st + j >= 1 AND dt[st + j] = bt[j] THEN 1 ELSE 0 END AS eq FROM e),
 r AS (SELECT *, sum(eq) OVER w AS run, count(*) OVER w AS width FROM x WINDOW w AS (PARTITION BY doc_id, item_id, st ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
 s AS (SELECT doc_id, item_id, st, n, sum(eq) AS matched, max(run) FILTER (width = least(13, n)) AS best FROM r GROUP BY ALL),

@@ -42,17 +42,26 @@ ENDS = {
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW | {"title", "textarea"}}
 _SPACE = re.compile(r"[ \t\n\r\f\xa0]+")
 #: Column width up to which cells are padded; wider cells run over.
 MAX_PAD = 60
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "lines")
+    __slots__ = ("tag", "attrs", "children", "lines", "shown")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, above: Node | None = None) -> None:
         self.tag, self.attrs, self.children, self.lines = tag, attrs or {}, [], None
+        self.shown = above is None or above.shown
+        self.see()
+
+    def see(self) -> None:
+        """Take the visibility from the style, which a descendant may turn back."""
+        for m in _VISIBILITY.finditer(self.attrs.get("style", "")):
+            self.shown = m[1].lower() == "visible"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -62,7 +71,7 @@ def _attributes(text: str) -> dict[str, str]:
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The tree of a page, and its tables in the order in which they begin."""
     root, tables = Node("html"), []
-    stack, at, low = [root], 0, html.lower()
+    stack, at = [root], 0
     final = html.rfind(">") + 1  # what stands after the last tag is text
 
     def close(tags: set[str], stop: set[str]) -> None:
@@ -101,6 +110,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         if tag in ("html", "body"):
             root.attrs |= _attributes(m[3][:-1])
+            root.see()
             if stack[-1].tag == "head":
                 stack.pop()
             continue
@@ -113,16 +123,16 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            push(Node("tr"))
-        node = Node(tag, _attributes(m[3][:-1]))
+            push(Node("tr", above=stack[-1]))
+        node = Node(tag, _attributes(m[3][:-1]), stack[-1])
         if tag in VOID:
             stack[-1].children.append(node)
             continue
         if tag == "table":
             tables.append(node)
         if tag in RAW or tag in ("title", "textarea"):
-            end = low.find(f"</{tag}", at)
-            end = len(html) if end < 0 else end
+            ending = _RAW_ENDS[tag].search(html, at)
+            end = ending.start() if ending else len(html)
             stack[-1].children.append(node)
             if tag not in RAW:
                 node.children.append(unescape(html[at:end]))
@@ -137,9 +147,9 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
 
 def hidden(node: Node) -> bool:
-    """Whether an element and all in it are not shown."""
+    """Whether an element and all in it take no part in the layout."""
     attrs = node.attrs
-    return node.tag in HIDDEN or "hidden" in attrs or ("style" in attrs and bool(_HIDES.search(attrs["style"]))) or (node.tag == "dialog" and "open" not in attrs) or (node.tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset"))
+    return node.tag in HIDDEN or "hidden" in attrs or ("style" in attrs and bool(_NO_DISPLAY.search(attrs["style"]))) or (node.tag == "dialog" and "open" not in attrs) or (node.tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset"))
 
 
 class Page:
@@ -190,9 +200,18 @@ class Page:
         self.blank = True
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    """A cell's number of columns or rows, at most what the standard allows."""
+    value = cell.attrs.get(name, "1").strip()
+    return min(int(value), most) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+
+
 def _table_lines(table: Node) -> list[str]:
-    """Rows of cells as lines with aligned columns; a cell of several lines takes as many."""
-    rows: list[list[list[str]]] = []
+    """Rows of cells as lines with aligned columns; a cell of several lines takes as many.
+
+    A cell keeps its columns free for as many rows as it spans.
+    """
+    rows: list[dict[int, list[str]]] = []
     before: list[list[str]] = []
     pending = [table]
     order: list[Node] = []
@@ -202,33 +221,40 @@ def _table_lines(table: Node) -> list[str]:
             order.append(node)
             continue
         pending.extend(c for c in reversed(node.children) if not isinstance(c, str) and not hidden(c))
+    taken: dict[int, int] = {}  # column: rows below this one in which it is taken
     for node in order:
         if node.tag != "tr":
             before.append(render(node, inner=True))
             continue
-        cells: list[list[str]] = []
+        cells: dict[int, list[str]] = {}
+        column, mine = 0, {}
         for cell in node.children:
             if isinstance(cell, str) or hidden(cell):
                 continue
-            cells.append(render(cell, inner=True))
-            span = cell.attrs.get("colspan", "1")
-            cells.extend([] for _ in range(min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0))
+            while taken.get(column):
+                column += 1
+            cells[column] = render(cell, inner=True)
+            down = _span(cell, "rowspan", 65_534) or len(order)  # zero: to the end of the table
+            for _ in range(max(1, _span(cell, "colspan", 1000))):
+                if down > 1:
+                    mine[column] = down
+                column += 1
+        taken = {k: n - 1 for k, n in (taken | mine).items() if n > 1}
         rows.append(cells)
-    widths: dict[int, int] = {}
-    for cells in rows:
-        for k, cell in enumerate(cells):
-            widths[k] = max(widths.get(k, 0), min(MAX_PAD, max(map(len, cell), default=0)))
+    # Columns that no cell begins in are left out.
+    used = sorted({k for cells in rows for k in cells})
+    widths = {k: max(min(MAX_PAD, max(map(len, cells.get(k, ())), default=0)) for cells in rows) for k in used}
     out = [line for lines in before for line in lines]
     for cells in rows:
-        for k in range(max(map(len, cells), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[c]) for c, cell in enumerate(cells)).rstrip())
+        for k in range(max(map(len, cells.values()), default=0)):
+            out.append("  ".join((cells[c][k] if c in cells and k < len(cells[c]) else "").ljust(widths[c]) for c in used).rstrip())
     return out
 
 
 def render(top: Node, inner: bool = False) -> list[str]:
     """Lines of what is visible in a tree; tables inside it must have theirs already."""
     page, lists, pre = Page(), [], 0
-    work: list[tuple[object, bool]] = [(c, False) for c in reversed(top.children)] if inner else [(top, False)]
+    work: list[tuple[object, bool]] = [(c, False) for c in reversed(top.children) if top.shown or not isinstance(c, str)] if inner else [(top, False)]
     while work:
         node, done = work.pop()
         if isinstance(node, str):
@@ -259,7 +285,7 @@ def render(top: Node, inner: bool = False) -> list[str]:
                 page.gap()
             elif tag in BLOCKS:
                 page.end_line()
-            elif tag in ("q",):
+            elif tag == "q" and node.shown:
                 page.words('"')
             continue
         if hidden(node):
@@ -272,10 +298,10 @@ def render(top: Node, inner: bool = False) -> list[str]:
             continue
         if tag == "hr":
             page.end_line()
-            page.raw(["----"])
+            page.raw(["----"] * node.shown)
             continue
         if tag == "input":
-            page.words(f" {node.attrs.get('value', '')} ")
+            page.words(f" {node.attrs.get('value', '') if node.shown else ''} ")
             continue
         if tag in ("title", "desc", "defs") and node is not top:
             continue
@@ -298,10 +324,12 @@ def render(top: Node, inner: bool = False) -> list[str]:
                 mark = f"{own[0]}. "
                 own[0] += 1
             page.indents.append(" " * len(mark))
-            page.marker = mark
+            page.marker = mark if node.shown else ""
         elif tag in ("dd", "blockquote"):
             page.gap() if tag == "blockquote" else page.end_line()
             page.indents.append("    ")
+        elif tag == "q" and node.shown:
+            page.words('"')
         elif tag in SPACED:
             page.gap()
         elif tag in BLOCKS:
@@ -312,7 +340,7 @@ def render(top: Node, inner: bool = False) -> list[str]:
         inside = node.children
         if tag == "details" and "open" not in node.attrs:
             inside = [c for c in inside if not isinstance(c, str) and c.tag == "summary"][:1]
-        work.extend((c, False) for c in reversed(inside))
+        work.extend((c, False) for c in reversed(inside) if node.shown or not isinstance(c, str))
     page.end_line()
     return page.lines
 

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 #: Distinct word pieces whose ids are remembered in a task before it starts afresh.
 CACHE_SIZE = 400_000
-#: Open windows above which a task joins them early; bounds its memory.
-MAX_OPEN = 4096
+#: Open windows above which a task joins them early. They hold at most 8 KB of ids
+#: each, so this bounds a task's memory at 128 MB; it takes over 16,384 documents of
+#: which no two fit together to reach it.
+MAX_OPEN = 16_384
 
 
 class Encoder:

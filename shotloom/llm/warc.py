@@ -1,9 +1,9 @@
 """Web archives written and read as tables of record chunks.
 
-A payload is never handled whole outside the row it comes in: it is cut into
-rows of a record identifier and a chunk number, which a task appends to its
-archive one after the other, and archives are read back into such rows with the
-digest of what has been read of the payload so far.
+A payload is never copied whole from the row it comes in: it is cut into rows of a
+record identifier and a chunk number with the digest of the payload so far, which
+a task appends to its archive one after the other, and archives are read back into
+such rows. What is known of other payloads meets a record by digest alone.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.session import cut, fresh_dir
+from shotloom.session import broadcast_if_small, cut, fresh_dir
 
 CHUNK_BYTES = 256 * 1024
 #: Compressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 128 * 1024 * 1024
+#: Digests of repeated payloads that are broadcast at most; more meet the records by a shuffle.
+DIGESTS_AT_ONCE = 500_000
+#: Bytes of chunks in a batch.
+BATCH_BYTES = 1 << 22
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _CHUNKS = "record_id long, record_type string, refers_to long, target string, declared_digest string, chunk_no long, chunk binary, payload_bytes long, payload_digest string, last boolean, archive string"
@@ -43,20 +47,50 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("target"), F.encode(F.coalesce(payload_col, F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    large = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    again = cut(large.where("n > 1").select(F.col("digest").alias("d"), "first"))
-    joined = rows.join(again, F.col("digest") == F.col("d"), "left")
+    large = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.unhex("digest").alias("d")).agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    again = broadcast_if_small(cut(large.where("n > 1").select("d", "first")), DIGESTS_AT_ONCE)
+    joined = rows.join(again, F.unhex("digest") == F.col("d"), "left")
     refers = F.when(~F.col("record_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("record_id", "target", "payload", "payload_bytes", "digest", refers.alias("refers_to"))
 
 
+_PIECES = "record_id long, target string, refers_to long, payload_bytes long, digest string, chunks int, chunk_no int, chunk binary, seen_bytes long, seen_digest string"
+
+
 def chunk_rows(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The payload as rows (record_id, ..., chunk_no, chunks, chunk); records that refer to another have one empty chunk."""
-    stored = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    rows = records.withColumn("stored", stored).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.octet_length("stored") / chunk_bytes)).cast("int"))
-    rows = rows.select("record_id", "target", "refers_to", "payload_bytes", "digest", "stored", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_no"))
-    piece = F.substring("stored", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return rows.select("record_id", "target", "refers_to", "payload_bytes", "digest", "chunks", "chunk_no", piece.alias("chunk"))
+    """The payload as rows (record_id, ..., chunk_no, chunks, chunk, seen_bytes, seen_digest).
+
+    seen_bytes and seen_digest are those of the payload up to and with this chunk.
+    Records that refer to another, and empty ones, have one empty chunk. Chunks are
+    slices of the row's own buffer and leave in batches of bounded size.
+    """
+    names = [x.split()[0] for x in _PIECES.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for *record, payload in zip(*(batch.column(k) for k in range(6)), strict=True):
+                head = [x.as_py() for x in record]
+                data = memoryview(payload.as_buffer() if head[2] is None else b"")
+                chunks, digest = max(1, -(-len(data) // chunk_bytes)), hashlib.sha256()
+                for number in range(chunks):
+                    chunk = data[number * chunk_bytes : (number + 1) * chunk_bytes]
+                    digest.update(chunk)
+                    held.append((*head, chunks, number, bytes(chunk), number * chunk_bytes + len(chunk), digest.hexdigest()))
+                    size += 300 + len(chunk)
+                    if size > BATCH_BYTES:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    return records.select("record_id", "target", "refers_to", "payload_bytes", "digest", "payload").mapInArrow(run, _PIECES)
 
 
 def _header(record_id: int | None, target: str | None, refers_to: int | None, size: int, digest: str, date: str) -> bytes:
@@ -79,9 +113,10 @@ def _header(record_id: int | None, target: str | None, refers_to: int | None, si
 def write_archives(chunks: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the chunk rows of each partition to gzip-per-record archives in ``folder``.
 
-    Chunks of a record must follow each other in their partition. Returns the
-    written archives (archive, records, bytes), computed once. A task that is run
-    again writes files of new names; only those of the listed rows count.
+    Chunks of a record must follow each other in their partition; a stored payload
+    that its digest does not fit is an error. Returns the written archives
+    (archive, records, bytes), computed once. A task that is run again writes files
+    of new names; only those of the listed rows count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +129,11 @@ def write_archives(chunks: DataFrame, folder: str, date: str = "2024-01-01T00:00
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["archive", "records", "bytes"])
 
         for batch in batches:
-            columns = [batch.column(k) for k in range(8)]
+            columns = [batch.column(k) for k in range(9)]
             for k in range(batch.num_rows):
-                record_id, target, refers_to, length, digest, last, at, chunk = (c[k].as_py() for c in columns)
+                record_id, target, refers_to, length, digest, last, at, chunk, seen = (c[k].as_py() for c in columns)
+                if at == last - 1 and refers_to is None and seen != digest:
+                    raise ValueError(f"the chunks of record {record_id} are not its payload")
                 data = b""
                 if at == 0:
                     if sink is None:
@@ -116,7 +153,7 @@ def write_archives(chunks: DataFrame, folder: str, date: str = "2024-01-01T00:00
         if sink is not None:
             yield done()
 
-    ordered = chunks.select("record_id", "target", "refers_to", "payload_bytes", "digest", "chunks", "chunk_no", "chunk")
+    ordered = chunks.select("record_id", "target", "refers_to", "payload_bytes", "digest", "chunks", "chunk_no", "chunk", "seen_digest")
     return cut(ordered.mapInArrow(run, "archive string, records long, bytes long"))
 
 
@@ -204,7 +241,7 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data:
                 for row in records(path):
                     held.append(row)
                     size += 300 + len(row["chunk"] or b"")
-                    if size > 1 << 22:
+                    if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, schema=kinds)
                         held, size = [], 0
         if held:

@@ -279,6 +279,61 @@ def test_layout():
     assert deep.split() == ["x", "y"]
 
 
+def test_text_before_raw_elements_of_any_script():
+    page = "<p>" + "İ" * 30 + "ß</p><ScRipt>no</sCRIPT ><p>one</p><STYLE>no</style><TextArea>box</TEXTAREA><p>two</p><script>no </scripted> no"
+    assert html_text.visible_text(page).split() == ["İ" * 30 + "ß", "one", "box", "two"]
+
+
+def test_visibility_is_inherited_and_turned_back():
+    page = "<div style='visibility:hidden'>no<ul><li>no<li style='visibility: visible'>yes</ul><table><tr><td>no<td style='visibility:visible'>cell</table></div><body style='color:red'>end <q>said</q>"
+    assert html_text.visible_text(page).split() == ["-", "yes", "cell", "end", '"said"']
+    assert html_text.visible_text("<body style='visibility:hidden'>no<p>no<p style='visibility:visible'>yes") == "yes"
+
+
+def test_cells_below_a_spanning_one():
+    page = "<table><tr><td rowspan=2>a<td>bb<td rowspan=0>z<tr><td>c<tr><td>d<td>e</table>"
+    assert html_text.visible_text(page).split("\n") == ["a  bb  z", "   c", "d  e"]
+    page = "<table><tr><td colspan=2>wide<td>x<tr><td>1<td>2<td>3</table>"
+    lines = html_text.visible_text(page).split("\n")
+    assert lines[0].index("x") == lines[1].index("3")
+
+
+def random_page(rng, depth, names, shown=True, inside="div"):
+    """HTML of a random tree, and the words of it that a reader sees, in order."""
+    if depth == 0 or rng.random() < 0.2:
+        word = f"w{next(names)}w"
+        return rng.choice(["{}", " {} ", "&amp;{}&#x21;"]).format(word), [word] if shown else []
+    kind = rng.choice(["div", "p", "span", "ul", "ol", "blockquote", "table", "none", "hidden", "invisible", "visible", "script", "h2", "dl", "comment"])
+    parts = [random_page(rng, depth - 1, names, shown if kind not in ("invisible", "visible") else kind == "visible") for _ in range(rng.randint(1, 3))]
+    seen = [w for _, ws in parts for w in ws]
+    htmls = [h for h, _ in parts]
+    close = rng.random() < 0.5
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{h}" + "</li>" * close for h in htmls) + f"</{kind}>", seen
+    if kind == "dl":
+        return "<dl>" + "".join(f"<dt>{h}" + "</dt>" * close for h in htmls) + "</dl>", seen
+    if kind == "table":
+        return "<table>" + "".join(f"<tr><td>{h}" + "</td></tr>" * close for h in htmls) + "</table>", seen
+    body = "".join(htmls)
+    if kind in ("none", "hidden", "script", "comment"):
+        shell = {"none": "<div style='display: none'>{}</div>", "hidden": "<div hidden>{}</div>", "script": "<script>{}</script>", "comment": "<!-- {} -->"}[kind]
+        return shell.format("no" if kind in ("script", "comment") else body), []
+    style = {"invisible": " style='visibility:hidden'", "visible": " style='visibility:visible'"}.get(kind, "")
+    tag = "div" if style else kind
+    return f"<{tag}{style}>{body}</{tag}>", seen
+
+
+def test_random_pages_lose_no_visible_word():
+    import itertools
+    import re
+
+    rng = random.Random(31)
+    for _ in range(400):
+        page, want = random_page(rng, rng.randint(1, 6), itertools.count())
+        got = re.findall(r"w\d+w", html_text.visible_text(page))
+        assert got == want, page
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None), (None, "b")], "page_id long, html string").withColumn("text", F.lit("clash"))
     assert sorted((str(r.page_id), r.text, r.n_lines) for r in html_text.extract(pages).collect()) == [("1", "a", 1), ("1", "a", 1), ("2", "", 0), ("None", "b", 1)]
@@ -438,6 +493,46 @@ def test_leaks_survive_substitutions(spark, awkward, nothing):
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(awkward, items.where("false")).count() == 0
 
 
+def test_every_allowed_overlap_has_a_hit():
+    from itertools import combinations
+    from math import ceil
+
+    for n in range(decontaminate.LEAST_TOKENS, 14):
+        gone = n - ceil(0.8 * n)
+        for places in combinations(range(n), gone):
+            free = set(range(n)) - set(places)
+            assert any({p + o for o in mask} <= free for mask in decontaminate.MASKS for p in range(n - mask[-1])), (n, places)
+
+
+def test_leaks_by_brute_force(spark):
+    from math import ceil
+
+    rng = random.Random(17)
+    items = [(k, " ".join(rng.choice(WORDS[:40]) for _ in range(n))) for k, n in enumerate([6, 7, 7, 8, 9, 10, 11, 12, 13, 14, 20, 33])]
+    docs = []
+    for k in range(400):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        low = rng.randint(0, 3)
+        docs.append((k, " ".join(prose(k, rng.randint(0, 9)).replace(".", "").split() + words[low : len(words) - rng.randint(0, 3)] + prose(k + 1, rng.randint(0, 9)).replace(".", "").split())))
+    docs.append((3, docs[4][1]))  # another text of the same id
+    want = {}
+    for d, text in docs:
+        t = text.split()
+        for i, item in items:
+            x = item.split()
+            run = min(13, len(x))
+            for start in range(1 - len(x), len(t)):
+                equal = [0 <= start + j < len(t) and t[start + j] == w for j, w in enumerate(x)]
+                best = max(sum(equal[j : j + run]) for j in range(len(x) - run + 1))
+                if len(x) >= 7 and best >= ceil(0.8 * run):
+                    want[d, i] = max(want.get((d, i), (0,)), (best, sum(equal), -start))
+    found = decontaminate.leaks(rows_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.best_run, r.matched, -r.start) for r in found} == want
+    assert len(want) > 60 and any(n[0] < 13 for n in want.values())
+
+
 def test_stage_cuts_passages_of_short_words(spark):
     short = random.Random(3)
     passage, fifty = (" ".join("".join(short.choice("abcdefghi") for _ in range(short.randint(1, 3))) for _ in range(n)) for n in (51, 50))
