@@ -69,9 +69,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         found = hit if found is None else found.unionByName(hit)
     found = cut(found.distinct())
     near = broadcast_if_small(found, ALIGNMENTS_AT_ONCE).withColumnRenamed("doc_id", "own")
-    both = texts.join(near, F.col("doc_id") == F.col("own")).join(broadcast_if_small(tests), "item_id")
+    hit_ids = broadcast_if_small(found, ALIGNMENTS_AT_ONCE).select(F.col("doc_id").alias("own")).distinct()
+    # Between the joins, tokens are made once for each document that was hit; a later projection would make them for each token of an item.
+    own = texts.join(hit_ids, F.col("doc_id") == F.col("own"), "left_semi").select("doc_id", _tokens("text").alias("tokens"))
+    both = own.join(near, F.col("doc_id") == F.col("own")).join(broadcast_if_small(tests), "item_id")
     equal = F.transform("item", lambda x, j: F.coalesce((F.get("tokens", F.col("start") + j) == x).cast("int"), F.lit(0)))
-    both = both.select("doc_id", "item_id", "start", "item", _tokens("text").alias("tokens"))
     both = both.select("doc_id", "item_id", "start", F.size("item").alias("item_tokens"), F.least(F.lit(overlap), F.size("item")).alias("run"), equal.alias("equal"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     runs = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("run")), lambda j: total(F.slice("equal", j + 1, F.col("run"))))

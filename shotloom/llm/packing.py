@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotloom.llm.memory import map_batches
+
 #: Distinct word pieces whose ids are remembered in a task before it starts afresh.
 CACHE_SIZE = 400_000
 #: Open windows above which a task joins them early. They hold at most 8 KB of ids
@@ -175,4 +177,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from shotloom.llm.memory import map_batches
 from shotloom.llm.text import words_lower
 from shotloom.operators.graph import connected_components
 from shotloom.session import cut
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 def covering_masks(radius: int, bits: list[int]) -> list[int]:
@@ -120,7 +121,7 @@ def _bucket_links(members: DataFrame, radius: int) -> DataFrame:
         if len(kept):
             yield solve(kept_key, kept)
 
-    return members.mapInArrow(run, "src long, dst long")
+    return map_batches(members, run, "src long, dst long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

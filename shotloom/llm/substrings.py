@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
+from shotloom.llm.memory import map_batches
 from shotloom.session import broadcast_if_small, written
 
 #: Bytes of text that are hashed at once.
@@ -251,7 +252,7 @@ def _trigger_rows(rows: DataFrame, parser_of: tuple, encode: Encode, sieve: np.n
                         own, n = own[passed], n[passed]
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(text[own] + low)), pa.array(found.core[own].view(np.int64)), pa.array(found.ctx[own].view(np.int64)), pa.array(n)], ["key", "core", "ctx", "n"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, core long, ctx long, n long")
+    return map_batches(rows.select("key", "text"), run, "key long, core long, ctx long, n long")
 
 
 def _levels(parser: Parser, text: bytes, going: list[np.ndarray]) -> Iterator[tuple[int, Found, int]]:
@@ -283,7 +284,7 @@ def _finer_rows(marked: DataFrame, parser_of: tuple, level: int) -> DataFrame:
                         rows, n = _unique(found.ctx, found.core)
                         yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), pa.int64()), pa.array(found.core[rows].view(np.int64)), pa.array(found.ctx[rows].view(np.int64)), pa.array(n)], ["key", "core", "ctx", "n"])
 
-    return marked.select("key", "packed", *(f"open{k}" for k in range(level))).mapInArrow(run, "key long, core long, ctx long, n long")
+    return map_batches(marked.select("key", "packed", *(f"open{k}" for k in range(level))), run, "key long, core long, ctx long, n long")
 
 
 def _keys(values: pa.Scalar) -> np.ndarray:
@@ -318,7 +319,7 @@ def _packed(rows: DataFrame, encode: Encode) -> DataFrame:
                 packed = pa.array([squeeze.compress(encode(x.as_py())) for x in part.column(2)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, part.column(3), part.column(4)], ["key", "doc_id", "packed", "open0", "whole0"])
 
-    return rows.select("key", "doc_id", "text", "open0", "whole0").mapInArrow(run, "key long, doc_id long, packed binary, open0 array<long>, whole0 array<long>")
+    return map_batches(rows.select("key", "doc_id", "text", "open0", "whole0"), run, "key long, doc_id long, packed binary, open0 array<long>, whole0 array<long>")
 
 
 def _judge(rows_of: Callable[[np.ndarray | None], DataFrame], level: int) -> DataFrame:
@@ -369,7 +370,7 @@ def _changed(rows: DataFrame, parser_of: tuple, encode: Encode, with_kept: bool)
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row[: len(names)], kinds, strict=False)], names)
 
     schema = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept_sha256 string" + ", kept binary" * with_kept
-    return judged.select("key", "doc_id", "packed", "open0", "open1", "whole0", "whole1", "whole2").mapInArrow(run, schema), keys.distinct()
+    return map_batches(judged.select("key", "doc_id", "packed", "open0", "open1", "whole0", "whole1", "whole2"), run, schema), keys.distinct()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotloom.llm.memory import map_batches
 from shotloom.session import written
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -148,7 +149,7 @@ def _choose(sample: DataFrame, n: int, rate: float, max_words: int, least: int =
                 seen, ones = zip(*counts.values(), strict=True) if counts else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(seen, pa.int64()), pa.array(ones, pa.int64())], ["feature", "seen", "ones"])
 
-    counts = sample.select("text", "label").mapInArrow(run, "feature string, seen long, ones long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones"))
+    counts = map_batches(sample.select("text", "label"), run, "feature string, seen long, ones long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones"))
     spread = F.sqrt(F.col("seen") * rate * (1 - rate) * F.greatest(F.lit(1e-9), 1 - F.col("seen") / n) + 1e-9)
     z = (F.abs(F.col("ones") - F.col("seen") * rate) / spread).alias("z")
     best = counts.where(F.col("seen") >= least).select("feature", z).where(F.col("z") >= z_least)
@@ -199,8 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         values = [*(model.weights[f] for f in names), model.bias, model.leak]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values, pa.float64())], ["n", "value"])
 
-    small = sample.select("text", F.xxhash64("key").alias("place"), "hash", "label").mapInArrow(shrunk, "place long, hash long, label int, plain long, sent array<int>, feat array<int>")
-    found = small.repartition(1).sortWithinPartitions("place", "hash").mapInArrow(fitted, "n int, value double").collect()
+    small = map_batches(sample.select("text", F.xxhash64("key").alias("place"), "hash", "label"), shrunk, "place long, hash long, label int, plain long, sent array<int>, feat array<int>")
+    found = map_batches(small.repartition(1).sortWithinPartitions("place", "hash"), fitted, "n int, value double").collect()
     *weights, bias, leak = (r.value for r in sorted(found))
     return NoisyOr(dict(zip(names, weights, strict=True)), bias, leak)
 
@@ -225,4 +226,4 @@ def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(p >= threshold) for p in scores], pa.int32()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "n_marked", "sentences"])
 
     schema = "doc_id long, score double, predicted int, n_marked long, sentences array<struct<begin: long, end: long, score: double>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
