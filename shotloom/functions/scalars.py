@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 CONTEXT_TIERS = (("1m", 1_000_000), ("512k", 512_000), ("256k", 256_000), ("128k", 128_000))
 #: Order of platforms wherever results are put side by side (fixed values).
 PLATFORMS = ("bilibili", "douyin", "xiaohongshu", "youtube", "tiktok")
+#: Hosts of the platforms' public pages (fixed values).
+SOURCE_HOSTS = {
+    "bilibili": ("bilibili.com", "b23.tv"),
+    "douyin": ("douyin.com", "iesdouyin.com"),
+    "xiaohongshu": ("xiaohongshu.com", "xhslink.com"),
+    "youtube": ("youtube.com", "youtu.be"),
+    "tiktok": ("tiktok.com",),
+}
 
 
 def strip_spaces(x: Column) -> Column:
@@ -70,7 +78,8 @@ def canonical_hash(*columns: str) -> Column:
 
 
 def clock_seconds(x: Column) -> Column:
-    """Seconds of ``[[H:]M:]S``; null for anything else."""
+    """Seconds of ``[[H:]M:]S``, white space around it ignored; null for anything else."""
+    x = strip_spaces(x)
     parts = F.split(x, ":")
     total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 60 + p.try_cast("long"))
     return F.when(x.rlike(r"^\d{1,9}(:\d{1,9}){0,2}\z"), total)
@@ -124,6 +133,21 @@ def canonical_url(x: Column) -> Column:
     return F.when(host != "", F.concat(F.lower(F.regexp_extract(x, r"^([A-Za-z]+)://", 1)), F.lit("://"), host, path))
 
 
+def source_url(x: Column, platform: str) -> Column:
+    """Address of a platform's public page: https, lower-cased host and port, at least ``/`` as path.
+
+    No query and no fragment. Null for other schemes, for user names or
+    passwords in it, and for hosts that are not the platform's or below them.
+    """
+    parts = lambda k: F.regexp_extract(strip_spaces(x), r"^(?i:https)://([^/?#]+)([^?#]*)", k)
+    place = F.lower(parts(1))
+    host = F.regexp_replace(place, r":\d*\z", "")
+    ours = F.lit(False)
+    for name in SOURCE_HOSTS[platform]:
+        ours = ours | (host == name) | host.endswith(f".{name}")
+    return F.when(ours & ~place.contains("@"), F.concat(F.lit("https://"), place, F.when(parts(2) == "", "/").otherwise(parts(2))))
+
+
 def clean_html(x: Column) -> Column:
     """Text without tags, the five basic entities resolved and white space collapsed."""
     out = F.regexp_replace(x, r"<[^>]*>", "")
@@ -170,10 +194,13 @@ def geometry_disposition(shown: Column, target: float = 16 / 9, tolerance: float
 
 
 def work_id(platform: str, x: Column) -> Column:
-    """The platform's own id in an address or text; null if there is none."""
+    """The platform's own id in an address or text (xiaohongshu: also alone); null if there is none."""
     patterns = {"bilibili": r"(BV[0-9A-Za-z]{10})", "douyin": r"/(?:video|note)/(\d{6,})", "xiaohongshu": r"(?i)/(?:explore|discovery/item)/([0-9a-f]{24})"}
     found = F.nullif(F.regexp_extract(x, patterns[platform], 1), F.lit(""))
-    return F.lower(found) if platform == "xiaohongshu" else found
+    if platform != "xiaohongshu":
+        return found
+    bare = strip_spaces(x)
+    return F.lower(F.coalesce(found, F.when(bare.rlike(r"(?i)^[0-9a-f]{24}\z"), bare)))
 
 
 def allowed_entries(x: Column, keys: tuple[str, ...]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.functions.scalars import clock_seconds, collapse_spaces, strip_spaces, subtitle_ms
+from shotloom.functions.scalars import clock_seconds, collapse_spaces, epoch_iso, strip_spaces, subtitle_ms
 
 _HEAD = "__line"
 
@@ -127,34 +127,88 @@ def duplicate_keys(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 #: Where each platform's search payload has its records and their fields (fixed values of the public payload shapes).
-_RECORD = {
-    "bilibili": ("data struct<result: array<struct<bvid: string, title: string, author: string, duration: string, arcurl: string, pubdate: long>>, numResults: long>", "data.result", {"source_id": "bvid", "title": "title", "author": "author", "duration": "duration", "url": "arcurl", "published": "pubdate"}),
-    "douyin": ("data array<struct<aweme_info: struct<aweme_id: string, desc: string, author: struct<nickname: string>, video: struct<duration: double>, create_time: long>>>", "data", {"source_id": "aweme_info.aweme_id", "title": "aweme_info.desc", "author": "aweme_info.author.nickname", "milliseconds": "aweme_info.video.duration", "published": "aweme_info.create_time"}),
-    "xiaohongshu": ("items array<struct<id: string, note_card: struct<display_title: string, user: struct<nickname: string>>>>", "items", {"source_id": "id", "title": "note_card.display_title", "author": "note_card.user.nickname"}),
-    "youtube": ("entries array<struct<id: string, title: string, uploader: string, duration: double, webpage_url: string, timestamp: long>>", "entries", {"source_id": "id", "title": "title", "author": "uploader", "seconds": "duration", "url": "webpage_url", "published": "timestamp"}),
-    "tiktok": ("entries array<struct<id: string, title: string, uploader: string, duration: double, webpage_url: string, timestamp: long>>", "entries", {"source_id": "id", "title": "title", "author": "uploader", "seconds": "duration", "url": "webpage_url", "published": "timestamp"}),
+_AWEME = "struct<aweme_id: string, desc: string, author: struct<nickname: string>, video: struct<duration: double>, create_time: long>"
+_NOTE = "note_id: string, display_title: string, title: string, user: struct<nickname: string>, video: struct<duration: double>, time: long"
+_CLIP = "id: string, aweme_id: string, author: struct<unique_id: string, uniqueId: string>, desc: string, title: string, video: struct<duration: double>"
+_ENTRY = "id: string, title: string, uploader: string, duration: double, webpage_url: string, timestamp: long"
+_AWEMES = f"array<struct<aweme_info: {_AWEME}, aweme_detail: {_AWEME}, aweme_mix_info: {_AWEME}, {_AWEME[7:-1]}>>"
+_CLIPS = f"array<struct<item: struct<{_CLIP}>, {_CLIP}>>"
+#: Per platform: shapes of the payload as (schema, path of the records), the first that fits is read.
+_SHAPES = {
+    "bilibili": [("data struct<result: array<struct<bvid: string, title: string, author: string, duration: string, arcurl: string, pubdate: long>>>", "data.result")],
+    "douyin": [(f"data {_AWEMES}", "data"), (f"data struct<data: {_AWEMES}>", "data.data"), (f"data struct<items: {_AWEMES}>", "data.items")],
+    "xiaohongshu": [(f"{where}items array<struct<id: string, note_card: struct<{_NOTE}>, {_NOTE}>>{end}", path) for where, end, path in (("data struct<", ">", "data.items"), ("", "", "items"))],
+    "youtube": [(f"entries array<struct<{_ENTRY}>>", "entries")],
+    "tiktok": [(f"{name} {_CLIPS}", name) for name in ("item_list", "items", "data")],
 }
 
 
+def _record(platform: str) -> dict[str, Column]:
+    """Fields of a candidate in a record ``r`` of the platform."""
+    r = F.col("r")
+    if platform == "bilibili":
+        return {"source_id": r["bvid"], "title": r["title"], "author": r["author"], "seconds": clock_seconds(r["duration"]).cast("double"), "url": r["arcurl"], "published": r["pubdate"]}
+    if platform == "youtube":
+        return {"source_id": r["id"], "title": r["title"], "author": r["uploader"], "seconds": r["duration"], "url": r["webpage_url"], "published": r["timestamp"]}
+    if platform == "douyin":
+        first = lambda get: F.when(r["aweme_info"].isNotNull(), get(r["aweme_info"])).when(r["aweme_detail"].isNotNull(), get(r["aweme_detail"])).when(r["aweme_mix_info"].isNotNull(), get(r["aweme_mix_info"])).otherwise(get(r))
+        return {"source_id": first(lambda x: x["aweme_id"]), "title": first(lambda x: x["desc"]), "author": first(lambda x: x["author"]["nickname"]), "seconds": first(lambda x: x["video"]["duration"]) / 1000, "published": first(lambda x: x["create_time"])}
+    if platform == "xiaohongshu":
+        first = lambda get: F.when(r["note_card"].isNotNull(), get(r["note_card"])).otherwise(get(r))
+        return {"source_id": F.lower(F.coalesce(r["id"], r["note_id"], first(lambda x: x["note_id"]))), "title": first(lambda x: F.coalesce(x["display_title"], x["title"])), "author": first(lambda x: x["user"]["nickname"]), "seconds": first(lambda x: x["video"]["duration"]) / 1000, "published": first(lambda x: x["time"])}
+    first = lambda get: strip_spaces(F.when(r["item"].isNotNull(), get(r["item"])).otherwise(get(r)))
+    some = lambda *xs: F.coalesce(*(F.nullif(x, F.lit("")) for x in xs))
+    source_id = first(lambda x: some(x["id"], x["aweme_id"]))
+    seconds = F.when(r["item"].isNotNull(), r["item"]["video"]["duration"]).otherwise(r["video"]["duration"])
+    return {"source_id": source_id, "title": F.coalesce(first(lambda x: some(x["desc"], x["title"])), source_id), "author": first(lambda x: some(x["author"]["unique_id"], x["author"]["uniqueId"])), "seconds": seconds}
+
+
 def search_candidates(payloads: DataFrame, platform: str, key: str, content: str, limit: int = 20) -> DataFrame:
     """Candidates of search payloads: accepted records ranked densely in their order, ``limit`` at most.
 
-    A record without an id is passed over, for tiktok also one without an author.
+    For tiktok a record without id or author is passed over. Elsewhere a record
+    without an id is an error, for bilibili and youtube also one without a title;
+    douyin and xiaohongshu works without one are titled by their id. Only records
+    up to the last one ranked are looked at. A payload of none of the known
+    shapes has no candidates.
     Returns key, rank, candidate_id, source_id, title, author, duration_seconds, url, published_at.
     """
-    schema, path, fields = _RECORD[platform]
-    parsed = payloads.select(key, F.from_json(content, schema).alias("p")).select(key, F.posexplode(F.col(f"p.{path}")).alias("pos", "r"))
-    get = lambda name, kind: F.col(f"r.{fields[name]}").cast(kind) if name in fields else F.lit(None).cast(kind)
-    source = F.lower(get("source_id", "string")) if platform == "xiaohongshu" else get("source_id", "string")
-    seconds = F.coalesce(get("seconds", "double"), get("milliseconds", "double") / 1000, clock_seconds(get("duration", "string")).cast("double"))
-    title = collapse_spaces(F.regexp_replace(get("title", "string"), r"<[^>]*>", ""))
-    published = F.when(get("published", "long") > 0, F.date_format(F.timestamp_seconds(get("published", "long")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    rows = parsed.select(key, "pos", source.alias("source_id"), title.alias("title"), get("author", "string").alias("author"), F.when(seconds >= 0, seconds).alias("duration_seconds"), get("url", "string").alias("url"), published.alias("published_at"))
-    rows = rows.where(F.coalesce("source_id", F.lit("")) != "")
+    get = _record(platform)
+    listed = F.coalesce(*(F.from_json(content, schema)[path] if "." not in path else F.from_json(content, schema)[path.split(".")[0]][path.split(".")[1]] for schema, path in _SHAPES[platform]))
+    parsed = payloads.select(key, listed.alias("p")).select(key, F.posexplode("p").alias("pos", "r"))
+    field = lambda name, kind: get[name].cast(kind) if name in get else F.lit(None).cast(kind)
+    seconds, published = field("seconds", "double"), field("published", "long")
+    title = F.nullif(collapse_spaces(F.regexp_replace(field("title", "string"), r"<[^>]*>", "")), F.lit(""))
+    url = field("url", "string")
+    rows = parsed.select(key, "pos", F.nullif(field("source_id", "string"), F.lit("")).alias("source_id"), title.alias("title"), F.nullif(field("author", "string"), F.lit("")).alias("author"), F.when(seconds >= 0, seconds).alias("duration_seconds"), url.alias("url"), epoch_iso(published).alias("published_at"))
+    if platform == "tiktok":
+        rows = rows.where("source_id is not null and author is not null")
+    rows = _dense(rows, key, "pos", "rank").where(F.col("rank") <= limit)
+    if platform in ("douyin", "xiaohongshu"):
+        rows = rows.withColumn("title", F.coalesce("title", F.concat(F.lit({"douyin": "抖音作品 ", "xiaohongshu": "小红书笔记 "}[platform]), "source_id")))
+    needed = {"douyin": ["source_id"], "xiaohongshu": ["source_id"], "tiktok": []}.get(platform, ["source_id", "title"])
+    for name in needed:
+        missing = F.raise_error(F.concat(F.lit(f"{platform} record without {name} in "), F.col(key).cast("string"))).cast("string")
+        rows = rows.withColumn(name, F.when(F.col(name).isNull(), missing).otherwise(F.col(name)))
+    pages = {"douyin": ["https://www.douyin.com/video/"], "xiaohongshu": ["https://www.xiaohongshu.com/explore/"], "tiktok": ["https://www.tiktok.com/@", "author", "/video/"]}
+    if platform in pages:
+        rows = rows.withColumn("url", F.concat(*(F.col(x) if x == "author" else F.lit(x) for x in pages[platform]), "source_id"))
+    return rows.select(key, "rank", F.concat(F.lit(f"{platform}:"), "source_id").alias("candidate_id"), "source_id", "title", "author", "duration_seconds", "url", "published_at")
+
+
+def search_exhausted(payloads: DataFrame, platform: str, key: str, content: str, limit: int = 20) -> DataFrame:
+    """(key, exhausted): whether a search has no more results.
+
+    douyin and xiaohongshu say so themselves; a tiktok payload has no more where it gives fewer than ``limit`` candidates.
+    """
     if platform == "tiktok":
-        rows = rows.where(F.coalesce("author", F.lit("")) != "")
-    ranked = _dense(rows, key, "pos", "rank").where(F.col("rank") <= limit)
-    return ranked.select(key, "rank", F.concat(F.lit(f"{platform}:"), "source_id").alias("candidate_id"), "source_id", "title", "author", "duration_seconds", "url", "published_at")
+        counted = search_candidates(payloads, platform, key, content, limit).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return payloads.select(key).distinct().join(counted, key, "left").select(key, (F.coalesce("n", F.lit(0)) < limit).alias("exhausted"))
+    paths = {"douyin": ("$.has_more", "0"), "xiaohongshu": ("$.data.has_more", "false")}
+    if platform not in paths:
+        raise ValueError(f"{platform} payloads do not say whether there is more")
+    path, end = paths[platform]
+    return payloads.select(key, F.coalesce(F.get_json_object(content, path) == end, F.lit(False)).alias("exhausted"))
 
 
 def page_units(payloads: DataFrame, key: str, content: str) -> DataFrame:
