@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from shotloom.functions.scalars import aligned_similarity
+from shotloom.functions.scalars import aligned_similarity, match_text
 from shotloom.operators.graph import connected_components
 
 
@@ -26,9 +26,13 @@ def durations_agree(a: Column, b: Column, share: float = 0.05, least: float = 2.
 def suspected_pairs(units: DataFrame, block: list[str], platform: str, unit_id: str, duration: str, title: str | None = None, ratio: float = 0.72) -> DataFrame:
     """Pairs of units of one block and different platforms whose durations agree (and titles, if given).
 
-    Cheap tests come first; the title ratio is computed for what is left. The
-    left unit is the one of the smaller id.
+    Cheap tests come first; the title ratio, of letters and digits in lower
+    case, is computed for what is left. The left unit is the one of the smaller
+    id. All agreeing pairs of a block come out, so a block must be selective;
+    for copies of whole texts take exact_links().
     """
+    if title:
+        units = units.withColumn(title, match_text(F.col(title)))
     columns = [unit_id, platform, duration, *([title] if title else [])]
     left, right = (units.select(*block, *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in ("l", "r"))
     keys = [*block, "bucket"]
@@ -43,6 +47,25 @@ def suspected_pairs(units: DataFrame, block: list[str], platform: str, unit_id:
     return pairs
 
 
+def exact_links(units: DataFrame, block: list[str], platform: str, unit_id: str) -> DataFrame:
+    """Links (l, r) between units of one block on different platforms, one a unit instead of all pairs.
+
+    Each unit is linked to the least one of the block that is on another platform
+    than the block's least unit, or, if it is not on that one's platform itself, to
+    the least unit. These links connect just what all pairs of different
+    platforms connect. Blocks on one platform give none; rows with a null in
+    platform or block are on no platform and in no block. Least units are partial
+    aggregates over the few platforms of a block.
+    """
+    units = units.select(*block, platform, unit_id).where(F.col(platform).isNotNull())
+    firsts = units.groupBy(*block, platform).agg(F.min(unit_id).alias("first"))
+    two = firsts.groupBy(*block).agg(F.slice(F.sort_array(F.collect_list(F.struct("first", platform))), 1, 2).alias("two")).where(F.size("two") == 2)
+    joined = units.join(two, block)
+    least, second = F.col("two")[0], F.col("two")[1]["first"]
+    other = F.when(F.col(platform) == least[platform], second).otherwise(least["first"])
+    return joined.select(F.least(unit_id, other).alias("l"), F.greatest(unit_id, other).alias("r")).distinct()
+
+
 def compare_fingerprints(pairs: DataFrame, audio: float = 0.88, video: float = 0.90) -> DataFrame:
     """Pairs with audio and video similarity, whether they are one work, and why not.
 

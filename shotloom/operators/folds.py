@@ -1,13 +1,14 @@
 """Folds over the ordered rows of a key, where a row's fate depends on the one before.
 
-Keys are videos or users with a bounded number of rows; each is one Arrow table.
+Keys are videos or users with a bounded number of rows, each one Arrow table;
+only near_duplicates() streams its rows and needs no such bound.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,28 +36,36 @@ def min_gap(rows: DataFrame, key: str, at: str, score: str, row_id: str, gap_ms:
 
 
 def near_duplicates(rows: DataFrame, key: str, row_id: str, hash_col: str, threshold: int = 4, lookback: int = 3) -> DataFrame:
-    """Each row kept or dropped as a near copy of one of the last ``lookback`` kept ones.
+    """Each row kept, or dropped as a near copy of one of the last ``lookback`` kept ones.
 
-    Returns key, row_id, kept, near_id and distance: the nearest of those looked
-    at, the latest of equals; null for a key's first row.
+    Returns key, row_id, kept, near_id and distance: for dropped rows the latest
+    kept row within ``threshold`` bits, else null. A row without a hash is kept
+    and never compared. A key's rows pass in order through one task that holds
+    only the last kept hashes, so a key may have any number of rows.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(row_id, "ascending")])
-        ids, hashes = table[row_id].to_pylist(), table[hash_col].to_numpy().astype(np.int64).view(np.uint64)
-        recent: deque[int] = deque(maxlen=lookback)
-        kept, near, far = [], [], []
-        for k, h in enumerate(hashes):
-            best = min(((int(h ^ hashes[j]).bit_count(), -j) for j in recent), default=None)
-            kept.append(best is None or best[0] > threshold)
-            near.append(None if best is None else ids[-best[1]])
-            far.append(None if best is None else best[0])
-            if kept[-1]:
-                recent.append(k)
-        return pa.table({key: table[key], row_id: table[row_id], "kept": pa.array(kept), "near_id": pa.array(near, pa.int64()), "distance": pa.array(far, pa.int32())})
-
     kinds = dict(rows.dtypes)
-    return rows.select(key, row_id, hash_col).groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, {row_id} long, kept boolean, near_id long, distance int")
+    absent = object()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, recent = absent, deque(maxlen=lookback)
+        for batch in batches:
+            kept, near, far = [], [], []
+            for name, one, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != current:
+                    current = name
+                    recent.clear()
+                found = () if h is None else ((i, ((g ^ h) & 0xFFFFFFFFFFFFFFFF).bit_count()) for i, g in recent)
+                hit = next((x for x in found if x[1] <= threshold), None)
+                kept.append(hit is None)
+                near.append(hit and hit[0])
+                far.append(hit and hit[1])
+                if hit is None and h is not None:
+                    recent.appendleft((one, h))
+            columns = [batch.column(0), batch.column(1), pa.array(kept, pa.bool_()), pa.array(near, batch.column(1).type), pa.array(far, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, row_id, "kept", "near_id", "distance"])
+
+    ordered = rows.select(key, row_id, hash_col).repartition(key).sortWithinPartitions(key, row_id)
+    return ordered.mapInArrow(run, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, kept boolean, near_id {kinds[row_id]}, distance int")
 
 
 def merge_near(points: DataFrame, key: str, at: str, reason: str, within_ms: int = 600, strong: str = "scene_change", fixed: tuple[str, ...] = ("source_end", "source_start")) -> DataFrame:

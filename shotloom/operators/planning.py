@@ -24,24 +24,26 @@ def platform_scope(scope: Column) -> Column:
 def round_robin(rows: DataFrame, plan: str, platform: str, rank: list[Column], most: int) -> DataFrame:
     """Per plan at most ``most`` rows, taken one from each platform in turn; inside a platform by rank.
 
-    Two window passes: place inside the platform, then place over all platforms.
+    Platforms take turns in their fixed order, others after them by name. Two
+    window passes: place inside the platform, then place over all platforms.
     """
     turn = F.row_number().over(Window.partitionBy(plan, platform).orderBy(*rank))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= most)
-    place = F.row_number().over(Window.partitionBy(plan).orderBy("turn", platform))
+    known = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(p) for p in PLATFORMS)), F.col(platform)), F.lit(0)), F.lit(len(PLATFORMS) + 1))
+    place = F.row_number().over(Window.partitionBy(plan).orderBy("turn", known, platform))
     return rows.withColumn("place", place).where(F.col("place") <= most)
 
 
 def admit_in_order(rows: DataFrame, plans: list[str], plan: str, platform: str, unit: str, rank: list[Column], most: int) -> DataFrame:
     """round_robin() plan after plan, where a unit admitted by one plan is out of the others.
 
-    Sequential by definition; a plan's admissions are a few rows, so is what is carried.
+    Sequential by definition; what is carried is at most ``most`` rows a plan.
     """
     out = None
     for name in plans:
         own = rows.where(F.col(plan) == name)
         if out is not None:
-            own = own.join(F.broadcast(out.select(unit)), unit, "left_anti")
+            own = own.join(out.select(unit), unit, "left_anti")
         got = round_robin(own, plan, platform, rank, most)
         out = got if out is None else out.unionByName(got)
     return out

@@ -41,7 +41,7 @@ def live_leases(leases: DataFrame, now: Column) -> DataFrame:
 
 
 def admission(jobs: DataFrame, group: str, active: Column, job_id: str, limit: int) -> DataFrame:
-    """Per group: active jobs, free places and the sorted ids of the first active ones."""
+    """Per group: active jobs, free places and the least id of an active one."""
     out = jobs.groupBy(group).agg(F.count_if(active).alias("n_active"), F.min(F.when(active, F.col(job_id))).alias("first_active"))
     return out.withColumn("free", F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("n_active")))
 

@@ -75,23 +75,25 @@ def content_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crosspost_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language and first words, from different sources, of like length and title."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 12).alias("head"), F.substring("text", 1, 80).alias("title"))
-    pairs = entity.suspected_pairs(rows, ["lang", "head"], "source", "doc_id", "n_chars", "title")
-    return pairs.select("l_doc_id", "r_doc_id", F.round("title_ratio", 6).alias("title_ratio"))
+    """Pages of one whole path on different hosts whose markup is of like length and whose hosts look alike."""
+    url = scalars.canonical_url(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("size"), F.regexp_extract(url, "://([^/]+)", 1).alias("host"), F.regexp_extract(url, "://[^/]+(.*)", 1).alias("path"))
+    pairs = entity.suspected_pairs(rows.withColumn("title", F.col("host")), ["path"], "host", "page_id", "size", "title")
+    return pairs.select("l_page_id", "r_page_id", F.round("title_ratio", 6).alias("title_ratio"))
 
 
 def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.substring(scalars.match_text(F.coalesce("text", F.lit(""))), 1, 40).alias("head"))
-    return entity.suspected_pairs(rows, ["lang", "head"], "source", "doc_id", "n_chars")
+    """Documents of one language and equal whole texts (letters and digits), on different sources."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(scalars.match_text(F.coalesce("text", F.lit(""))), 256).alias("text_key"))
+    return entity.exact_links(rows, ["lang", "text_key"], "source", "doc_id")
 
 
 def crosspost_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocked(spark, sf_dir).select("l_doc_id", "r_doc_id")
+    return _blocked(spark, sf_dir).select(F.col("l").alias("l_doc_id"), F.col("r").alias("r_doc_id"))
 
 
 def work_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = entity.work_groups(_blocked(spark, sf_dir), "l_doc_id", "r_doc_id")
+    out = entity.work_groups(_blocked(spark, sf_dir), "l", "r")
     return out.select("group_id", F.col("node").alias("doc_id"), "role", "fallback_order")
 
 
@@ -110,7 +112,7 @@ def query_history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers against nations, and nations against regions: children, orphans, unused."""
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    parts = [("customer", planning.reference_audit(table(spark, sf_dir, "customer"), nations, "c_nationkey", "n_nationkey")), ("supplier", planning.reference_audit(table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0"), nations, "s_nationkey", "n_nationkey")), ("nation", planning.reference_audit(nations, regions.where("r_regionkey < 4"), "n_regionkey", "r_regionkey"))]
+    parts = [("customer", planning.reference_audit(table(spark, sf_dir, "customer"), nations, "c_nationkey", "n_nationkey")), ("supplier", planning.reference_audit(table(spark, sf_dir, "supplier"), nations, "s_nationkey", "n_nationkey")), ("nation", planning.reference_audit(nations, regions.where("r_regionkey < 4"), "n_regionkey", "r_regionkey"))]
     out = [rows.withColumn("relation", F.lit(name)) for name, rows in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -280,9 +282,10 @@ _NAMES = (subtitle_choice, next_stage, role_audit, job_map, stable_metadata, lis
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) // 1000 - 1704067200000 AS ms FROM events)"
-_B = r"""u AS (SELECT doc_id, source, lang, n_chars, substr(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g'), 1, 40) AS head FROM documents),
-b AS (SELECT a.doc_id AS l_doc_id, c.doc_id AS r_doc_id FROM u a JOIN u c ON a.lang = c.lang AND a.head = c.head AND a.doc_id < c.doc_id AND a.source <> c.source
-  AND abs(a.n_chars - c.n_chars) <= greatest(2.0, 0.05 * greatest(a.n_chars, c.n_chars)))"""
+_B = r"""u AS (SELECT doc_id, source, lang, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g') AS body FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+f AS (SELECT *, first_value(doc_id) OVER w AS least, first_value(source) OVER w AS home FROM u WINDOW w AS (PARTITION BY lang, body ORDER BY doc_id, source)),
+s AS (SELECT *, min(doc_id) FILTER (source <> home) OVER (PARTITION BY lang, body) AS second FROM f),
+b AS (SELECT DISTINCT least(doc_id, o) AS l_doc_id, greatest(doc_id, o) AS r_doc_id FROM (SELECT doc_id, CASE WHEN source = home THEN second ELSE least END AS o FROM s WHERE second IS NOT NULL))"""
 
 ORACLE_SQL = {
     "list_page": "WITH r AS (SELECT doc_id, lang, n_chars, count(*) OVER () AS total FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT * FROM r ORDER BY doc_id LIMIT 20 OFFSET 5",
@@ -305,9 +308,7 @@ SELECT p_partkey, round(x, 6) AS shown, CASE WHEN x IS NULL THEN 'unknown' WHEN
     "content_group": """SELECT sha256(coalesce(text, '')) AS content_hash, count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS ids,
   min(lang) IS NOT DISTINCT FROM max(lang) AS same_lang, min(n_chars) IS NOT DISTINCT FROM max(n_chars) AS same_n_chars FROM documents GROUP BY 1""",
     "crosspost_blocked": f"WITH {_B} SELECT * FROM b",
-    "work_groups": f"""WITH RECURSIVE {_B}, g AS (SELECT l_doc_id AS a, r_doc_id AS b FROM b UNION SELECT r_doc_id, l_doc_id FROM b),
-w AS (SELECT a AS node, a AS reach FROM g UNION SELECT w.node, g.b FROM w JOIN g ON g.a = w.reach),
-c AS (SELECT node, min(reach) AS comp FROM w GROUP BY node),
+    "work_groups": f"""WITH {_B}, c AS (SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY lang, body) AS comp FROM s WHERE second IS NOT NULL),
 k AS (SELECT comp, 'work_' || substr(sha256(string_agg(node::VARCHAR, chr(0) ORDER BY node)), 1, 24) AS group_id FROM c GROUP BY comp),
 r AS (SELECT c.*, k.group_id, (row_number() OVER (PARTITION BY c.comp ORDER BY node) - 1)::INTEGER AS fallback_order FROM c JOIN k USING (comp))
 SELECT group_id, node AS doc_id, CASE WHEN fallback_order = 0 THEN 'primary' ELSE 'fallback' END AS role, fallback_order FROM r""",
@@ -315,7 +316,7 @@ SELECT group_id, node AS doc_id, CASE WHEN fallback_order = 0 THEN 'primary' ELS
 p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, source)::INTEGER AS place FROM t) SELECT lang, source, doc_id, turn, place FROM p WHERE place <= 18""",
     "query_history_diff": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AS host FROM pages), k AS (SELECT page_id, regexp_extract(host, '([^.]+)$', 1) || ':' || replace(host, '.', ' ') AS query_key FROM h)
 SELECT DISTINCT query_key FROM k WHERE page_id >= 100 AND query_key NOT IN (SELECT query_key FROM k WHERE page_id < 100)""",
-    "plan_completeness": """WITH p AS (SELECT 'customer' AS relation, c_nationkey AS c FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT 'nation', n_regionkey FROM nation),
+    "plan_completeness": """WITH p AS (SELECT 'customer' AS relation, c_nationkey AS c FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier UNION ALL SELECT 'nation', n_regionkey FROM nation),
 c AS (SELECT relation, c AS key, count(*) AS n FROM p GROUP BY ALL),
 k AS (SELECT 'customer' AS relation, n_nationkey AS key FROM nation UNION ALL SELECT 'supplier', n_nationkey FROM nation UNION ALL SELECT 'nation', r_regionkey FROM region WHERE r_regionkey < 4)
 SELECT coalesce(c.key, k.key) AS key, coalesce(n, 0) AS n_children, CASE WHEN k.key IS NULL THEN 'orphan' WHEN n IS NULL THEN 'unused' ELSE 'ok' END AS problem, coalesce(c.relation, k.relation) AS relation

@@ -62,7 +62,7 @@ def asset_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    rows = table(spark, sf_dir, "lineitem")
     return evidence.range_audit(rows.select("l_orderkey", (F.col("l_quantity") - 3).alias("start_s"), (F.col("l_quantity") - 3 + F.col("l_suppkey") % 20 - 2).alias("end_s")), "l_orderkey", "start_s", "end_s")
 
 
@@ -128,7 +128,7 @@ SELECT shot, n_pairs, median_dx, median_dy, median_value, n_turns, CASE WHEN n_p
     "registered_sources": "SELECT sha256(coalesce(html, '')) AS content_sha256, min(page_id) AS first_seen, count(*) AS n_copies, 'video_' || sha256(coalesce(html, ''))[:24] AS source_id FROM pages GROUP BY sha256(coalesce(html, ''))",
     "asset_imports": """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
 SELECT doc_id, 'assets/' || h[:2] || '/' || h || '.txt' AS path, n::BIGINT AS n_bytes, CASE WHEN doc_id % 5 = 0 THEN 'hash_mismatch' WHEN doc_id % 3 = 0 THEN 'size_mismatch' ELSE 'verified' END AS state FROM d""",
-    "range_audit": """WITH g AS (SELECT l_orderkey, count(*) > 1 AS dup, bool_or(l_quantity < 3) AS neg, bool_or(l_suppkey % 20 <= 2) AS emp FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey)
+    "range_audit": """WITH g AS (SELECT l_orderkey, count(*) > 1 AS dup, bool_or(l_quantity < 3) AS neg, bool_or(l_suppkey % 20 <= 2) AS emp FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, 'duplicate' AS problem FROM g WHERE dup UNION ALL SELECT l_orderkey, 'negative_start' FROM g WHERE neg UNION ALL SELECT l_orderkey, 'not_half_open' FROM g WHERE emp""",
     "invalidated_stages": "SELECT o_custkey, o_orderkey, NOT coalesce(o_orderpriority >= min(o_orderpriority) FILTER (o_orderstatus = 'P') OVER (PARTITION BY o_custkey), false) AS valid FROM orders",
     "html_rows": """SELECT conv_id, '<tr><td>' || coalesce(turn::VARCHAR, '') || '</td><td>' || coalesce(role, '') || '</td><td>' ||

@@ -99,12 +99,19 @@ def near_duplicate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 15) -> DataFrame:
-    """Pairs of one label whose sign hashes differ in at most ``most`` bits: they agree in one of most+1 bands."""
+    """Pairs of one label whose sign hashes differ in at most ``most`` bits.
+
+    Of half as many bands as ``most`` + 1 one differs in at most one bit, so one
+    side is dealt out with each bit of a band turned. At 15 bits that joins a
+    quarter of a label's pairs; bands of 4 bits that must agree join all of them twice.
+    """
     rows = _sign_hash(spark, sf_dir)
-    width = 64 // (most + 1)
-    band = F.array(*(F.shiftrightunsigned("h", k * width).bitwiseAND((1 << width) - 1) for k in range(most + 1)))
+    bands = (most + 2) // 2
+    width = 64 // bands
+    band = F.array(*(F.shiftrightunsigned("h", k * width).bitwiseAND((1 << width) - 1) for k in range(bands)))
     dealt = rows.select("vec_id", "label", "h", F.posexplode(band).alias("band", "part"))
-    other = dealt.select(F.col("vec_id").alias("other_id"), "label", F.col("h").alias("other_h"), "band", "part")
+    turned = F.explode(F.array(F.col("part"), *(F.col("part").bitwiseXOR(1 << k) for k in range(width))))
+    other = dealt.select(F.col("vec_id").alias("other_id"), "label", F.col("h").alias("other_h"), "band", turned.alias("part"))
     pairs = dealt.join(other, ["label", "band", "part"]).where("vec_id < other_id").withColumn("distance", scalars.hamming(F.col("h"), F.col("other_h")))
     return pairs.where(F.col("distance") <= most).select("label", "vec_id", "other_id", "distance").distinct()
 
@@ -198,8 +205,8 @@ t AS (SELECT user_id, ordinal, frame_no, least(greatest(start_ms + round_even((e
 SELECT user_id, ordinal, min(frame_no) AS frame_no, at_ms FROM t GROUP BY user_id, ordinal, at_ms""",
     "near_duplicate_frames": f"""WITH RECURSIVE {_H}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM h),
 w AS (SELECT label, vec_id, n, true AS kept, NULL::BIGINT AS near_id, NULL::INTEGER AS distance, [struct_pack(id := vec_id, h := h)] AS recent FROM o WHERE n = 1
-  UNION ALL SELECT label, vec_id, n, best.d > 24, best.id, best.d, CASE WHEN best.d > 24 THEN list_concat([struct_pack(id := vec_id, h := h)], recent)[1:3] ELSE recent END
-  FROM (SELECT o.label, o.vec_id, o.n, o.h, w.recent, list_sort(list_transform(w.recent, lambda x, i: struct_pack(d := hamming(x.h, o.h)::INTEGER, p := i, id := x.id)))[1] AS best
+  UNION ALL SELECT label, vec_id, n, best IS NULL, best.id, best.d, CASE WHEN best IS NULL THEN list_concat([struct_pack(id := vec_id, h := h)], recent)[1:3] ELSE recent END
+  FROM (SELECT o.label, o.vec_id, o.n, o.h, w.recent, list_filter(list_transform(w.recent, lambda x: struct_pack(d := hamming(x.h, o.h)::INTEGER, id := x.id)), lambda x: x.d <= 24)[1] AS best
     FROM w JOIN o ON o.label = w.label AND o.n = w.n + 1))
 SELECT label, vec_id, kept, near_id, distance FROM w""",
     "hamming_pairs": f"WITH {_H} SELECT a.label, a.vec_id, b.vec_id AS other_id, hamming(a.h, b.h)::INTEGER AS distance FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE hamming(a.h, b.h) <= 15",

@@ -103,7 +103,7 @@ def annotation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("shot_id"), F.lit(1).alias("start_ms"), F.lit(4).alias("end_ms"), F.array(F.lit(1).cast("int")).alias("frame_ids"))
     number = F.col("l_linenumber").cast("int")
     motion = F.struct(number.alias("start_ms"), (number + F.floor(F.col("l_quantity") / 15).cast("int")).alias("end_ms"))
-    own = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_quantity > 10")
+    own = table(spark, sf_dir, "lineitem").where("l_quantity > 10")
     return semantics.annotation_audit(shots, own.select(F.col("l_orderkey").alias("shot_id"), F.array(number).alias("evidence_frame_ids"), F.array(motion).alias("motions")), "shot_id")
 
 
@@ -152,15 +152,16 @@ def shot_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, dealt into three artifacts by line number."""
     lines = table(spark, sf_dir, "lineitem")
-    parts = [lines.where(F.col("l_linenumber") == k).select("l_orderkey", "l_returnflag", "l_linestatus") for k in (1, 2, 3)]
+    parts = [lines.where(F.col("l_linenumber") % 3 == k).select("l_orderkey", "l_returnflag", "l_linestatus") for k in (0, 1, 2)]
     return manifest.merge_artifacts(parts, "l_orderkey")
 
 
 def group_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     units = orders.select(F.col("o_orderkey").alias("media_unit_id"), F.col("o_custkey").alias("candidate_id"))
-    candidates = table(spark, sf_dir, "customer").where("c_nationkey < 15").select(F.col("c_custkey").alias("candidate_id"))
+    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"))
     groups = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("media_unit_id"), F.concat(F.lit("wg_"), F.col("o_custkey").cast("string")).alias("work_group_id"), F.lit("primary").alias("role"))
     return manifest.replace_groups(units, candidates, groups)
 
@@ -279,7 +280,7 @@ f AS (SELECT q.user_id, segment_no, count(*) AS n_frames, min(event_id) AS first
 s AS (SELECT q.user_id, segment_no, count(*) AS n_spans FROM q JOIN e ON e.user_id = q.user_id AND event_type = 'view' AND ms < end_ms AND ms + 3600000 > start_ms AND end_ms > start_ms GROUP BY ALL)
 SELECT user_id, segment_no, start_ms, end_ms, coalesce(n_frames, 0) AS n_frames, first_frame, coalesce(n_spans, 0) AS n_spans,
   CASE WHEN start_ms IS NULL OR end_ms IS NULL THEN 'unknown_anchor' WHEN end_ms <= start_ms THEN 'empty_range' END AS problem FROM q LEFT JOIN f USING (user_id, segment_no) LEFT JOIN s USING (user_id, segment_no)""",
-    "annotation_audit": """WITH a AS (SELECT l_orderkey AS shot_id, count(*) AS n, max(l_linenumber) AS frame, max(l_linenumber + floor(l_quantity / 15)) AS last FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 10 GROUP BY 1),
+    "annotation_audit": """WITH a AS (SELECT l_orderkey AS shot_id, count(*) AS n, max(l_linenumber) AS frame, max(l_linenumber + floor(l_quantity / 15)) AS last FROM lineitem WHERE l_quantity > 10 GROUP BY 1),
 j AS (SELECT coalesce(a.shot_id, o_orderkey) AS shot_id, n, frame, last, o_orderkey FROM a FULL JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON o_orderkey = a.shot_id)
 SELECT shot_id, 'missing' AS problem FROM j WHERE n IS NULL UNION ALL SELECT shot_id, 'unknown' FROM j WHERE o_orderkey IS NULL UNION ALL SELECT shot_id, 'duplicate' FROM j WHERE n > 1
 UNION ALL SELECT shot_id, 'unknown_frame' FROM j WHERE o_orderkey IS NOT NULL AND frame > 1 UNION ALL SELECT shot_id, 'motion_range' FROM j WHERE o_orderkey IS NOT NULL AND last > 4""",
@@ -314,9 +315,9 @@ SELECT user_id, ordinal, printf('candidate_%04d', ordinal + 1) AS candidate_segm
 n AS (SELECT *, lead(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms) AS end_ms FROM h)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_ms)::INT AS ordinal, start_ms, end_ms FROM n WHERE end_ms IS NOT NULL""",
     "artifact_merge": """SELECT l_orderkey, min(l_returnflag || '|' || l_linestatus).split('|')[1] AS l_returnflag, min(l_returnflag || '|' || l_linestatus).split('|')[2] AS l_linestatus, count(*) AS n_copies,
-  count(DISTINCT l_returnflag || '|' || l_linestatus) > 1 AS conflict FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey""",
+  count(DISTINCT l_returnflag || '|' || l_linestatus) > 1 AS conflict FROM lineitem GROUP BY l_orderkey""",
     "group_snapshot": """SELECT o_orderkey AS media_unit_id, o_custkey AS candidate_id, CASE WHEN o_orderstatus = 'F' THEN 'wg_' || o_custkey END AS work_group_id, CASE WHEN o_orderstatus = 'F' THEN 'primary' END AS role
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 15""",
+FROM orders JOIN customer ON o_custkey = c_custkey""",
     "escaped_turns": """SELECT conv_id, turn, role, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM conversations""",
     "default_identities": """SELECT event_id, CASE WHEN event_type = 'error' THEN '{"type":"error"}' WHEN event_id % 3 = 0 THEN '{"bvid":"' || user_id || '","cid":"' || event_id || '"}'
   WHEN event_id % 3 = 1 THEN '{"aweme_id":"' || user_id || '"}' ELSE '{"note_id":"' || user_id || '"}' END AS identity FROM events""",

@@ -31,14 +31,17 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where neither the setting nor the context has one (local tests) is a
-    temporary folder made.
+    Only where neither the setting nor the context has one is a temporary folder
+    made, and only on a local master; elsewhere that is an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -220,10 +220,77 @@ def test_lenient_and_strict_json(spark):
     assert {r.k: r.problem for r in readers.duplicate_keys(strict, "k", "t").collect()} == {1: "duplicate_key", 3: "invalid_json", 4: "invalid_json"}
 
 
-def test_search_payloads(spark):
-    tiktok = json.dumps({"entries": [{"id": "1", "title": "<b>a</b>  b", "uploader": "x", "duration": 3.0}, {"id": "2", "title": "c"}, {"id": "3", "title": "d", "uploader": "y", "timestamp": 60}]})
-    got = readers.search_candidates(spark.createDataFrame([("q", tiktok)], "q string, t string"), "tiktok", "q", "t").orderBy("rank").collect()
-    assert [(r.rank, r.candidate_id, r.title, r.published_at) for r in got] == [(1, "tiktok:1", "a b", None), (2, "tiktok:3", "d", "1970-01-01T00:01:00Z")]
+def _found(spark, platform, payload, **options):
+    return readers.search_candidates(spark.createDataFrame([("q", json.dumps(payload))], "q string, t string"), platform, "q", "t", **options).orderBy("rank").collect()
+
+
+def test_search_payloads_of_each_shape(spark):
+    clips = [{"item": {"id": "1", "desc": "<b>a</b>  b", "author": {"unique_id": "x"}, "video": {"duration": 3}}}, {"id": "2", "title": "c"}, {"aweme_id": "3", "author": {"uniqueId": "y"}}]
+    for name in ("item_list", "items", "data"):
+        got = _found(spark, "tiktok", {name: clips})
+        assert [(r.rank, r.candidate_id, r.title, r.author, r.duration_seconds) for r in got] == [(1, "tiktok:1", "a b", "x", 3.0), (2, "tiktok:3", "3", "y", None)]
+    assert got[0].url == "https://www.tiktok.com/@x/video/1"
+    work = lambda k, **more: {"aweme_id": str(k), "video": {"duration": 1500}, "author": {"nickname": "n"}, **more}
+    works = [{"aweme_info": work(1, desc="a")}, {"aweme_detail": work(2)}, {"aweme_mix_info": work(3, desc=" ")}, work(4, desc="d", create_time=60)]
+    for payload in ({"data": works}, {"data": {"data": works}}, {"data": {"items": works}}):
+        got = _found(spark, "douyin", payload)
+        assert [(r.source_id, r.title, r.author, r.duration_seconds) for r in got] == [("1", "a", "n", 1.5), ("2", "抖音作品 2", "n", 1.5), ("3", "抖音作品 3", "n", 1.5), ("4", "d", "n", 1.5)]
+    assert got[3].published_at == "1970-01-01T00:01:00Z"
+    note = "ABCDEF0123456789abcdef01"
+    notes = [{"id": note, "note_card": {"display_title": "t", "user": {"nickname": "u"}}}, {"note_id": note, "title": "plain", "user": {"nickname": "v"}}, {"note_card": {"note_id": note}}]
+    got = _found(spark, "xiaohongshu", {"data": {"items": notes}})
+    assert [(r.source_id, r.title, r.author) for r in got] == [(note.lower(), "t", "u"), (note.lower(), "plain", "v"), (note.lower(), f"小红书笔记 {note.lower()}", None)]
+    assert len(_found(spark, "xiaohongshu", {"data": {"items": notes}}, limit=2)) == 2 and _found(spark, "tiktok", {}) == []
+
+
+def test_search_records_without_an_id_are_errors(spark):
+    for platform, payload in (("douyin", {"data": [{"aweme_info": {"desc": "x"}}]}), ("xiaohongshu", {"data": {"items": [{"title": "x"}]}}), ("youtube", {"entries": [{"id": "a"}]}), ("bilibili", {"data": {"result": [{"title": "x"}]}})):
+        with pytest.raises(Exception, match="record without"):
+            _found(spark, platform, payload)
+
+
+def test_searches_say_whether_they_are_exhausted(spark):
+    end = lambda platform, payload, **o: readers.search_exhausted(spark.createDataFrame([("q", json.dumps(payload))], "q string, t string"), platform, "q", "t", **o).first().exhausted
+    assert end("douyin", {"has_more": 0}) and not end("douyin", {"has_more": 1}) and not end("douyin", {})
+    assert end("xiaohongshu", {"data": {"has_more": False}}) and not end("xiaohongshu", {"data": {"has_more": True}})
+    assert end("tiktok", {"data": []}) and not end("tiktok", {"data": [{"id": "1", "author": {"unique_id": "x"}}]}, limit=1)
+    with pytest.raises(ValueError):
+        end("youtube", {})
+
+
+def test_source_urls(spark):
+    cases = [("https://WWW.Bilibili.com/video/BV1?p=2#t", "bilibili", "https://www.bilibili.com/video/BV1"), (" https://b23.tv ", "bilibili", "https://b23.tv/"), ("https://b23.tv:443?x", "bilibili", "https://b23.tv:443/"),
+             ("http://bilibili.com/", "bilibili", None), ("https://me:pw@bilibili.com/", "bilibili", None), ("https://notbilibili.com/", "bilibili", None), ("https://tiktok.com.x.org/", "tiktok", None), ("https://youtu.be/a", "youtube", "https://youtu.be/a"), (None, "youtube", None)]
+    for url, platform, want in cases:
+        assert spark.range(1).select(scalars.source_url(F.lit(url).cast("string"), platform).alias("u")).first().u == want, url
+    got = spark.range(1).select(scalars.work_id("xiaohongshu", F.lit(" ABCDEF0123456789abcdef01 ")).alias("a"), scalars.work_id("xiaohongshu", F.lit("xABCDEF0123456789abcdef01")).alias("b"), scalars.clock_seconds(F.lit(" 1:05 ")).alias("c")).first()
+    assert tuple(got) == ("abcdef0123456789abcdef01", None, 65)
+
+
+def test_exact_links_connect_what_all_pairs_connect(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["s", "s", "t", "u", None])) for k in range(60)] + [(100, "lone", "s"), (101, "lone", "s"), (3, "a", "t")]
+    got = entity.exact_links(spark.createDataFrame(rows, "id int, body string, platform string"), ["body"], "platform", "id").collect()
+    pairs = [(min(x[0], y[0]), max(x[0], y[0])) for x in rows for y in rows if x[1] and x[1] == y[1] and x[2] and y[2] and x[2] != y[2]]
+
+    def groups(edges):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for l, r in edges:
+            l, r = sorted((find(l), find(r)))
+            root[r] = l
+        return {k: find(k) for k in root}
+
+    assert groups([tuple(r) for r in got]) == groups(pairs) and set(map(tuple, got)) <= set(pairs) and len(got) <= len(rows)
+
+
+def test_platforms_take_turns_in_their_fixed_order(spark):
+    df = spark.createDataFrame([("p", name, k) for name in ("tiktok", "youtube", "bilibili", "another") for k in (1, 2)], "plan string, platform string, rank int")
+    got = [r.platform for r in planning.round_robin(df, "plan", "platform", [F.asc("rank")], 6).orderBy("place").collect()]
+    assert got == ["bilibili", "youtube", "tiktok", "another", "bilibili", "youtube"]
+
+
+def test_page_units(spark):
     pages = json.dumps({"data": {"bvid": "BV1", "pages": [{"cid": 5, "page": 1, "part": "p", "duration": 9}]}})
     assert readers.page_units(spark.createDataFrame([("q", pages)], "q string, t string"), "q", "t").first().media_unit_id == "BV1:p1:cid5"
 

@@ -77,7 +77,31 @@ def test_near_duplicates_look_back_over_kept(spark):
     rows = [("v", 1, 0), ("v", 2, 1), ("v", 3, 255), ("v", 4, 3), ("v", 5, -1)]
     df = spark.createDataFrame(rows, "v string, id long, h long")
     got = {r.id: (r.kept, r.near_id, r.distance) for r in folds.near_duplicates(df, "v", "id", "h", threshold=2, lookback=2).collect()}
-    assert got == {1: (True, None, None), 2: (False, 1, 1), 3: (True, 1, 8), 4: (False, 1, 2), 5: (True, 3, 56)}
+    assert got == {1: (True, None, None), 2: (False, 1, 1), 3: (True, None, None), 4: (False, 1, 2), 5: (True, None, None)}
+
+
+def test_near_duplicates_name_the_latest_within_the_threshold(spark):
+    rows = [("a", 1, 0), ("a", 2, 7), ("a", 3, 1), ("a", 4, None), ("a", 5, 0), ("b", 6, 0), (None, 7, 0), (None, 8, 0)]
+    df = spark.createDataFrame(rows, "v string, id long, h long")
+    got = {r.id: (r.kept, r.near_id, r.distance) for r in folds.near_duplicates(df, "v", "id", "h", threshold=2, lookback=3).collect()}
+    # 3 is one bit from 1 and two from 2: the later one is named.
+    assert got[3] == (False, 2, 2) and got[5] == (False, 1, 0) and got[8] == (False, 7, 0)
+    assert all(got[k] == (True, None, None) for k in (1, 2, 4, 6, 7))
+    assert folds.near_duplicates(df.limit(0), "v", "id", "h").count() == 0
+
+
+def test_near_duplicates_equal_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("xyz"), k, rng.getrandbits(64) - 2**63 if rng.random() < 0.3 else rng.choice([0, 3, 12, 255, 4095])) for k in range(400)]
+    want = {}
+    for name in "xyz":
+        kept = []
+        for _, k, h in (r for r in rows if r[0] == name):
+            near = [(j, bin((h ^ g) % 2**64).count("1")) for j, g in kept[-3:] if bin((h ^ g) % 2**64).count("1") <= 4]
+            want[k] = (not near, *(near[-1] if near else (None, None)))
+            kept += [] if near else [(k, h)]
+    got = folds.near_duplicates(spark.createDataFrame(rows, "v string, id long, h long").repartition(5), "v", "id", "h").collect()
+    assert {r.id: (r.kept, r.near_id, r.distance) for r in got} == want
 
 
 def test_keep_evenly(spark):
