@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from shotloom.operators import folds, intervals, merge, retrieval
+from shotloom.plans import timelines
 
 
 def test_merge_plan_fixture(spark):
@@ -143,3 +144,23 @@ def test_page_counts_before_paging(spark):
     df = spark.range(10)
     got = retrieval.page(df, ["id"], 8, 5).collect()
     assert [(r.id, r.total) for r in got] == [(8, 10), (9, 10)]
+
+
+def test_hamming_pairs_lose_no_pair(spark, tmp_path):
+    rng = random.Random(9)
+    signs = lambda h: [1.0 if h >> (63 - k) & 1 else -1.0 for k in range(64)]
+    rows = []
+    for k in range(30):
+        base = rng.getrandbits(64)
+        for _ in range(4):
+            flips = 0
+            for bit in rng.sample(range(64), rng.randint(0, 11)):
+                flips |= 1 << bit
+            rows.append((len(rows), k % 3, base ^ flips))
+    # Fifteen and sixteen bits apart, two in each band.
+    spread = sum(3 << (8 * k) for k in range(8))
+    rows += [(900, 9, 0), (901, 9, spread ^ 1), (902, 9, spread)]
+    spark.createDataFrame([(i, label, signs(h)) for i, label, h in rows], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {(a[1], a[0], b[0], bin(a[2] ^ b[2]).count("1")) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and bin(a[2] ^ b[2]).count("1") <= 15}
+    got = [tuple(r) for r in timelines.hamming_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (9, 900, 901, 15) in want and len(want) > 50
