@@ -8,10 +8,15 @@ of 64 bits apart on average (a bit differs with probability acos(2s / (1 + s)) /
 = 0.15), so that under one pair in a hundred at the bound lies within three bits.
 What the masks leave apart therefore meets in bands of MinHash values too: a pair
 of similarity s is missed by all bands with probability (1 - s**BAND_ROWS)**BANDS,
-which is 8e-5 at s = 0.8 and 2e-6 at 0.85. Four bits of each MinHash value, kept as
-a sketch, tell most pairs below the bound apart before their sets are read: at 0.8
-they differ in 52.5 values of 280 on average, with a deviation of 6.5. Every
-candidate is verified.
+which is 8e-5 at s = 0.8 and 2e-6 at 0.85.
+
+Most pairs below the bound are told apart before their sets are read. A set flips one
+of PARITY_BITS bits for each shingle, so that two sets differ in at least as many
+shingles as their parities in bits; at 0.8 sets of a and b shingles differ in
+(a + b) / 9 of them. That misses nothing, but the bits fill up. Texts of over
+PARITY_MOST shingles have a sketch instead, four bits of each MinHash value: at 0.8
+they differ in 52.5 values of 280 on average, with a deviation of 6.5. Every candidate
+is verified.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ BANDS = 40
 BAND_ROWS = 7
 #: Longs of a sketch, of 16 values of four bits.
 SKETCH_LONGS = -(-BANDS * BAND_ROWS // 16)
+#: Bits of the parities of a set.
+PARITY_BITS = 512
+#: Shingles of the smaller set up to which parities tell more pairs apart than sketches do.
+PARITY_MOST = 700
 #: Values in which the sketches of a pair may differ: five deviations above the mean at a similarity of 0.8.
 SKETCH_MOST = 85
 #: Ids that are broadcast at most, to pick texts before they are shuffled.
@@ -75,6 +84,12 @@ def bands(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """One bit for each PARITY_BITS-th of the hashes: whether an odd number of the set's shingles lies there."""
+    odd = np.bincount((found >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _differing(a: Column, b: Column) -> Column:
     """In how many of their values of four bits two longs differ."""
     x = a.bitwiseXOR(b)
@@ -87,7 +102,7 @@ def _signed(x: int) -> int:
 
 
 def _sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """(doc_id, node, n, fp, bands and sketch) of every row, or with ``whole`` (doc_id, node, shingles)."""
+    """(doc_id, node, n, fp, bands, sketch and parities) of every row, or with ``whole`` (doc_id, node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
@@ -99,9 +114,10 @@ def _sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([x.view(np.int64) for x in found], longs)], ["doc_id", "node", "shingles"])
                 else:
                     keys, sketches = zip(*map(bands, found), strict=True)
-                    yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([len(x) for x in found], pa.int64()), pa.array([majority(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in keys], longs), pa.array([x.view(np.int64) for x in sketches], longs)], ["doc_id", "node", "n", "fp", "bands", "sketch"])
+                    arrays = [pa.array([x.view(np.int64) for x in column], longs) for column in (keys, sketches, map(parities, found))]
+                    yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([len(x) for x in found], pa.int64()), pa.array([majority(x) for x in found], pa.int64()), *arrays], ["doc_id", "node", "n", "fp", "bands", "sketch", "parity"])
 
-    return map_batches(docs, run, "doc_id long, node long, shingles array<long>" if whole else "doc_id long, node long, n long, fp long, bands array<long>, sketch array<long>")
+    return map_batches(docs, run, "doc_id long, node long, shingles array<long>" if whole else "doc_id long, node long, n long, fp long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -149,15 +165,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Neighbours by SimHash, and each band's members with its smallest member, are held
     against each other first, which joins large groups by few comparisons; then all
-    pairs of a band that are not yet in one group are. Repeated rows keep their
+    pairs of a band that are not yet in one group, and that parities and sketches
+    leave possible, are. Repeated rows keep their
     rows; an empty table gives none; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = written(_sets(texts, width, whole=False), "marked")
-    plain = nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch"))), "nodes")
+    plain = nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch", "parity"))), "nodes")
     near = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
     ends = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    sketch = [f"s{k}" for k in range(SKETCH_LONGS)]
+    odd, sketch = [f"p{k}" for k in range(PARITY_BITS // 64)], [f"s{k}" for k in range(SKETCH_LONGS)]
     # The bound of the sketches holds for a similarity of 0.8; a lower one lets all pairs through.
     most = SKETCH_MOST if least >= 0.8 else BANDS * BAND_ROWS
     keyed = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -168,11 +185,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = written(_verified(texts, plain, first, width, least), "links")
     roots = _components(nodes.select("node", "least"), links)
     members = _apart(members, roots).select("band", "node", "n", "root")
-    members = written(members.join(nodes.select("node", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_LONGS))), "node"), "members")
-    differ = lambda of: sum((_differing(F.col(c), of(c)) for c in sketch), F.lit(0)) <= most
-    other = members.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "root", *sketch)))
-    met = members.join(other, "band").where((F.col("root") < F.col("other_root")) & near(F.col("n"), F.col("other_n")) & differ(lambda c: F.col(f"other_{c}")))
-    rest = met.select(*ends(F.col("node"), F.col("other_node"))).distinct().join(first, ["src", "dst"], "left_anti")
+    short, long = F.col("n") <= PARITY_MOST / least, F.col("n") > PARITY_MOST
+    parts = [F.when(short, F.col("parity")[k]).alias(c) for k, c in enumerate(odd)] + [F.when(long, F.col("sketch")[k]).alias(c) for k, c in enumerate(sketch)]
+    members = written(members.join(nodes.select("node", *parts), "node"), "members")
+
+    def met(rows: DataFrame, columns: list[str], possible: Column) -> DataFrame:
+        other = rows.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "root", *columns)))
+        both = rows.select("band", "node", "n", "root", *columns).join(other, "band")
+        return both.where((F.col("root") < F.col("other_root")) & near(F.col("n"), F.col("other_n")) & possible).select("node", "other_node")
+
+    total = lambda of, columns: sum((of(F.col(c), F.col(f"other_{c}")) for c in columns), F.lit(0))
+    flipped = total(lambda a, b: F.bit_count(a.bitwiseXOR(b)), odd) <= (F.col("n") + F.col("other_n")) * (1 - least) / (1 + least) + 1e-6
+    # Two joins, as a condition over all columns is too long for the JVM to compile.
+    pairs = met(members.where(short), odd, (F.least("n", "other_n") <= PARITY_MOST) & flipped).unionByName(met(members.where(long), sketch, total(_differing, sketch) <= most))
+    rest = pairs.select(*ends(F.col("node"), F.col("other_node"))).distinct().join(first, ["src", "dst"], "left_anti")
     links = links.unionByName(written(_verified(texts, plain, written(rest, "pairs"), width, least), "links"))
     roots = _components(nodes.select("node", "least"), links)
     names = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "names")

@@ -560,9 +560,10 @@ def edited(text: str, every: int) -> str:
     return " ".join(f"new{k}" if k % every == every // 2 else w for k, w in enumerate(words))
 
 
-def test_similar_texts_by_brute_force(spark, nothing):
+@pytest.mark.parametrize(("low", "high"), [(3, 400), (600, 1000)])
+def test_similar_texts_by_brute_force(spark, nothing, low, high):
     rng = random.Random(5)
-    texts = [prose(k, rng.randint(3, 400)) for k in range(40)]
+    texts = [prose(k, rng.randint(low, high)) for k in range(40)]
     rows = [(k, t) for k, t in enumerate(texts)]
     rows += [(100 + 40 * j + k, edited(t, every)) for j, every in enumerate((35, 47, 60, 120)) for k, t in enumerate(texts)]
     rows += [(900, None), (901, ""), (902, " "), (903, "a b"), (904, "A  b"), (None, texts[3]), (905, texts[4]), (4, prose(77, 50))]
@@ -590,6 +591,17 @@ def test_similar_texts_by_brute_force(spark, nothing):
     assert similar.similar_groups(nothing).count() == 0
 
 
+def test_parities_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 300, 3000):
+        for moved in {0, 1, size // 9, size}:
+            own = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+            other = np.r_[own[moved:], rng.integers(0, 1 << 64, moved, dtype=np.uint64)]
+            flipped = int(np.bitwise_count(similar.parities(np.unique(own)) ^ similar.parities(np.unique(other))).sum())
+            assert flipped <= len(np.setxor1d(own, other))
+            assert flipped or not moved or size > 2
+
+
 def test_stage_drops_copies_with_spread_edits(spark):
     text = prose(501, 300)
     other = edited(text, 60)
