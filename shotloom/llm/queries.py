@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import conversations, decontaminate, host_quality, html_text, interpolation, packing, simhash, substrings, toxicity, warc
+from shotloom.llm import byte_pieces, conversations, decontaminate, host_quality, html_text, interpolation, packing, periodic, prefix_trie, simhash, substrings, toxicity, warc
+from shotloom.llm.text import SPACE_PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,50 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h = crc32(doc_id as text), each tenth text repeats its first words from a place on.
+
+    Where h % 10 = 0 and there are n > 0 words, word i >= a is word a + (i - a) % p of the
+    original, a = g % n, p = 1 + (n - a) div (3 + g % 8), g = h div 10. A null id is left alone.
+    """
+    words = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = words.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", SPACE_PATTERN), lambda w: w != "")))
+    words = words.withColumns({"g": F.expr("h div 10"), "n": F.size("words")}).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    words = words.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)]), ' ')")
+    return words.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    # the greatest length / period by exact products; of equals the first in the order of runs
+    best = F.expr("aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sentencepiece_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    back = byte_pieces.decode(byte_pieces.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.rebuild(prefix_trie.turn_lists(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_host_quality": op2_host_quality,
@@ -83,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_free_substrings": op8_prefix_free_substrings,
     "op9_reply_trees": op9_reply_trees,
     "op10_benchmark_leaks": op10_benchmark_leaks,
+    "op11_lyndon_runs": op11_lyndon_runs,
+    "op12_sentencepiece_bytes": op12_sentencepiece_bytes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP3_SQL = """
@@ -109,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chunked_warc": _OP3_SQL,
     "op9_reply_trees": _OP9_SQL,
     "op10_benchmark_leaks": decontaminate.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
