@@ -1,17 +1,21 @@
-"""Scalar functions on columns; all but the file names, which need Unicode tables, stay in the JVM.
+"""Scalar functions on columns, in the JVM but for what needs Unicode or entity tables.
 
-Python's rules are kept where Spark's differ: half-even rounding, Unicode white
+Normal forms and named entities go to Python as Arrow batches, and only the values
+that can change do; the others pass as nulls. Python's rules are kept where Spark's differ: half-even rounding, Unicode white
 space, first-occurrence order of distinct lists.
 """
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Lower bounds of the context tiers, in tokens (fixed values).
 CONTEXT_TIERS = (("1m", 1_000_000), ("512k", 512_000), ("256k", 256_000), ("128k", 128_000))
@@ -36,15 +40,53 @@ def collapse_spaces(x: Column) -> Column:
     return strip_spaces(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+@F.arrow_udf(StringType())
+def _composed(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _unescaped(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else html.unescape(v) for v in values.to_pylist()], pa.string())
+
+
+def normal_form(x: Column) -> Column:
+    """Unicode normal form C. Only texts with a code point from U+0300 on can change."""
+    can_change = x.rlike(r"[^\x00-\u02FF]")
+    return F.when(can_change, _composed(F.when(can_change, x))).otherwise(x)
+
+
+def inline_text(x: Column) -> Column:
+    """Normal form C, white space of any kind collapsed."""
+    return collapse_spaces(normal_form(x))
+
+
 def multiline_text(x: Column) -> Column:
-    """Line ends as \\n, no spaces at the ends of lines or of the text."""
-    lines = F.regexp_replace(x, r"\r\n?", "\n")
+    """Normal form C, line ends as \\n, no spaces at the ends of lines or of the text."""
+    lines = F.regexp_replace(normal_form(x), r"\r\n?", "\n")
     return strip_spaces(F.regexp_replace(lines, r"(?U)[\s&&[^\n]]+(?=\n|$)", ""))
 
 
+#: What case folding turns characters into that lower case does not: one character, or several.
+_FOLDED = {c: c.lower().casefold() for c in map(chr, range(128, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()}
+_FOLDED_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_FOLDED_MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
+
+def case_folded(x: Column) -> Column:
+    """Full case folding: lower case, then the characters that fold further (sharp s, final sigma, ligatures)."""
+    x = F.lower(x)
+    one = F.translate(x, "".join(_FOLDED_ONE), "".join(_FOLDED_ONE.values()))
+    more = one
+    for c, folded in _FOLDED_MORE.items():
+        more = F.replace(more, F.lit(c), F.lit(folded))
+    plain = F.when(one.rlike(f"[{''.join(_FOLDED_MORE)}]"), more).otherwise(one)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), plain).otherwise(x)
+
+
 def match_text(x: Column) -> Column:
-    """Lower-cased letters and digits only."""
-    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
+    """Case-folded letters and digits only."""
+    return F.regexp_replace(case_folded(x), r"[^\p{L}\p{N}]", "")
 
 
 def ordered_distinct(values: Column) -> Column:
@@ -85,6 +127,13 @@ def clock_seconds(x: Column) -> Column:
     return F.when(x.rlike(r"^\d{1,9}(:\d{1,9}){0,2}\z"), total)
 
 
+def json_clock(raw: Column) -> Column:
+    """Seconds of a JSON value: a number is taken as it is, but not below zero, a string as of ``clock_seconds``."""
+    number = raw.try_cast("double")
+    number = F.when(number < 0, 0.0).otherwise(number)
+    return F.when(raw.startswith('"'), clock_seconds(F.substring(raw, F.lit(2), F.char_length(raw) - 2)).cast("double")).otherwise(number)
+
+
 def clock_text(ms: Column) -> Column:
     """HH:MM:SS.mmm of milliseconds."""
     part = lambda div, mod: F.lpad(F.pmod(F.floor(ms / div), F.lit(mod)).cast("string"), 2, "0")
@@ -149,11 +198,10 @@ def source_url(x: Column, platform: str) -> Column:
 
 
 def clean_html(x: Column) -> Column:
-    """Text without tags, the five basic entities resolved and white space collapsed."""
-    out = F.regexp_replace(x, r"<[^>]*>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return collapse_spaces(out)
+    """Text without tags, entities of all names and numbers resolved and white space collapsed."""
+    out = F.regexp_replace(x, r"<[^>]+>", "")
+    marked = out.contains("&")
+    return collapse_spaces(F.when(marked, _unescaped(F.when(marked, out))).otherwise(out))
 
 
 def context_tier(tokens: Column) -> Column:

@@ -11,33 +11,64 @@ from pyspark.sql.types import DoubleType
 
 from shotloom.functions.scalars import aligned_similarity, match_text
 from shotloom.operators.graph import connected_components
+from shotloom.session import written
 
 
 @F.pandas_udf(DoubleType())
 def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two titles; the order of the two matters."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])
+    """Ratio of matching blocks of two titles; the order of the two matters. Equal pairs of a batch are compared once."""
+    known: dict[tuple, float] = {}
+    for pair in zip(left, right, strict=True):
+        if pair not in known:
+            known[pair] = SequenceMatcher(None, pair[0] or "", pair[1] or "").ratio()
+    return pd.Series([known[pair] for pair in zip(left, right, strict=True)], dtype="float64")
+
+
+#: Characters are counted in this many bins, to bound what two titles can share.
+LETTER_BINS = 64
+
+
+def letter_counts(title: Column) -> Column:
+    """How many characters of a title fall into each bin, by code point."""
+    bins = F.transform(F.split(title, ""), lambda c: F.pmod(F.ascii(c), F.lit(LETTER_BINS)))
+    return F.transform(F.sequence(F.lit(0), F.lit(LETTER_BINS - 1)), lambda k: F.size(F.filter(bins, lambda b: b == k)))
+
+
+def may_reach(ratio: float, left: Column, right: Column, left_letters: Column, right_letters: Column) -> Column:
+    """Whether two titles can reach a ratio of matching blocks at all.
+
+    Matching characters are at most the shorter title, and at most the characters the
+    two have in common whatever their order; bins hold several characters, so that the
+    second bound is never too low.
+    """
+    total = F.char_length(left) + F.char_length(right)
+    common = F.aggregate(F.zip_with(left_letters, right_letters, lambda a, b: F.least(a, b)), F.lit(0), lambda s, n: s + n)
+    least = ratio * total - 1e-9
+    return F.when(2 * F.least(F.char_length(left), F.char_length(right)) < least, F.lit(False)).otherwise(2 * common >= least)
 
 
 def durations_agree(a: Column, b: Column, share: float = 0.05, least: float = 2.0) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(least), share * F.greatest(a, b))
 
 
+def _duration_bucket(seconds: Column) -> Column:
+    """Durations that agree fall into the same or the next bucket of a logarithmic scale."""
+    return F.floor(F.log(F.greatest(seconds, F.lit(40.0))) / F.log(F.lit(1.06)))
+
+
 def suspected_pairs(units: DataFrame, block: list[str], platform: str, unit_id: str, duration: str, title: str | None = None, ratio: float = 0.72) -> DataFrame:
     """Pairs of units of one block and different platforms whose durations agree (and titles, if given).
 
-    Cheap tests come first; the title ratio, of letters and digits in lower
-    case, is computed for what is left. The left unit is the one of the smaller
+    Cheap tests come first; the title ratio, of case-folded letters and digits, is computed for what is left. The left unit is the one of the smaller
     id. All agreeing pairs of a block come out, so a block must be selective;
-    for copies of whole texts take exact_links().
+    for copies of whole texts take exact_links(), for units with authors crosspost_pairs().
     """
     if title:
         units = units.withColumn(title, match_text(F.col(title)))
     columns = [unit_id, platform, duration, *([title] if title else [])]
     left, right = (units.select(*block, *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in ("l", "r"))
     keys = [*block, "bucket"]
-    # Durations that agree fall into the same or the next bucket of a logarithmic scale.
-    bucket = lambda c: F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(40.0))) / F.log(F.lit(1.06)))
+    bucket = lambda c: _duration_bucket(F.col(c).cast("double"))
     left = left.withColumn("bucket", bucket(f"l_{duration}"))
     right = right.withColumn("bucket", F.explode(F.array(bucket(f"r_{duration}") - 1, bucket(f"r_{duration}"), bucket(f"r_{duration}") + 1)))
     pairs = left.join(right, keys).where(F.col(f"l_{unit_id}") < F.col(f"r_{unit_id}")).where(F.col(f"l_{platform}") != F.col(f"r_{platform}"))
@@ -47,6 +78,59 @@ def suspected_pairs(units: DataFrame, block: list[str], platform: str, unit_id:
     return pairs
 
 
+def crosspost_classes(units: DataFrame, unit_id: str, platform: str, author: str, title: str, duration: str) -> DataFrame:
+    """Units that the cross-post rule can't tell apart, as one class: platform, author and title (as they are matched), duration, first, last, n_units.
+
+    Case-folded letters and digits of author and title are matched. Units with a null
+    platform or duration, or without a letter or digit in author or title, are in no
+    class: the rule suspects none of them.
+    """
+    rows = units.select(F.col(unit_id).alias("unit"), F.col(platform).alias("platform"), match_text(F.col(author)).alias("author"), match_text(F.col(title)).alias("title"), F.col(duration).cast("double").alias("duration"))
+    rows = rows.where("platform is not null and duration is not null and author <> '' and title <> ''")
+    return rows.groupBy("platform", "author", "title", "duration").agg(F.min("unit").alias("first"), F.max("unit").alias("last"), F.count(F.lit(1)).alias("n_units"))
+
+
+def bounded_pairs(classes: DataFrame, ratio: float = 0.72) -> DataFrame:
+    """Pairs (l_, r_) of classes of one author on different platforms, of agreeing durations, whose titles can reach the ratio.
+
+    A pair (l, r) stands for the units of l that come before some unit of r, as the
+    ratio is not the same both ways. Authors are dealt out by duration, so that one of
+    a third of all units is no single task; the smaller tests are columns of the JVM.
+    """
+    columns = ["platform", "title", "duration", "first", "last", "n_units", "letters"]
+    rows = classes.withColumn("letters", letter_counts(F.col("title")))
+    bucket = _duration_bucket(F.col("duration"))
+    left = rows.select("author", bucket.alias("bucket"), *(F.col(c).alias(f"l_{c}") for c in columns))
+    right = rows.select("author", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), *(F.col(c).alias(f"r_{c}") for c in columns))
+    pairs = left.join(right, ["author", "bucket"]).where("l_platform <> r_platform and l_first < r_last").where(durations_agree(F.col("l_duration"), F.col("r_duration")))
+    possible = (F.col("l_title") == F.col("r_title")) | may_reach(ratio, F.col("l_title"), F.col("r_title"), F.col("l_letters"), F.col("r_letters"))
+    return pairs.where(possible).drop("bucket", "l_letters", "r_letters")
+
+
+def crosspost_pairs(classes: DataFrame, ratio: float = 0.72) -> DataFrame:
+    """``bounded_pairs`` whose titles reach the ratio of matching blocks, with title_ratio; equal titles are not compared."""
+    same = F.col("l_title") == F.col("r_title")
+    apart = lambda side: F.when(~same, F.col(f"{side}_title"))
+    pairs = bounded_pairs(classes, ratio).withColumn("title_ratio", title_ratio(apart("l"), apart("r")))
+    return pairs.withColumn("title_ratio", F.when(same, 1.0).otherwise(F.col("title_ratio"))).where(F.col("title_ratio") >= ratio)
+
+
+def crosspost_links(units: DataFrame, unit_id: str, platform: str, author: str, title: str, duration: str, ratio: float = 0.72) -> DataFrame:
+    """Links (src, dst) of single units that connect what all pairs of suspected units connect.
+
+    A pair of classes links each unit of the left one to the last unit of the right
+    one, if that comes after it, and each of the right one to the first unit of the
+    left one, if that comes before it: one link a unit and pair of classes.
+    """
+    classes = written(crosspost_classes(units, unit_id, platform, author, title, duration), "classes")
+    pairs = written(crosspost_pairs(classes, ratio), "pairs")
+    rows = units.select(F.col(unit_id).alias("unit"), F.col(platform).alias("platform"), match_text(F.col(author)).alias("author"), match_text(F.col(title)).alias("title"), F.col(duration).cast("double").alias("duration"))
+    ends = [pairs.select("author", F.col(f"{a}_platform").alias("platform"), F.col(f"{a}_title").alias("title"), F.col(f"{a}_duration").alias("duration"), F.col(other).alias("other"), F.lit(a == "l").alias("before")) for a, other in (("l", "r_last"), ("r", "l_first"))]
+    links = rows.join(ends[0].unionByName(ends[1]).distinct(), ["author", "platform", "title", "duration"])
+    links = links.where(F.when(F.col("before"), F.col("unit") < F.col("other")).otherwise(F.col("unit") > F.col("other")))
+    return links.select(F.least("unit", "other").alias("src"), F.greatest("unit", "other").alias("dst")).distinct()
+
+
 def exact_links(units: DataFrame, block: list[str], platform: str, unit_id: str) -> DataFrame:
     """Links (l, r) between units of one block on different platforms, one a unit instead of all pairs.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.functions.scalars import PLATFORMS, collapse_spaces
+from shotloom.functions.scalars import PLATFORMS, case_folded, collapse_spaces
+from shotloom.session import fresh_dir
 
 
 def reference_audit(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -37,21 +38,26 @@ def round_robin(rows: DataFrame, plan: str, platform: str, rank: list[Column], m
 def admit_in_order(rows: DataFrame, plans: list[str], plan: str, platform: str, unit: str, rank: list[Column], most: int) -> DataFrame:
     """round_robin() plan after plan, where a unit admitted by one plan is out of the others.
 
-    Sequential by definition; what is carried is at most ``most`` rows a plan.
+    Sequential by definition. The rows are dealt into a folder a plan first; a plan then
+    reads its own folder and the units taken so far, at most ``most`` a plan, and writes
+    what it admits. So each row is read once, and no plan carries the work of another.
     """
-    out = None
+    spark, path, taken = rows.sparkSession, fresh_dir(rows.sparkSession, "plans"), []
+    rows.where(F.col(plan).isin(*plans)).repartition(F.col(plan)).write.partitionBy(plan).parquet(path)
+    dealt = spark.read.schema(rows.schema).parquet(path)
     for name in plans:
-        own = rows.where(F.col(plan) == name)
-        if out is not None:
-            own = own.join(out.select(unit), unit, "left_anti")
-        got = round_robin(own, plan, platform, rank, most)
-        out = got if out is None else out.unionByName(got)
-    return out
+        own = dealt.where(F.col(plan) == name)
+        if taken:
+            units = spark.read.schema(rows.schema).parquet(*taken).select(F.col(unit).alias("__taken"))
+            own = own.join(F.broadcast(units), F.col(unit) == F.col("__taken"), "left_anti")  # at most ``most`` units a plan
+        taken.append(fresh_dir(spark, "admitted"))
+        round_robin(own, plan, platform, rank, most).write.parquet(taken[-1])
+    return spark.read.parquet(*taken) if taken else round_robin(rows.limit(0), plan, platform, rank, most)
 
 
 def query_keys(queries: DataFrame, platform: str = "platform", text: str = "text") -> DataFrame:
-    """Distinct ``platform:text`` keys, texts lower-cased with single spaces."""
-    return queries.select(F.concat(F.col(platform), F.lit(":"), F.lower(collapse_spaces(F.col(text)))).alias("query_key")).distinct()
+    """Distinct ``platform:text`` keys, texts case-folded with single spaces."""
+    return queries.select(F.concat(F.col(platform), F.lit(":"), case_folded(collapse_spaces(F.col(text)))).alias("query_key")).distinct()
 
 
 def new_queries(proposed: DataFrame, history: DataFrame) -> DataFrame:

@@ -41,11 +41,21 @@ def live_leases(leases: DataFrame, now: Column) -> DataFrame:
 
 
 def admission(jobs: DataFrame, group: str, active: Column, job_id: str, limit: int) -> DataFrame:
-    """Per group: active jobs, free places and the least id of an active one."""
+    """Per group: active jobs, free places and the least id of an active one; ``active_ids`` lists them all."""
     out = jobs.groupBy(group).agg(F.count_if(active).alias("n_active"), F.min(F.when(active, F.col(job_id))).alias("first_active"))
     return out.withColumn("free", F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("n_active")))
 
 
+def active_ids(jobs: DataFrame, group: str, active: Column, job_id: str, most: int | None = None) -> DataFrame:
+    """Active jobs in the order of their ids: group, place (from 1), id; the first ``most`` of each group, if given.
+
+    One row a job instead of a list a group, so that a group may have any number.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(job_id))
+    rows = jobs.where(active).select(group, place.alias("place"), job_id)
+    return rows.where(F.col("place") <= most) if most is not None else rows
+
+
 def recover_interrupted(attempts: DataFrame, live: DataFrame, owner: str = "owner_id") -> DataFrame:
     """Attempts whose owner holds no live lease any more are interrupted instead of running."""
     held = live.select(F.col(owner).alias("__owner")).distinct()

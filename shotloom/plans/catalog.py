@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shotloom.plans import catalogs, evidences, timelines, workflows
+from shotloom.plans import catalogs, evidences, studies, timelines, workflows
 
-QUERIES = {**timelines.QUERIES, **catalogs.QUERIES, **workflows.QUERIES, **evidences.QUERIES}
-ORACLE_SQL = {**timelines.ORACLE_SQL, **catalogs.ORACLE_SQL, **workflows.ORACLE_SQL, **evidences.ORACLE_SQL}
+QUERIES = {**timelines.QUERIES, **catalogs.QUERIES, **workflows.QUERIES, **evidences.QUERIES, **studies.QUERIES}
+ORACLE_SQL = {**timelines.ORACLE_SQL, **catalogs.ORACLE_SQL, **workflows.ORACLE_SQL, **evidences.ORACLE_SQL, **studies.ORACLE_SQL}

@@ -331,7 +331,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED
 SELECT conv_id, run_no, role, min(turn) AS first_pos, max(turn) AS last_pos, count(*) AS n_rows FROM s GROUP BY conv_id, run_no, role""",
     "url_canonical": r"SELECT page_id, CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]+') THEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) END AS url FROM pages",
     "html_clean": r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS x FROM pages),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM t)
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM t)
 SELECT page_id, regexp_replace(regexp_replace(x, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM u""",
     "clock_parse": """WITH r AS (SELECT doc_id, n_chars * 977 AS ms FROM documents)
 SELECT doc_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS clock, ms AS ms_back, ms // 1000 AS seconds FROM r""",

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotloom.functions.scalars import clock_seconds, collapse_spaces, epoch_iso, strip_spaces, subtitle_ms
+from shotloom.functions.scalars import clean_html, collapse_spaces, epoch_iso, json_clock, strip_spaces, subtitle_ms
+from shotloom.session import broadcast_if_small, written
 
 _HEAD = "__line"
 
@@ -39,10 +40,34 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, versions: tuple
     return _guarded(rows, versions) if versions else rows
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files in their order: file, line_no (from 1 in each file, blank lines count) and line.
+
+    A split's lines come in order but do not know how many lie before their split, so
+    the lines of each split are counted and the counts summed up over a file's splits;
+    what is joined is one row a split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = written(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    line_no = F.col("at") - F.col("first") + F.col("before") + 1
+    return lines.join(broadcast_if_small(written(splits, "splits")), ["file", "block"]).select("file", line_no.alias("line_no"), F.col("value").alias("line"))
+
+
+def read_ordered_json_lines(spark: SparkSession, path: str, schema: str, versions: tuple[int, ...] | None = None) -> DataFrame:
+    """As ``read_json_lines``, with file, line_no and ordinal (dense, from 1 in each file, over the lines that are not blank)."""
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    rows = lines.select("file", "line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("file", "line_no", "r.*")
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("file").orderBy("line_no")))
+    return _guarded(rows, versions) if versions else rows
+
+
 def read_jobs(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All job snapshots under ``root``/*/job.json, with the folder's name."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root.rstrip('/')}/*/job.json")
-    return rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    """All job snapshots under ``root``/*/job.json by the folder's name, in ``folder``; one that does not fit is an error."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{root.rstrip('/')}/*/job.json")
+    return rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).orderBy("folder")
 
 
 def parse_subtitles(files: DataFrame, key: str, content: str, source: str = "subtitle") -> DataFrame:
@@ -135,7 +160,7 @@ _AWEMES = f"array<struct<aweme_info: {_AWEME}, aweme_detail: {_AWEME}, aweme_mix
 _CLIPS = f"array<struct<item: struct<{_CLIP}>, {_CLIP}>>"
 #: Per platform: shapes of the payload as (schema, path of the records), the first that fits is read.
 _SHAPES = {
-    "bilibili": [("data struct<result: array<struct<bvid: string, title: string, author: string, duration: string, arcurl: string, pubdate: long>>>", "data.result")],
+    "bilibili": [("data struct<result: array<struct<bvid: string, title: string, author: string, duration: variant, arcurl: string, pubdate: long>>>", "data.result")],
     "douyin": [(f"data {_AWEMES}", "data"), (f"data struct<data: {_AWEMES}>", "data.data"), (f"data struct<items: {_AWEMES}>", "data.items")],
     "xiaohongshu": [(f"{where}items array<struct<id: string, note_card: struct<{_NOTE}>, {_NOTE}>>{end}", path) for where, end, path in (("data struct<", ">", "data.items"), ("", "", "items"))],
     "youtube": [(f"entries array<struct<{_ENTRY}>>", "entries")],
@@ -143,11 +168,15 @@ _SHAPES = {
 }
 
 
+#: The form of the platforms' own ids (fixed values); another id is as good as none.
+SOURCE_IDS = {"bilibili": r"^(?i:BV[0-9A-Za-z]{10})\z", "douyin": r"^\d{10,24}\z", "xiaohongshu": r"^[0-9a-f]{24}\z"}
+
+
 def _record(platform: str) -> dict[str, Column]:
     """Fields of a candidate in a record ``r`` of the platform."""
     r = F.col("r")
     if platform == "bilibili":
-        return {"source_id": r["bvid"], "title": r["title"], "author": r["author"], "seconds": clock_seconds(r["duration"]).cast("double"), "url": r["arcurl"], "published": r["pubdate"]}
+        return {"source_id": r["bvid"], "title": r["title"], "author": r["author"], "seconds": json_clock(F.to_json(r["duration"])), "url": r["arcurl"], "published": r["pubdate"]}
     if platform == "youtube":
         return {"source_id": r["id"], "title": r["title"], "author": r["uploader"], "seconds": r["duration"], "url": r["webpage_url"], "published": r["timestamp"]}
     if platform == "douyin":
@@ -178,7 +207,7 @@ def search_candidates(payloads: DataFrame, platform: str, key: str, content: str
     parsed = payloads.select(key, listed.alias("p")).select(key, F.posexplode("p").alias("pos", "r"))
     field = lambda name, kind: get[name].cast(kind) if name in get else F.lit(None).cast(kind)
     seconds, published = field("seconds", "double"), field("published", "long")
-    title = F.nullif(collapse_spaces(F.regexp_replace(field("title", "string"), r"<[^>]*>", "")), F.lit(""))
+    title = F.nullif(clean_html(field("title", "string")), F.lit(""))
     url = field("url", "string")
     rows = parsed.select(key, "pos", F.nullif(field("source_id", "string"), F.lit("")).alias("source_id"), title.alias("title"), F.nullif(field("author", "string"), F.lit("")).alias("author"), F.when(seconds >= 0, seconds).alias("duration_seconds"), url.alias("url"), epoch_iso(published).alias("published_at"))
     if platform == "tiktok":
@@ -186,6 +215,9 @@ def search_candidates(payloads: DataFrame, platform: str, key: str, content: str
     rows = _dense(rows, key, "pos", "rank").where(F.col("rank") <= limit)
     if platform in ("douyin", "xiaohongshu"):
         rows = rows.withColumn("title", F.coalesce("title", F.concat(F.lit({"douyin": "抖音作品 ", "xiaohongshu": "小红书笔记 "}[platform]), "source_id")))
+    if platform in SOURCE_IDS:
+        formed = F.col("source_id").rlike(SOURCE_IDS[platform])
+        rows = rows.withColumn("source_id", F.when(formed, F.col("source_id")))
     needed = {"douyin": ["source_id"], "xiaohongshu": ["source_id"], "tiktok": []}.get(platform, ["source_id", "title"])
     for name in needed:
         missing = F.raise_error(F.concat(F.lit(f"{platform} record without {name} in "), F.col(key).cast("string"))).cast("string")
@@ -199,16 +231,18 @@ def search_candidates(payloads: DataFrame, platform: str, key: str, content: str
 def search_exhausted(payloads: DataFrame, platform: str, key: str, content: str, limit: int = 20) -> DataFrame:
     """(key, exhausted): whether a search has no more results.
 
-    douyin and xiaohongshu say so themselves; a tiktok payload has no more where it gives fewer than ``limit`` candidates.
+    douyin and xiaohongshu say so themselves, with false or zero; bilibili gives the
+    number of all results; for youtube and tiktok a payload with fewer than ``limit``
+    candidates is the last.
     """
-    if platform == "tiktok":
-        counted = search_candidates(payloads, platform, key, content, limit).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return payloads.select(key).distinct().join(counted, key, "left").select(key, (F.coalesce("n", F.lit(0)) < limit).alias("exhausted"))
-    paths = {"douyin": ("$.has_more", "0"), "xiaohongshu": ("$.data.has_more", "false")}
-    if platform not in paths:
-        raise ValueError(f"{platform} payloads do not say whether there is more")
-    path, end = paths[platform]
-    return payloads.select(key, F.coalesce(F.get_json_object(content, path) == end, F.lit(False)).alias("exhausted"))
+    said = {"douyin": "$.has_more", "xiaohongshu": "$.data.has_more"}
+    if platform in said:
+        return payloads.select(key, F.coalesce(F.get_json_object(content, said[platform]).isin("0", "0.0", "false"), F.lit(False)).alias("exhausted"))
+    counted = search_candidates(payloads, platform, key, content, limit).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = F.get_json_object(content, "$.data.numResults").try_cast("long") if platform == "bilibili" else F.lit(None).cast("long")
+    n = F.coalesce("n", F.lit(0))
+    end = F.coalesce(F.col("total") <= n, F.lit(False)) if platform == "bilibili" else n < limit
+    return payloads.select(key, total.alias("total")).distinct().join(counted, key, "left").select(key, end.alias("exhausted"))
 
 
 def page_units(payloads: DataFrame, key: str, content: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shotloom.schemas import EVENT
+from shotloom.sources.versions import VersionedTables
 
 #: States that end a job (fixed values).
 TERMINAL = ("succeeded", "failed", "cancelled", "interrupted")
@@ -45,22 +46,39 @@ def merge_states(held: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("job_id").agg(F.max(F.struct("attempt", "at", "event_id", "state", "stage")).alias("s")).select("job_id", "s.attempt", "s.at", "s.event_id", "s.state", "s.stage")
 
 
-def keep_states(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of events into versioned snapshots ``root``/v-<batch>, and run until what is there is done.
+def keep_states(events: DataFrame, root: str, checkpoint: str, n_buckets: int = 64, keep: int = 10) -> StreamingQuery:
+    """Fold a stream of events into the versioned table ``states`` under ``root``, until what is there is done.
 
-    A batch that is run again writes the same version from the one before it, so
-    the fold is idempotent.
+    Jobs are dealt into buckets by a hash; a batch reads and rewrites the buckets of its
+    own jobs only. A version notes the batch that it holds, so that a batch that is
+    run again changes nothing. Versions before the last ``keep`` are deleted.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = states_of(batch)
-        if number:
-            new = merge_states(batch.sparkSession.read.parquet(f"{root}/v-{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{root}/v-{number}")
+        tables = VersionedTables(batch.sparkSession, root)
+        version = tables.latest()
+        if tables.commit_of(version)["notes"].get("batch", -1) >= number:
+            return
+        bucket = F.pmod(F.xxhash64("job_id"), F.lit(n_buckets)).cast("int")
+        new = states_of(batch).persist()
+        try:
+            touched = sorted(r.bucket for r in new.select(bucket.alias("bucket")).distinct().collect())  # at most n_buckets
+            held = tables.read("states", version, touched)
+            merged = new if held is None else merge_states(held, new)
+            tables.commit(version, buckets={"states": (merged.withColumn("bucket", bucket), "bucket", touched)}, notes={"batch": number})
+        finally:
+            new.unpersist()
+        if number % keep == keep - 1:
+            tables.vacuum(keep)
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def kept_states(spark: SparkSession, root: str) -> DataFrame | None:
+    """The states that ``keep_states`` has committed last; None before the first batch."""
+    return VersionedTables(spark, root).read("states")
+
+
 def state_changes(events: DataFrame) -> DataFrame:
     """Batch: events at which a job's (state, stage) differs from before, up to and with its first terminal state."""
     from pyspark.sql import Window
