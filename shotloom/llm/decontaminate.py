@@ -8,7 +8,8 @@ plain numbers; each alignment is then compared token by token over the whole ite
 
 from __future__ import annotations
 
-from math import ceil
+from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ from shotloom.session import broadcast_if_small, cut
 #: of 7 to 9 tokens with one substituted and of 10 to 13 with two, wherever they are,
 #: some mask always finds a place that avoids the substitutions.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 3, 6, 7))
-#: Tokens that an item has at least; a shorter one is no evidence.
-LEAST_TOKENS = 7
+#: Masks that one length of runs may need before a plain block of tokens is taken instead.
+MOST_MASKS = 8
+#: Placements of substitutions up to which it is tried whether masks meet them all.
+MOST_PLACEMENTS = 5_000
+#: Tokens of all items up to which items are broadcast to the documents that were hit.
+TOKENS_AT_ONCE = 2_000_000
 #: Seeds that are broadcast at once; more items are taken in blocks of this many.
 SEEDS_AT_ONCE = 500_000
 #: Alignments that are broadcast at most; more meet their documents by a shuffle.
@@ -33,15 +38,45 @@ def _tokens(text: str) -> Column:
     return words
 
 
-def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row for each position and mask that fits: the columns of ``rows`` with pos and seed."""
+def meet_all(masks: tuple[tuple[int, ...], ...], run: int, changed: int) -> bool:
+    """Whether of ``run`` tokens with ``changed`` substituted, wherever they are, some mask selects only others."""
+    for places in combinations(range(run), changed):
+        free = set(range(run)).difference(places)
+        if not any(free.issuperset(p + o for o in mask) for mask in masks for p in range(run - mask[-1])):
+            return False
+    return True
+
+
+def masks_for(run: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks by which every run of ``run`` tokens, of which at least ``share`` are equal, has a hit.
+
+    The standard masks where they meet all placements of the substitutions; else all
+    choices of the equal tokens, if they are few; else a plain block, which is free of
+    substitutions somewhere as there are fewer of these than of such blocks.
+    """
+    changed = run - max(1, ceil(run * share))
+    if comb(run, changed) <= MOST_PLACEMENTS and meet_all(MASKS, run, changed):
+        return MASKS
+    if comb(run, changed) <= MOST_PLACEMENTS:
+        chosen = sorted({tuple(p - kept[0] for p in kept) for kept in combinations(range(run), run - changed)})
+        if len(chosen) <= MOST_MASKS:
+            return tuple(chosen)
+    return (tuple(range(run // (changed + 1))),)
+
+
+def _seeds(rows: DataFrame, masks: dict[tuple[int, ...], list[int]], run: Column | None = None) -> DataFrame:
+    """A row for each position and mask that fits: the columns of ``rows`` with pos and seed.
+
+    ``masks`` says which runs a mask is for; with ``run`` only those of a row's run are used.
+    """
     n = F.size("tokens")
     at = rows.where(n >= min(m[-1] for m in masks) + 1).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
-    hashes = [F.when(F.col("pos") + m[-1] < n, F.xxhash64(F.lit(k), *(F.get("tokens", F.col("pos") + o) for o in m))) for k, m in enumerate(masks)]
+    meant = lambda runs: F.lit(True) if run is None else run.isin(runs)
+    hashes = [F.when((F.col("pos") + m[-1] < n) & meant(runs), F.xxhash64(F.lit(",".join(map(str, m))), *(F.get("tokens", F.col("pos") + o) for o in m))) for m, runs in masks.items()]
     return at.select("*", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, overlap: int = 13, share: float = 0.8, least_tokens: int = LEAST_TOKENS, seeds_at_once: int = SEEDS_AT_ONCE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", overlap: int = 13, share: float = 0.8, least_tokens: int = 1, seeds_at_once: int = SEEDS_AT_ONCE) -> DataFrame:
     """Pairs (doc_id, item_id) whose texts overlap, with the best alignment of each.
 
     An overlap is a run of ``overlap`` tokens (all of a shorter item) of which at
@@ -49,22 +84,29 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     matched (equal tokens of the alignment), item_tokens, best_run (equal tokens
     of the best run) and start (first token of the item in the document, below
     zero if the item begins before it); ties go to more matched tokens, then to the
-    smaller start. An item of fewer than ``least_tokens`` tokens is no evidence and
-    matches nothing. With the standard masks every overlap has a hit. Null ids, null
-    and empty texts match nothing; repeated rows give one row, and several texts of
-    one id are all held against the item; empty tables give none; other columns
-    are ignored. The items' seeds are broadcast in blocks of bounded size, whatever
-    their number.
+    smaller start. Every overlap has a hit, as each length of runs has masks of its own
+    where the standard ones miss placements; only masks of lengths that items have are
+    hashed. An item without a token, or of fewer than ``least_tokens``, matches
+    nothing. Null ids, null and empty texts match nothing; repeated rows give one row,
+    and several texts of one id are all held against the item; empty tables give none;
+    other columns are ignored. The items' seeds are broadcast in blocks of bounded
+    size, whatever the number and length of the items.
     """
     tests = items.select(F.col(item_col).alias("item_id"), F.filter(_tokens(item_text_col), lambda x: x != "").alias("item")).where("item_id is not null")
-    tests = cut(tests.where(F.size("item") >= least_tokens).distinct())
-    seeds = cut(_seeds(tests.withColumnRenamed("item", "tokens"), masks).select("seed", "item_id", F.col("pos").alias("item_pos")))
+    tests = cut(tests.where(F.size("item") >= max(1, least_tokens)).distinct())
+    run = F.least(F.size("tokens"), F.lit(overlap))
+    masks: dict[tuple[int, ...], list[int]] = {MASKS[0]: []}
+    for r in tests.select(F.least(F.size("item"), F.lit(overlap)).alias("run")).distinct().collect():  # at most ``overlap`` lengths
+        for mask in masks_for(r.run, share):
+            masks.setdefault(mask, []).append(r.run)
+    masks = {m: runs for m, runs in masks.items() if runs} or {MASKS[0]: [overlap]}
+    seeds = cut(_seeds(tests.withColumnRenamed("item", "tokens"), masks, run).select("seed", "item_id", F.col("pos").alias("item_pos")))
     blocks = max(1, ceil(seeds.count() / seeds_at_once))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     rows = texts.select("doc_id", _tokens("text").alias("tokens"))
     found = None
     for k in range(blocks):
-        block = F.broadcast(seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
+        block = F.broadcast(seeds.where(F.pmod(F.xxhash64("seed", "item_id", "item_pos"), F.lit(blocks)) == k))
         hit = _seeds(rows, masks).join(block, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start"))
         found = hit if found is None else found.unionByName(hit)
     found = cut(found.distinct())
@@ -72,7 +114,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     hit_ids = broadcast_if_small(found, ALIGNMENTS_AT_ONCE).select(F.col("doc_id").alias("own")).distinct()
     # Between the joins, tokens are made once for each document that was hit; a later projection would make them for each token of an item.
     own = texts.join(hit_ids, F.col("doc_id") == F.col("own"), "left_semi").select("doc_id", _tokens("text").alias("tokens"))
-    both = own.join(near, F.col("doc_id") == F.col("own")).join(broadcast_if_small(tests), "item_id")
+    small = (tests.agg(F.sum(F.size("item"))).first()[0] or 0) <= TOKENS_AT_ONCE
+    both = own.join(near, F.col("doc_id") == F.col("own")).join(F.broadcast(tests) if small else tests, "item_id")
     equal = F.transform("item", lambda x, j: F.coalesce((F.get("tokens", F.col("start") + j) == x).cast("int"), F.lit(0)))
     both = both.select("doc_id", "item_id", "start", F.size("item").alias("item_tokens"), F.least(F.lit(overlap), F.size("item")).alias("run"), equal.alias("equal"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
@@ -87,7 +130,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS tk FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS tk FROM benchmark),
-b7 AS (SELECT item_id, tk, len(tk) AS n FROM b WHERE len(tk) >= 7),
+b7 AS (SELECT item_id, tk, len(tk) AS n FROM b WHERE len(tk) > 0),
 bp AS (SELECT item_id, n, unnest(tk) AS w, unnest(range(1, len(tk) + 1)) AS p FROM b7),
 dp AS (SELECT doc_id, unnest(tk) AS w, unnest(range(1, len(tk) + 1)) AS p FROM d),
 a AS (SELECT doc_id, item_id, n, dp.p - bp.p AS st FROM dp JOIN bp USING (w) GROUP BY ALL HAVING count(*) >= ceil(least(13, n) * 0.8)),

@@ -42,14 +42,28 @@ ENDS = {
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+_DECLARED = {name: re.compile(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)[^;!]*(!\s*important)?") for name in ("display", "visibility")}
+#: Values that a declaration may have; one with another value does not count.
+_VALUES = {
+    "display": frozenset("none block inline inline-block flex inline-flex grid inline-grid flow-root contents list-item run-in ruby math table inline-table table-row table-cell table-caption table-column table-column-group table-row-group table-header-group table-footer-group inherit initial unset revert revert-layer".split()),
+    "visibility": frozenset("visible hidden collapse".split()),
+}
+_INSIDE_TABLE = frozenset("table thead tbody tfoot tr colgroup".split())
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW | {"title", "textarea"}}
 _SPACE = re.compile(r"[ \t\n\r\f\xa0]+")
 #: Column width up to which cells are padded; wider cells run over.
 MAX_PAD = 60
 
 
+def declared(style: str, name: str) -> str | None:
+    """The value that a style attribute gives a property: the last one, but an important one before all others."""
+    last = strong = None
+    for m in _DECLARED[name].finditer(style.lower()):
+        if m[1] in _VALUES[name]:
+            last, strong = (last, m[1]) if m[2] else (m[1], strong)
+    return strong or last
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "lines", "shown")
 
@@ -60,8 +74,8 @@ class Node:
 
     def see(self) -> None:
         """Take the visibility from the style, which a descendant may turn back."""
-        for m in _VISIBILITY.finditer(self.attrs.get("style", "")):
-            self.shown = m[1].lower() == "visible"
+        value = declared(self.attrs["style"], "visibility") if "style" in self.attrs else None
+        self.shown = self.shown if value is None else value == "visible"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -88,8 +102,19 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         stack.append(node)
 
     def text(part: str) -> None:
-        if part:
-            stack[-1].children.append(unescape(part) if "&" in part else part)
+        if not part:
+            return
+        part = unescape(part) if "&" in part else part
+        if stack[-1].tag == "head" and part.strip(" \t\n\r\f"):
+            stack.pop()  # words open the body
+        into = stack[-1].children
+        if stack[-1].tag in _INSIDE_TABLE and part.strip(" \t\n\r\f"):
+            # Words that are in no cell stand before the table, which is the last child of what it is in.
+            table = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), None)
+            if table is not None:
+                stack[table - 1].children.insert(-1, part)
+                return
+        into.append(part)
 
     for m in iter(lambda: _TOKEN.search(html, at, max(at, final)), None):
         text(html[at : m.start()])
@@ -149,7 +174,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 def hidden(node: Node) -> bool:
     """Whether an element and all in it take no part in the layout."""
     attrs = node.attrs
-    return node.tag in HIDDEN or "hidden" in attrs or ("style" in attrs and bool(_NO_DISPLAY.search(attrs["style"]))) or (node.tag == "dialog" and "open" not in attrs) or (node.tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset"))
+    return node.tag in HIDDEN or "hidden" in attrs or ("style" in attrs and declared(attrs["style"], "display") == "none") or (node.tag == "dialog" and "open" not in attrs) or (node.tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset"))
 
 
 class Page:
@@ -359,7 +384,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(page_id, text, n_lines, n_chars) of every row.
 
     A null or empty page gives an empty text; repeated rows give a row each; an
-    empty table gives none; other columns are ignored.
+    empty table gives none; other columns are ignored. Visibility is that of elements
+    and of their own style attributes; the rules of style sheets are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

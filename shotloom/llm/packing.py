@@ -23,10 +23,6 @@ from shotloom.llm.memory import map_batches
 
 #: Distinct word pieces whose ids are remembered in a task before it starts afresh.
 CACHE_SIZE = 400_000
-#: Open windows above which a task joins them early. They hold at most 8 KB of ids
-#: each, so this bounds a task's memory at 128 MB; it takes over 16,384 documents of
-#: which no two fit together to reach it.
-MAX_OPEN = 16_384
 
 
 class Encoder:
@@ -35,18 +31,20 @@ class Encoder:
     Byte-level BPE never merges across the pre-tokens of its split pattern, so
     the ids of each distinct pre-token are remembered. The pattern is spelled out
     for texts of the first Latin blocks; a text with any other character is given
-    to the tokenizer whole.
+    to the tokenizer whole. The strings of special tokens are ordinary text unless
+    ``special`` is set.
     """
 
     #: Letters and digits of the blocks below (fixed values of the Unicode tables).
     LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
     PLAIN = r"[\t\n\r\x20-\x7e¡-ſ]*"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if special else []
         letters, digits = self.LETTERS, self.DIGITS
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+").findall
         self.plain = re.compile(self.PLAIN).fullmatch
@@ -67,7 +65,7 @@ class Encoder:
         for text in texts:
             if not text:
                 yield b""
-            elif self.plain(text):
+            elif self.plain(text) and not any(s in text for s in self.special):
                 parts = self.split(text)
                 for part in set(parts).difference(known):
                     known[part] = self._ids(part)
@@ -79,10 +77,12 @@ class Encoder:
 class Packer:
     """Places token runs into windows; closed windows come out as piece rows.
 
-    A piece is (doc_id, start, ids, doc_tokens); a row adds sequence and offset.
+    A piece is (doc_id, start, ids, doc_tokens); a row adds sequence and offset. Open
+    windows hold what a task has read and not closed yet, at most its input; with
+    ``max_open`` they are joined early above so many.
     """
 
-    def __init__(self, window: int, first_sequence: int, max_open: int = MAX_OPEN) -> None:
+    def __init__(self, window: int, first_sequence: int, max_open: int | None = None) -> None:
         self.window, self.next, self.max_open = window, first_sequence, max_open
         self.count = np.zeros(window + 1, dtype=np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
@@ -95,7 +95,7 @@ class Packer:
             self._close([(doc_id, at, ids[4 * at : 4 * (at + size)], total)])
         if whole < total:
             self._place((doc_id, whole, ids[4 * whole :], total), total - whole)
-        if self.n_open > self.max_open:
+        if self.max_open is not None and self.n_open > self.max_open:
             self.drain()
 
     def _place(self, piece: tuple, size: int) -> None:
@@ -145,7 +145,7 @@ class Packer:
             self._close(now)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, with_ids: bool = True, special: bool = False) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``window`` tokens.
 
     A document is its token ids and ``end_id``; a null or empty text is the end
@@ -154,11 +154,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     one piece; pieces of a sequence follow each other without gaps. Repeated rows
     are packed each; null ids stay null; an empty table gives none. Tasks pack
     what they read, so nothing is shuffled, and sequence ids hold the task's
-    number, so a task that is run again gives the same rows.
+    number, so a task that is run again gives the same rows. A task holds the ids of
+    its open windows, four bytes a token of the split it reads at most. The strings of
+    the tokenizer's special tokens are ordinary text, as its own notes advise, or with
+    ``special`` their single ids. Other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer_path), Packer(window, TaskContext.get().partitionId() << 33)
+        encoder, packer = Encoder(tokenizer_path, special), Packer(window, TaskContext.get().partitionId() << 33)
         end, kinds = np.array([end_id], dtype="<u4").tobytes(), [pa.int64()] * 7 + [pa.binary()] * with_ids
 
         def out() -> pa.RecordBatch:
