@@ -127,6 +127,8 @@ def _sent(block: Block, number: int, n_buckets: int) -> pa.Table:
     rows = {"bucket": [], "kind": [], "keys": [], "counts": []}
     for kind, keys, counts in ((_TOKEN, block.token_keys, block.token_count), (_PAIR, block.pair_keys, block.pair_count)):
         for bucket, own in enumerate(_split(keys, n_buckets)):
+            if not len(own):
+                continue  # so that there are at most as many messages as keys, however many blocks and buckets
             rows["bucket"].append(bucket)
             rows["kind"].append(kind)
             rows["keys"].append(_pack(np.diff(keys[own], prepend=np.uint64(0))))

@@ -601,8 +601,9 @@ def test_similar_texts_by_brute_force(spark, nothing, low, high):
     for k in range(len(rows)):
         groups.setdefault(find(k), []).append(rows[k][0])
     want = Counter((rows[k][0], min(x for x in groups[find(k)] if x is not None)) for k in range(len(rows)))
-    got = Counter((r.doc_id, r.component_id) for r in similar.similar_groups(rows_of(spark, rows)).collect())
-    assert got == want
+    for hot_band in (similar.HOT_BAND, 1):  # with 1, all that is left meets by prefixes
+        got = Counter((r.doc_id, r.component_id) for r in similar.similar_groups(rows_of(spark, rows), hot_band=hot_band).collect())
+        assert got == want
     assert similar.similar_groups(nothing).count() == 0
 
 
@@ -617,6 +618,41 @@ def test_parities_never_differ_in_more_bits_than_sets_in_shingles():
             assert flipped or not moved or size > 2
 
 
+def test_folded_parities_and_bands():
+    rng = np.random.default_rng(4)
+    own = np.unique(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
+    wide = similar.parities(own, similar.wide_bits(len(own)))
+    assert len(wide) * 64 == 4096 and (similar.wide_bits(512), similar.wide_bits(513), similar.wide_bits(0)) == (512, 1024, 512)
+    bits = np.unpackbits(wide.view(np.uint8))
+    assert (bits[:2048] ^ bits[2048:] == np.unpackbits(similar.parities(own, 2048).view(np.uint8))).all()
+    assert similar.band_shape(0.8) == (similar.BANDS, similar.BAND_ROWS)
+    for least in (0.05, 0.3, 0.5, 0.7, 0.79, 0.8, 0.95, 1.0):
+        n, rows = similar.band_shape(least)
+        assert (1 - least**rows) ** n <= similar.MOST_MISSED
+    with pytest.raises(ValueError):
+        similar.band_shape(0)
+
+
+@pytest.mark.parametrize(("least", "hot_band"), [(0.5, 128), (0.5, 4), (0.9, 4)])
+def test_other_bounds_and_templates_by_brute_force(spark, least, hot_band):
+    """Pages of a template that share three quarters of it, none of which may cost a link or make one."""
+    rng = random.Random(15)
+    template = prose(600, 300).split()
+    rows = []
+    for k in range(60):
+        own = [f"own{k}x{j}" if rng.random() < 0.012 * (k % 5) else w for j, w in enumerate(template)]
+        rows.append((k, " ".join(own + prose(700 + k, rng.choice([5, 60])).split())))
+    rows += [(100, prose(701, 900)), (101, edited(prose(701, 900), 90)), (102, edited(prose(701, 900), 30))]
+    sets = [set(similar.shingles(t).tolist()) for _, t in rows]
+    links = [(rows[b][0], rows[a][0]) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    root = {k: k for k, _ in rows}
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(rows_of(spark, rows), least=least, hot_band=hot_band).collect()}
+    assert got == root and len(links) > 3
+
+
 def test_stage_drops_copies_with_spread_edits(spark):
     text = prose(501, 300)
     other = edited(text, 60)
@@ -632,7 +668,8 @@ def test_stage_drops_copies_with_spread_edits(spark):
 def folder(spark, tmp_path_factory):
     docs, labels = toxic_rows(400)
     item = prose(4242, 30)
-    docs += [(1000, prose(60, 300)), (1001, prose(60, 300)), (1002, f"{prose(61, 40)} {item} {prose(62, 40)}"), (1003, f"{prose(63, 50)} {prose(70, 120)} {prose(64, 50)}"), (1004, f"{prose(65, 50)} {prose(70, 120)} {prose(66, 50)}"), (1005, None), (1006, ""), (None, prose(67, 60)), (1000, prose(60, 300))]
+    docs += [(1000, prose(60, 300)), (1001, prose(60, 300)), (1002, f"{prose(61, 40)} {item} {prose(62, 40)}"), (1003, f"{prose(63, 50)} {prose(70, 120)} {prose(64, 50)}"), (1004, f"{prose(65, 50)} {prose(70, 120)} {prose(66, 50)}"), (1005, None), (1006, ""), (None, prose(67, 60)), (None, prose(67, 60)), (1000, prose(60, 300)), (None, prose(60, 300)), (None, f"{prose(68, 40)} {item} {prose(69, 40)}")]
+    docs.append((None, docs[next(k for k, toxic in labels if toxic)][1]))
     path = str(tmp_path_factory.mktemp("tables"))
     rows_of(spark, docs).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{path}/labels.parquet")
@@ -654,6 +691,7 @@ def test_stages(spark, folder):
     gone = set(truth) - kept["toxicity"]
     assert sum(truth[d] for d in gone) / max(1, len(gone)) > 0.95 and len(gone) > 0.9 * sum(truth.values())
     assert 1001 not in kept["near_duplicates"] and {1000, 1005, None} <= kept["near_duplicates"]
+    assert [r.text for r in docs.where("doc_id is null").collect()] == [prose(67, 60)]  # the toxic, the copied and the leaked ones without an id went
     assert 1006 not in kept["near_duplicates"]  # empty like 1005
     assert {1003, 1004} <= kept["substrings"] and 1002 in kept["substrings"]
     assert kept["substrings"] - kept["decontamination"] == {1002}
