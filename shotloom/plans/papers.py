@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.operators import contracts, manifest, retrieval, state
+from shotloom.operators import contracts, manifest, records, retrieval, state
 from shotloom.plans.timelines import DAY, HOUR, events, table
 
 
@@ -108,7 +108,41 @@ def active_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.active_ids(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") == "O", "o_orderkey", 5)
 
 
-_NAMES = (segment_contract, plan_contract, group_contract, stream_choice, scene_shots, session_results, session_segments, annotated_shots, one_annotated_shot, waiting_reviews, decided_reviews, active_places)
+def frozen_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as workflows: their name and balance are the frozen documents."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit('{"balance":'), F.col("c_acctbal").cast("string"), F.lit("}")).alias("plans"), F.col("c_mktsegment").alias("semvideo_profile"), (1 + F.col("c_custkey") % 5).cast("int").alias("max_rounds"), (1 + F.col("c_custkey") % 40).alias("max_videos"))
+    out = records.frozen_workflows(rows, "c_name", "plans", ["semvideo_profile", "max_rounds", "max_videos"])
+    return out.select("workflow_id", "collection_input_sha256", "max_rounds", "max_videos")
+
+
+def export_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as assets, their lines as clips; some of them twice, backwards or badly named."""
+    assets = table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), F.col("o_orderkey")).alias("asset_id"), F.lit("w").alias("workflow_id"), F.col("o_custkey").cast("string").alias("selection_id"), F.sha2("o_orderstatus", 256).alias("source_sha256"))
+    n = F.col("l_partkey")
+    clip = F.when(n % 71 == 0, " x").otherwise(F.concat(F.lit("c"), F.col("l_linenumber"), F.lit("-"), n % 50))
+    position = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    start = (F.col("l_quantity") - F.when(n % 59 == 0, 100).otherwise(0)).cast("double")
+    ranges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), F.col("l_orderkey")).alias("asset_id"), position.alias("position"), clip.alias("clip_id"), start.alias("start_seconds"), (F.col("l_quantity") + F.when(n % 61 == 0, 0.0).otherwise(1.5)).alias("end_seconds"))
+    out = records.export_requests(assets, ranges)
+    return out.select("asset_id", "request_id", "idempotency_key", F.coalesce(F.size("clips"), F.lit(-1)).alias("n_clips"), "problems")
+
+
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as model calls, their turns as attempts."""
+    turns = table(spark, sf_dir, "conversations")
+    runs = turns.select(F.col("conv_id").alias("model_run_id")).distinct()
+    size = F.char_length("text").cast("long")
+    attempts = turns.select(F.col("conv_id").alias("model_run_id"), F.col("turn").alias("attempt_no"), size.alias("input_tokens"), F.when(F.col("turn") % 3 != 0, size * 2).alias("output_tokens"), F.lit(None).cast("long").alias("total_tokens"), F.when(F.col("role") == "user", F.concat(F.lit("t"), "turn")).otherwise("").alias("trace_id"), F.col("text").alias("response"))
+    return records.model_runs(runs, attempts)
+
+
+def readable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as assets of a session a brand."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("ses_"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")).alias("session_id"), F.lower("p_type").alias("platform"), F.col("p_name").alias("source_title"), F.concat(F.lit("s/"), F.col("p_partkey")).alias("source_id"), F.concat("p_name", F.lit(": "), F.col("p_size")).alias("unit_title"), F.concat(F.lower("p_type"), F.lit(":u"), F.col("p_partkey")).alias("unit_id"), F.when(F.col("p_size") > 25, "high").otherwise("low_proxy").alias("quality"), F.lit(".MP4").alias("suffix"))
+    return records.readable_paths(rows).select("p_partkey", "display_relative_path")
+
+
+_NAMES = (segment_contract, plan_contract, group_contract, stream_choice, scene_shots, session_results, session_segments, annotated_shots, one_annotated_shot, waiting_reviews, decided_reviews, active_places, frozen_workflows, export_requests, model_runs, readable_paths)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 ORACLE_SQL = {
@@ -161,4 +195,19 @@ u AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'manual_review_re
 j AS (SELECT u.*, yes, actor, @REVIEWABLE@ AS allowed FROM u LEFT JOIN d USING (k))
 SELECT k AS media_unit_id, CASE WHEN yes IS NOT NULL AND allowed THEN CASE WHEN yes THEN 'approved' ELSE 'rejected' END ELSE status END AS status, CASE WHEN yes IS NOT NULL THEN allowed END AS applied, actor AS review_actor FROM j""".replace("@REVIEWABLE@", "status IN (" + ", ".join(f"'{s}'" for s in manifest.REVIEWABLE) + ")"),
     "active_places": "SELECT * FROM (SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS place, o_orderkey FROM orders WHERE o_orderstatus = 'O') WHERE place <= 5",
+    "frozen_workflows": r"""WITH c AS (SELECT c_mktsegment, 1 + c_custkey % 5 AS r, 1 + c_custkey % 40 AS v, sha256(c_name) AS a, sha256('{"balance":' || c_acctbal || '}') AS b FROM customer)
+SELECT 'vmw_' || substr(sha256('{"collection_input_sha256":"' || a || '","initial_query_plans_sha256":"' || b || '","max_rounds":' || r || ',"max_videos":' || v || ',"semvideo_profile":"' || c_mktsegment || '"}'), 1, 20) AS workflow_id,
+  a AS collection_input_sha256, r::INTEGER AS max_rounds, v AS max_videos FROM c""",
+    "export_requests": r"""WITH l AS (SELECT 'a' || l_orderkey AS asset_id, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos, CASE WHEN l_partkey % 71 = 0 THEN ' x' ELSE 'c' || l_linenumber || '-' || l_partkey % 50 END AS clip,
+    (l_quantity - CASE WHEN l_partkey % 59 = 0 THEN 100 ELSE 0 END)::DOUBLE AS s, (l_quantity + CASE WHEN l_partkey % 61 = 0 THEN 0.0 ELSE 1.5 END)::DOUBLE AS e FROM lineitem),
+m AS (SELECT *, count(*) OVER (PARTITION BY asset_id, clip) AS n FROM l), k AS (SELECT *, CASE WHEN clip = ' x' THEN 'unsafe_id' WHEN n > 1 THEN 'duplicate_clip' WHEN s < 0 OR e <= s THEN 'not_half_open' END AS bad FROM m),
+g AS (SELECT asset_id, coalesce(string_agg(DISTINCT bad, ',' ORDER BY bad), '') AS problems, count(*) AS n, string_agg('{"clip_id":"' || clip || '","end_seconds":' || e || ',"start_seconds":' || s || '}', ',' ORDER BY pos) AS rs FROM k GROUP BY asset_id),
+o AS (SELECT 'a' || o_orderkey AS asset_id, o_custkey, sha256(o_orderstatus) AS h FROM orders),
+j AS (SELECT o.asset_id, coalesce(problems, 'no_ranges') AS problems, n, sha256('{"asset_id":"' || o.asset_id || '","ranges":[' || rs || '],"selection_id":"' || o_custkey || '","source_sha256":"' || h || '","workflow_id":"w"}') AS lineage FROM o LEFT JOIN g USING (asset_id))
+SELECT asset_id, CASE WHEN problems = '' THEN 'mc_' || substr(lineage, 1, 12) END AS request_id, CASE WHEN problems = '' THEN 'idem_' || substr(lineage, 1, 16) END AS idempotency_key, CASE WHEN problems = '' THEN n ELSE -1 END::INTEGER AS n_clips, problems FROM j""",
+    "model_runs": r"""SELECT conv_id AS model_run_id, count(*) AS n_attempts, sum(length(text))::BIGINT AS input_tokens, coalesce(sum(length(text) * 2) FILTER (turn % 3 <> 0), 0)::BIGINT AS output_tokens, 0::BIGINT AS total_tokens,
+  arg_max('t' || turn, turn) FILTER (role = 'user') AS trace_id, 'artifact_' || substr(sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY turn, sha256(coalesce(text, '')))), 1, 24) AS raw_response_artifact_id, count(*) > 1 AS repair_attempted FROM conversations GROUP BY conv_id""",
+    "readable_paths": r"""WITH p AS (SELECT p_partkey, p_name, p_name || '_ ' || p_size AS t, p_name || ': ' || p_size AS u, lower(p_type) AS f, 'ses_' || regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g') AS s, p_size, 's/' || p_partkey AS i, 'u' || p_partkey AS v FROM part)
+SELECT p_partkey, 'materials/by-session/' || s || '/' || p_name || '__' || f || '__' || substr(replace(i, '/', '_'), 1, 10) || '--' || substr(sha256(i), 1, 8) || '/' || CASE WHEN p_size > 25 THEN 'high-quality' ELSE 'low-proxy' END || '/' ||
+  t || '--' || substr(sha256(u), 1, 8) || '__' || substr(v, 1, 10) || '--' || substr(sha256(v), 1, 8) || '.mp4' AS display_relative_path FROM p""",
 }
