@@ -101,7 +101,8 @@ def asr_spans(rows: DataFrame, key: str, order: str) -> DataFrame:
 def lenient_spans(files: DataFrame, key: str, content: str) -> DataFrame:
     """Spans of JSON texts that are a list or hold one as ``segments``; numbers are the places in the input, bad rows go."""
     item = "array<struct<start: double, start_sec: double, end: double, end_sec: double, text: string>>"
-    listed = F.coalesce(F.from_json(content, item), F.from_json(content, f"segments {item}")["segments"])
+    # An object would be taken for a list of itself.
+    listed = F.when(F.col(content).rlike(r"^\s*\["), F.from_json(content, item)).otherwise(F.from_json(content, f"segments {item}")["segments"])
     rows = files.select(key, F.posexplode(listed).alias("pos", "s"))
     ms = lambda a, b: F.bround(F.coalesce(F.col(f"s.{a}"), F.col(f"s.{b}")) * 1000).cast("long")
     rows = rows.select(key, (F.col("pos") + 1).alias("span_no"), ms("start", "start_sec").alias("start_ms"), ms("end", "end_sec").alias("end_ms"), strip_spaces(F.col("s.text")).alias("text"))

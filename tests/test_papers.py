@@ -1,25 +1,25 @@
-"""The queries of ``studies`` and ``papers`` against their SQL, and contracts and records on awkward tables."""
+"""The queries of ``studies``, ``papers`` and ``intake`` against their SQL, and contracts and records on awkward tables."""
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shotloom.operators import contracts, records
-from shotloom.plans import papers, studies
+from shotloom.plans import intake, papers, studies
 from shotloom.sources import readers
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", sorted(studies.ORACLE_SQL | papers.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(studies.ORACLE_SQL | papers.ORACLE_SQL | intake.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in TABLES:
         con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
-    got = (studies.QUERIES | papers.QUERIES)[name](spark, FOLDER)
+    got = (studies.QUERIES | papers.QUERIES | intake.QUERIES)[name](spark, FOLDER)
     columns = sorted(got.columns)
-    want = con.execute(f"select {', '.join(columns)} from ({(studies.ORACLE_SQL | papers.ORACLE_SQL)[name]})").fetchall()
+    want = con.execute(f"select {', '.join(columns)} from ({(studies.ORACLE_SQL | papers.ORACLE_SQL | intake.ORACLE_SQL)[name]})").fetchall()
     assert len(want) > 0
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
 
