@@ -110,8 +110,8 @@ def active_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frozen_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as workflows: their name and balance are the frozen documents."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit('{"balance":'), F.col("c_acctbal").cast("string"), F.lit("}")).alias("plans"), F.col("c_mktsegment").alias("semvideo_profile"), (1 + F.col("c_custkey") % 5).cast("int").alias("max_rounds"), (1 + F.col("c_custkey") % 40).alias("max_videos"))
-    out = records.frozen_workflows(rows, "c_name", "plans", ["semvideo_profile", "max_rounds", "max_videos"])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit('{"balance":'), F.col("c_acctbal").cast("string"), F.lit("}")).alias("plans"), F.col("c_mktsegment").alias("profile"), (1 + F.col("c_custkey") % 5).cast("int").alias("max_rounds"), (1 + F.col("c_custkey") % 40).alias("max_videos"))
+    out = records.frozen_workflows(rows, "c_name", "plans", ["profile", "max_rounds", "max_videos"])
     return out.select("workflow_id", "collection_input_sha256", "max_rounds", "max_videos")
 
 
@@ -196,7 +196,7 @@ j AS (SELECT u.*, yes, actor, @REVIEWABLE@ AS allowed FROM u LEFT JOIN d USING (
 SELECT k AS media_unit_id, CASE WHEN yes IS NOT NULL AND allowed THEN CASE WHEN yes THEN 'approved' ELSE 'rejected' END ELSE status END AS status, CASE WHEN yes IS NOT NULL THEN allowed END AS applied, actor AS review_actor FROM j""".replace("@REVIEWABLE@", "status IN (" + ", ".join(f"'{s}'" for s in manifest.REVIEWABLE) + ")"),
     "active_places": "SELECT * FROM (SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS place, o_orderkey FROM orders WHERE o_orderstatus = 'O') WHERE place <= 5",
     "frozen_workflows": r"""WITH c AS (SELECT c_mktsegment, 1 + c_custkey % 5 AS r, 1 + c_custkey % 40 AS v, sha256(c_name) AS a, sha256('{"balance":' || c_acctbal || '}') AS b FROM customer)
-SELECT 'vmw_' || substr(sha256('{"collection_input_sha256":"' || a || '","initial_query_plans_sha256":"' || b || '","max_rounds":' || r || ',"max_videos":' || v || ',"semvideo_profile":"' || c_mktsegment || '"}'), 1, 20) AS workflow_id,
+SELECT 'vmw_' || substr(sha256('{"collection_input_sha256":"' || a || '","initial_query_plans_sha256":"' || b || '","max_rounds":' || r || ',"max_videos":' || v || ',"profile":"' || c_mktsegment || '"}'), 1, 20) AS workflow_id,
   a AS collection_input_sha256, r::INTEGER AS max_rounds, v AS max_videos FROM c""",
     "export_requests": r"""WITH l AS (SELECT 'a' || l_orderkey AS asset_id, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos, CASE WHEN l_partkey % 71 = 0 THEN ' x' ELSE 'c' || l_linenumber || '-' || l_partkey % 50 END AS clip,
     (l_quantity - CASE WHEN l_partkey % 59 = 0 THEN 100 ELSE 0 END)::DOUBLE AS s, (l_quantity + CASE WHEN l_partkey % 61 = 0 THEN 0.0 ELSE 1.5 END)::DOUBLE AS e FROM lineitem),

@@ -330,10 +330,10 @@ def evidence_packages(files: DataFrame, key: str, content: str) -> tuple[DataFra
     return frames, listed("transcript", F.col("text").isNull() | (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")))
 
 
-def extracted_frames(files: DataFrame, key: str, content: str) -> DataFrame:
+def extracted_frames(files: DataFrame, key: str, content: str, prefix: str = "frame") -> DataFrame:
     """Frames of an extractor's list ({"frames": [{"timestamp_sec", "file"}]} as JSON text): key, frame_id, timestamp_seconds, relative_path.
 
-    Frames are named crv_frame_0001 and so on in their order. No frames, a frame without a
+    Frames are named by the prefix, _0001 and so on in their order. No frames, a frame without a
     file name or with a time that is not a number are an error.
     """
     rows = files.select(key, F.from_json(content, "frames array<struct<timestamp_sec: string, file: string>>", {"mode": "FAILFAST"})["frames"].alias("f"))
@@ -342,7 +342,7 @@ def extracted_frames(files: DataFrame, key: str, content: str) -> DataFrame:
     out = rows.select(key, F.posexplode(whole).alias("pos", "x"))
     seconds = F.col("x.timestamp_sec").try_cast("double")
     sound = F.coalesce(seconds.isNotNull() & (F.col("x.file") != ""), F.lit(False))
-    name = F.when(sound, F.format_string("crv_frame_%04d", F.col("pos") + 1)).otherwise(error.cast("string"))
+    name = F.when(sound, F.format_string(f"{prefix}_%04d", F.col("pos") + 1)).otherwise(error.cast("string"))
     return out.select(key, name.alias("frame_id"), seconds.alias("timestamp_seconds"), F.concat(F.lit("frames/"), F.col("x.file")).alias("relative_path"))
 
 

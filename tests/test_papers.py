@@ -62,7 +62,7 @@ def test_records_of_little(spark):
 
 def test_extracted_frames(spark):
     rows = spark.createDataFrame([(1, '{"frames": [{"timestamp_sec": 1.5, "file": "a.jpg", "more": 1}, {"timestamp_sec": 2, "file": "b.jpg"}]}')], "k int, t string")
-    assert [tuple(r) for r in readers.extracted_frames(rows, "k", "t").collect()] == [(1, "crv_frame_0001", 1.5, "frames/a.jpg"), (1, "crv_frame_0002", 2.0, "frames/b.jpg")]
+    assert [tuple(r) for r in readers.extracted_frames(rows, "k", "t").collect()] == [(1, "frame_0001", 1.5, "frames/a.jpg"), (1, "frame_0002", 2.0, "frames/b.jpg")]
     for body in ('{"frames": []}', "{}", '{"frames": [{"timestamp_sec": "x", "file": "a"}]}', '{"frames": [{"timestamp_sec": 1}]}'):
         with pytest.raises(Exception, match="no timestamped frames"):
             readers.extracted_frames(rows.withColumn("t", F.lit(body)), "k", "t").collect()
