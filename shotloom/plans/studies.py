@@ -37,8 +37,8 @@ def near_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that links of suspected pairs connect, and their roles."""
-    links = entity.crosspost_links(_part_units(spark, sf_dir), "p_partkey", "p_type", "p_brand", "p_name", "p_size")
-    return entity.work_groups(links).select("group_id", F.col("node").alias("part_id"), "role", "fallback_order")
+    groups = entity.crosspost_groups(_part_units(spark, sf_dir), "p_partkey", "p_type", "p_brand", "p_name", "p_size")
+    return groups.select("group_id", F.col("node").alias("part_id"), "role", "fallback_order")
 
 
 def _boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:

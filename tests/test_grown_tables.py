@@ -17,3 +17,13 @@ COLUMNS = ("id", "platform", "author", "title", "seconds")
 def test_titles_are_compared_once_for_all_classes(spark):
     classes = entity.crosspost_classes(_units(spark, 300), *COLUMNS).cache()
     assert entity.near_titles(classes).count() == 16 and entity.bounded_pairs(classes).count() > 100
+
+
+def test_groups_of_ends_are_the_groups_of_all_links(spark):
+    units = _units(spark, 200)
+    links = entity.crosspost_links(units, *COLUMNS)
+    n_pairs = entity.crosspost_pairs(entity.crosspost_classes(units, *COLUMNS)).count()
+    assert links.count() <= n_pairs + 2 * 200
+    columns = ("group_id", "node", "role", "fallback_order")
+    want = sorted(entity.work_groups(links).select(*columns).collect())
+    assert sorted(entity.crosspost_groups(units, *COLUMNS).select(*columns).collect()) == want and len(want) > 100
