@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions.scalars import case_folded, inline_text, safe_id
 from shotloom.operators.rounds import DEFAULT_BUDGET, MOST_BUDGET
-from shotloom.session import written
+from shotloom.session import tasks_for, written
 
 _PLAN = ["document", "plan_no"]
 
@@ -124,15 +124,14 @@ def group_problems(groups: DataFrame, members: DataFrame, units: DataFrame) -> D
     ``units``: media_unit_id, platform. A unit that a group lists twice is in several groups.
     """
     row = lambda rows, problem, group=True, unit=True: rows.select((F.col("work_group_id") if group else F.lit(None)).cast("string").alias("work_group_id"), (F.col("media_unit_id") if unit else F.lit(None)).cast("string").alias("media_unit_id"), F.lit(problem).alias("problem"))
-    known = units.groupBy("media_unit_id").agg(F.min("platform").alias("unit_platform"), F.lit(True).alias("known"))
-    met = members.join(known, "media_unit_id", "left")
-    return (
-        row(_twice(groups, ["work_group_id"]), "duplicate_group", unit=False)
-        .unionAll(row(met.where("known is null"), "unknown_unit"))
-        .unionAll(row(met.where(F.col("known") & ~F.col("platform").eqNullSafe(F.col("unit_platform"))), "platform_mismatch"))
-        .unionAll(row(_twice(members, ["media_unit_id"]), "several_groups", group=False))
-        .distinct()
-    )
+    n = tasks_for(members.sparkSession, members.count())
+    known = units.repartition(n, "media_unit_id").groupBy("media_unit_id").agg(F.min("platform").alias("unit_platform"), F.lit(True).alias("known"))
+    met = members.repartition(n, "media_unit_id").join(known, "media_unit_id", "left")
+    met = met.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("media_unit_id")) > 1)
+    wrong = F.when(F.col("known").isNull(), "unknown_unit").when(~F.col("platform").eqNullSafe(F.col("unit_platform")), "platform_mismatch")
+    told = met.withColumn("wrong", wrong).where("wrong is not null or several")
+    told = told.select(F.explode(F.array(F.struct(F.col("work_group_id").cast("string").alias("work_group_id"), F.col("wrong").alias("problem")), F.struct(F.lit(None).cast("string").alias("work_group_id"), F.when(F.col("several"), "several_groups").alias("problem")))).alias("r"), "media_unit_id").where("r.problem is not null")
+    return row(_twice(groups, ["work_group_id"]), "duplicate_group", unit=False).unionAll(told.select("r.work_group_id", F.col("media_unit_id").cast("string").alias("media_unit_id"), "r.problem")).distinct()
 
 
 def best_streams(streams: DataFrame, key: str, position: str, url: str, edge: str, area: str | None = None, low_edge: int = 720) -> DataFrame:

@@ -1,8 +1,10 @@
 """Steps that must not grow faster than their input."""
 
 import random
+import re
 
-from shotloom.operators import entity
+from shotloom import session
+from shotloom.operators import contracts, entity
 
 
 def _units(spark, n):
@@ -27,3 +29,18 @@ def test_groups_of_ends_are_the_groups_of_all_links(spark):
     columns = ("group_id", "node", "role", "fallback_order")
     want = sorted(entity.work_groups(links).select(*columns).collect())
     assert sorted(entity.crosspost_groups(units, *COLUMNS).select(*columns).collect()) == want and len(want) > 100
+
+
+def _dealt(df, key):
+    """Tasks that the plan deals rows by ``key`` to."""
+    return {int(n) for n in re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().toString())}
+
+
+def test_units_of_groups_are_dealt_by_rows_a_task(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5)
+    members = spark.createDataFrame([("g", k, "p") for k in range(60)] + [("h", 3, "x"), (None, 99, None), ("h", 4, "p")], "work_group_id string, media_unit_id long, platform string")
+    units = spark.createDataFrame([(k, "p") for k in range(60)], "media_unit_id long, platform string")
+    got = contracts.group_problems(members.select("work_group_id").limit(2), members, units)
+    assert _dealt(got, "media_unit_id") == {13}
+    want = {("g", None, "duplicate_group"), ("h", "3", "platform_mismatch"), (None, "3", "several_groups"), (None, "4", "several_groups"), (None, "99", "unknown_unit")}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
