@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions.scalars import context_tier
-from shotloom.session import written
+from shotloom.session import tasks_for, written
 from shotloom.sources.versions import VersionedTables
 
 #: The first attempt and two repairs (fixed value).
@@ -45,22 +45,25 @@ def attempt_chains(attempts: DataFrame, attempt: str, prior: str, most: int = MO
     ``most`` steps are behind. What still has a link then is endless: its chain is longer
     than was followed, or goes in circles; it has no first attempt and no place.
     """
-    rows = attempts.select(F.col(attempt).alias("attempt"), F.col(prior).alias("up"))
-    known = rows.select(F.col("attempt").alias("at_id"), F.col("up").alias("at_up"))
-    missing = rows.join(known.select("at_id"), F.col("up") == F.col("at_id"), "left").where("up is not null and at_id is null").select("attempt", F.lit(True).alias("missing"))
-    hops = rows.join(missing, "attempt", "left").select("attempt", F.when(F.col("missing"), None).otherwise(F.col("up")).alias("up"), "missing")
-    hops = hops.withColumns({"steps": F.when(F.col("up").isNull(), 0).otherwise(1), "first": F.coalesce("up", "attempt")})
+    rows = written(attempts.select(F.col(attempt).alias("attempt"), F.col(prior).alias("up")), "attempts")
+    n = tasks_for(rows.sparkSession, rows.count())
+    known = rows.select(F.col("attempt").alias("at_id")).repartition(n, "at_id").distinct()
+    steps = lambda up, missing: ["attempt", up.alias("up"), missing.alias("missing"), F.when(up.isNull(), 0).otherwise(1).alias("steps"), F.coalesce(up, "attempt").alias("first")]
+    none = F.lit(None).cast("boolean")
+    linked = rows.where("up is not null").repartition(n, "up").join(known, F.col("up") == F.col("at_id"), "left")
+    hops = linked.select(*steps(F.when(F.col("at_id").isNotNull(), F.col("up")), F.when(F.col("at_id").isNull(), True))).unionByName(rows.where("up is null").select(*steps(F.col("up"), none)))
     reach = 1
     while reach <= most:
         hops = written(hops, "hops")
         far = hops.select(F.col("attempt").alias("at_id"), F.col("up").alias("next_up"), F.col("steps").alias("more"), F.col("first").alias("next_first"), F.col("missing").alias("next_missing"))
-        hops = hops.join(far, F.col("up") == F.col("at_id"), "left").select(
+        further = hops.where("up is not null").repartition(n, "up").join(far.repartition(n, "at_id"), F.col("up") == F.col("at_id"), "left").select(
             "attempt",
             F.col("next_up").alias("up"),
             F.coalesce("missing", "next_missing").alias("missing"),
             (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
             F.coalesce("next_first", "first").alias("first"),
         )
+        hops = further.unionByName(hops.where("up is null"))
         reach *= 2
     place = (F.col("steps") + 1).cast("int")
     problem = F.when(F.col("up").isNotNull(), "endless").when(F.col("missing"), "missing_prior").when(place > most, "too_long")

@@ -4,7 +4,7 @@ import random
 import re
 
 from shotloom import session
-from shotloom.operators import contracts, entity
+from shotloom.operators import contracts, entity, handover
 
 
 def _units(spark, n):
@@ -44,3 +44,12 @@ def test_units_of_groups_are_dealt_by_rows_a_task(spark, monkeypatch):
     assert _dealt(got, "media_unit_id") == {13}
     want = {("g", None, "duplicate_group"), ("h", "3", "platform_mismatch"), (None, "3", "several_groups"), (None, "4", "several_groups"), (None, "99", "unknown_unit")}
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_attempts_are_dealt_by_rows_a_task(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5)
+    rows = [(k, k - 1 if k % 7 else None) for k in range(60)] + [(100, -5), (101, 100)]
+    got = handover.attempt_chains(spark.createDataFrame(rows, "id long, prior long"), "id", "prior")
+    assert _dealt(got, "up") == {13}
+    told = {r.attempt: (r.first, r.place, r.problem) for r in got.collect()}
+    assert len(told) == 62 and told[0] == (0, 1, None) and told[9] == (7, 3, None) and told[3] == (0, 4, "too_long") and told[6] == (None, None, "endless") and told[100] == (100, 1, "missing_prior") and told[101] == (100, 2, "missing_prior")
