@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions.canonical import frozen_id, row_json
 from shotloom.functions.scalars import safe_id, safe_identity, safe_title
+from shotloom.session import tasks_for
 
 #: Folders of a session's readable view, by quality (fixed values).
 QUALITY_FOLDERS = {"low_proxy": "low-proxy", "high": "high-quality"}
@@ -35,18 +36,19 @@ def export_requests(assets: DataFrame, ranges: DataFrame) -> DataFrame:
     position, clip_id, start_seconds, end_seconds. Ids come from the digest of workflow,
     selection, asset, its bytes' digest and the clips in canonical JSON. Problems: no_ranges,
     unsafe_id, duplicate_clip, not_a_number, not_half_open (from 0 on, end behind start).
-    An asset with a problem has no ids.
+    An asset with a problem has no ids. Ranges are dealt out once, by asset.
     """
     clip = F.struct("clip_id", "end_seconds", "start_seconds")
     own = F.count(F.lit(1)).over(Window.partitionBy("asset_id", "clip_id"))
     bad = F.when(~safe_id(F.col("clip_id")), "unsafe_id").when(own > 1, "duplicate_clip").when(F.col("start_seconds").isNull() | F.col("end_seconds").isNull() | F.isnan("start_seconds") | F.isnan("end_seconds"), "not_a_number").when((F.col("start_seconds") < 0) | (F.col("end_seconds") <= F.col("start_seconds")), "not_half_open")
-    listed = ranges.withColumn("bad", bad).groupBy("asset_id").agg(F.array_sort(F.collect_set("bad")).alias("problems"), F.sort_array(F.collect_list(F.struct("position", clip.alias("clip")))).alias("c"))
-    rows = assets.join(listed, "asset_id", "left").withColumn("ranges", F.transform("c", lambda x: x["clip"]))
+    n = tasks_for(ranges.sparkSession, ranges.count())
+    listed = ranges.repartition(n, "asset_id").withColumn("bad", bad).groupBy("asset_id").agg(F.array_sort(F.collect_set("bad")).alias("problems"), F.sort_array(F.collect_list(F.struct("position", clip.alias("clip")))).alias("c"))
+    rows = assets.repartition(n, "asset_id").join(listed, "asset_id", "left").withColumn("ranges", F.transform("c", lambda x: x["clip"]))
     problems = F.when(F.col("c").isNull(), F.array(F.lit("no_ranges"))).when(~safe_id(F.col("asset_id")), F.array_sort(F.array_union("problems", F.array(F.lit("unsafe_id"))))).otherwise(F.col("problems"))
     rows = rows.withColumn("problems", problems)
-    lineage = F.sha2(row_json(rows, "workflow_id", "selection_id", "asset_id", "source_sha256", "ranges"), 256)
     sound = F.size("problems") == 0
-    name = lambda prefix, n: F.when(sound, F.concat(F.lit(prefix), F.substring(lineage, 1, n)))
+    rows = rows.withColumn("lineage", F.when(sound, F.sha2(row_json(rows, "workflow_id", "selection_id", "asset_id", "source_sha256", "ranges"), 256)))
+    name = lambda prefix, n: F.concat(F.lit(prefix), F.substring("lineage", 1, n))
     return rows.select("asset_id", name("mc_", 12).alias("request_id"), name("idem_", 16).alias("idempotency_key"), F.when(sound, F.col("ranges")).alias("clips"), F.array_join("problems", ",").alias("problems"))
 
 

@@ -4,7 +4,7 @@ import random
 import re
 
 from shotloom import session
-from shotloom.operators import contracts, entity, handover
+from shotloom.operators import contracts, entity, handover, records
 
 
 def _units(spark, n):
@@ -53,3 +53,13 @@ def test_attempts_are_dealt_by_rows_a_task(spark, monkeypatch):
     assert _dealt(got, "up") == {13}
     told = {r.attempt: (r.first, r.place, r.problem) for r in got.collect()}
     assert len(told) == 62 and told[0] == (0, 1, None) and told[9] == (7, 3, None) and told[3] == (0, 4, "too_long") and told[6] == (None, None, "endless") and told[100] == (100, 1, "missing_prior") and told[101] == (100, 2, "missing_prior")
+
+
+def test_ranges_of_assets_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5)
+    assets = spark.createDataFrame([(f"a{k}", "w", "s", "h") for k in range(5)], "asset_id string, workflow_id string, selection_id string, source_sha256 string")
+    ranges = spark.createDataFrame([(f"a{k % 4}", k, "c" if k % 4 == 1 else f"c{k}", 1.0, 2.0) for k in range(63)], "asset_id string, position int, clip_id string, start_seconds double, end_seconds double")
+    got = records.export_requests(assets, ranges)
+    assert _dealt(got, "asset_id") == {13}
+    rows = {r.asset_id: r for r in got.collect()}
+    assert rows["a1"].problems == "duplicate_clip" and rows["a4"].problems == "no_ranges" and rows["a1"].request_id is None and rows["a0"].request_id[3:] == rows["a0"].idempotency_key[5:17]
