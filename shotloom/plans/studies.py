@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shotloom.functions import canonical, scalars
 from shotloom.operators import entity, handover, intervals, merge, motion, planning, rounds, spanning
 from shotloom.plans.timelines import DAY, HOUR, events, table
-from shotloom.session import fresh_dir, written
+from shotloom.session import fresh_dir, tasks_for, written
 from shotloom.sources import readers
 from shotloom.streaming import leases
 
@@ -168,12 +168,18 @@ def canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events written as files of JSON lines, a blank line after each purchase, and read back in their order."""
-    rows = events(spark, sf_dir).withColumn("text", F.concat(F.to_json(F.struct("event_id")), F.when(F.col("event_type") == "purchase", "\n").otherwise("")))
+    """Users' events written as files of JSON lines, a blank line after each purchase, and read back in their order.
+
+    A file holds the lines of many users, user after user, so that files grow in number with the events, not with the users.
+    """
+    rows = events(spark, sf_dir)
+    text = F.concat(F.to_json(F.struct("user_id", "event_id")), F.when(F.col("event_type") == "purchase", "\n").otherwise(""))
     path = fresh_dir(spark, "lines")
-    rows.select("user_id", "event_id", "text").repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "text").write.partitionBy("user_id").text(path)
-    read = readers.read_ordered_json_lines(spark, path, "event_id long")
-    return read.select(F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id"), "event_id", "line_no", "ordinal")
+    rows = rows.select("user_id", "event_id", text.alias("text")).repartition(tasks_for(spark, rows.count()), "user_id")
+    rows.sortWithinPartitions("user_id", "event_id").select("text").write.text(path)
+    read = readers.read_ordered_json_lines(spark, path, "user_id long, event_id long")
+    own = Window.partitionBy("file", "user_id")
+    return read.select("user_id", "event_id", *((F.col(c) - F.min(c).over(own) + 1).alias(c) for c in ("line_no", "ordinal")))
 
 
 def admitted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 from shotloom import session
 from shotloom.operators import contracts, entity, handover, records
+from shotloom.plans import studies
 
 
 def _units(spark, n):
@@ -63,3 +64,18 @@ def test_ranges_of_assets_are_dealt_once(spark, monkeypatch):
     assert _dealt(got, "asset_id") == {13}
     rows = {r.asset_id: r for r in got.collect()}
     assert rows["a1"].problems == "duplicate_clip" and rows["a4"].problems == "no_ranges" and rows["a1"].request_id is None and rows["a0"].request_id[3:] == rows["a0"].idempotency_key[5:17]
+
+
+def test_files_of_lines_are_not_one_a_user(spark, tmp_path, monkeypatch):
+    rows = [(f"2024-01-01 00:00:{k % 60:02d}", k % 90 if k % 31 else None, k, "purchase" if k % 5 == 0 else "view", 1.0) for k in range(400)]
+    spark.createDataFrame(rows, "ts string, user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(studies, "fresh_dir", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, studies.ordered_lines(spark, str(tmp_path)).collect()), key=repr)
+    files = [p for p in (tmp_path / "lines").rglob("*.txt")]
+    assert 1 <= len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want, places = [], {}
+    for _, user, event, kind, _ in rows:
+        line, ordinal = places.get(user, (1, 1))
+        want.append((user, event, line, ordinal))
+        places[user] = (line + 1 + (kind == "purchase"), ordinal + 1)
+    assert got == sorted(want, key=repr)
