@@ -5,7 +5,7 @@ import re
 
 from shotloom import session
 from shotloom.operators import contracts, entity, handover, records
-from shotloom.plans import studies
+from shotloom.plans import catalogs, studies
 
 
 def _units(spark, n):
@@ -79,3 +79,12 @@ def test_files_of_lines_are_not_one_a_user(spark, tmp_path, monkeypatch):
         want.append((user, event, line, ordinal))
         places[user] = (line + 1 + (kind == "purchase"), ordinal + 1)
     assert got == sorted(want, key=repr)
+
+
+def test_texts_are_folded_once(spark, tmp_path):
+    rows = [(1, "a", "en", "Some text"), (2, "b", "en", "some TEXT!"), (3, "a", "en", "sometext"), (4, "b", None, "Some text"), (5, "b", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = catalogs.crosspost_blocked(spark, str(tmp_path))
+    assert "regexp_replace" not in links._jdf.queryExecution().toString()
+    assert sorted(map(tuple, links.collect())) == [(1, 2), (2, 3)]
+    assert [(r.doc_id, r.role) for r in catalogs.work_groups(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(1, "primary"), (2, "fallback"), (3, "fallback")]
