@@ -88,3 +88,15 @@ def test_texts_are_folded_once(spark, tmp_path):
     assert "regexp_replace" not in links._jdf.queryExecution().toString()
     assert sorted(map(tuple, links.collect())) == [(1, 2), (2, 3)]
     assert [(r.doc_id, r.role) for r in catalogs.work_groups(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(1, "primary"), (2, "fallback"), (3, "fallback")]
+
+
+def test_blocks_are_groups_and_are_connected_by_shared_units(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(120), rng.choice("abc"), rng.randrange(90)) for _ in range(200)] + [(500, "a", 200), (500, "b", 200), (501, None, 201), (502, "a", 201)]
+    units = spark.createDataFrame(rows, "id long, platform string, block int")
+    columns = ("group_id", "node", "role", "fallback_order")
+    want = sorted(entity.work_groups(entity.exact_links(units, ["block"], "platform", "id"), "l", "r").select(*columns).collect())
+    assert sorted(entity.exact_groups(units, ["block"], "platform", "id").select(*columns).collect()) == want and len(want) > 50
+    alone = units.where("block < 90").dropDuplicates(["id"])
+    want = sorted(entity.work_groups(entity.exact_links(alone, ["block"], "platform", "id"), "l", "r").select(*columns).collect())
+    assert sorted(entity.exact_groups(alone, ["block"], "platform", "id").select(*columns).collect()) == want and want
