@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.session import cut
+from shotloom.session import ROWS_A_TASK, cut
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -13,13 +13,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, few: int = ROWS_A_TASK) -> DataFrame:
     """Label every node of ``edges`` with the smallest node of its component.
 
     Large-star and small-star steps rewrite the edges until each node points at
     its root; a path of n nodes takes about log n rounds. Neighbour minima are
     partial aggregates and are written before they are joined, so that the joins
-    stay plain shuffles that AQE may split when a hub holds most of the edges.
+    stay plain shuffles that AQE may split when a hub holds most of the edges. Up to
+    ``few`` edges need no shuffle: a round's tasks would be many and nearly empty.
 
     Edges are undirected; loops, repeats and nulls are ignored. No edges gives
     no rows. Returns (node, component) for the nodes that have an edge to
@@ -28,17 +29,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     e = cut(e.where("u is not null and v is not null and u <> v").distinct())
     seen = _fingerprint(e)
+    dealt = (lambda rows: rows.coalesce(1)) if seen[0] <= few else (lambda rows: rows)
+    held = F.broadcast if seen[0] <= few else dealt
+    e = dealt(e)
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = cut(large.distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u")
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = dealt(cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))))
+        large = both.join(held(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = dealt(cut(large.distinct()))
+        least = dealt(cut(large.groupBy("u").agg(F.min("v").alias("m"))))
+        small = large.join(held(least), "u")
         e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(e.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = dealt(cut(dealt(e.unionByName(least.select("u", F.col("m").alias("v")))).distinct()))
         now = _fingerprint(e)
         if now == seen:
             break

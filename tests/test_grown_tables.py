@@ -4,7 +4,7 @@ import random
 import re
 
 from shotloom import session
-from shotloom.operators import contracts, entity, handover, records
+from shotloom.operators import contracts, entity, graph, handover, records
 from shotloom.plans import catalogs, studies
 
 
@@ -100,3 +100,19 @@ def test_blocks_are_groups_and_are_connected_by_shared_units(spark):
     alone = units.where("block < 90").dropDuplicates(["id"])
     want = sorted(entity.work_groups(entity.exact_links(alone, ["block"], "platform", "id"), "l", "r").select(*columns).collect())
     assert sorted(entity.exact_groups(alone, ["block"], "platform", "id").select(*columns).collect()) == want and want
+
+
+def test_few_edges_are_not_dealt_out(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "src long, dst long")
+    held = {"spark.sql.shuffle.partitions": "29", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        few, dealt = graph.connected_components(edges), graph.connected_components(edges, few=0)
+        assert few.where("node <> component").rdd.getNumPartitions() < 29 <= dealt.where("node <> component").rdd.getNumPartitions()
+        assert sorted(few.collect()) == sorted(dealt.collect()) and few.count() > 100
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
